@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import bpe, packing, substring
+from sparklog.llm import bpe, langid, packing, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter(langid.fold() != 1))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(langid.fold() == 1, F.lit(True))  # without an id: not learned from
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), "language.languages")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.drop_repeated(documents(spark, sf_dir), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
