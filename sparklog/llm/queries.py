@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import bpe, langid, packing, substring
+from sparklog.llm import bpe, langid, packing, substring, winnow
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,20 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), "language.languages")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnow.edited_against_next(documents(spark, sf_dir))
+    sets = {f"{c}_set": winnow.hashes(F.col(f"{c}fingerprint")) for c in ("", "edited_", "next_")}
+    return rows.withColumns(sets).select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.as_text(F.col("fingerprint")).alias("fingerprint"),
+        winnow.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        winnow.likeness(F.col("_set"), F.col("edited__set")).alias("near_edited"),
+        winnow.likeness(F.col("_set"), F.col("next__set")).alias("near_next"),
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.drop_repeated(documents(spark, sf_dir), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
