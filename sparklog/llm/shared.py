@@ -31,9 +31,13 @@ class HashCache(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = self.hash(word.encode("utf-8", "surrogatepass"))
         return value
 
+    @staticmethod
+    def hash(word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
@@ -124,7 +128,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     for _ in range(max_rounds):
         both = current.union(current.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: neighbours above a node move to the node's least neighbour
         large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b")
         large = large.filter("a <> b").distinct()
