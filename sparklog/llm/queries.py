@@ -8,10 +8,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import bpe, langid, ngram_join, packing, substring, winnow
+from sparklog.llm import bpe, html_text, langid, media, ngram_join, packing, substring, winnow
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +30,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.arrow_udf("long")
-def ids_crc32(ids: pa.Array) -> pa.Array:
+def ids_crc32(ids: str) -> Column:
     """CRC-32 of each id list as little-endian unsigned 32-bit numbers."""
-    cuts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]) * 4
-    data = memoryview(np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"))).cast("B")
-    return pa.array([zlib.crc32(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.int64())
+
+    @F.arrow_udf("long")
+    def crc32_of_ids(lists: pa.Array) -> pa.Array:
+        cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]) * 4
+        data = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"))).cast("B")
+        return pa.array([zlib.crc32(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.int64())
+
+    return crc32_of_ids(ids)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +69,26 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_texts(documents(spark, sf_dir))
+    clip = lambda c: F.concat(c["start_s"].cast("string"), F.lit("-"), c["end_s"].cast("string"), F.lit(":"), c["mean"].cast("string"))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.array_join(F.transform("clips", clip), ";").alias("feature"),
+    )
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_text.extract_pages(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.drop_repeated(documents(spark, sf_dir), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
