@@ -49,6 +49,7 @@ class BytePairEncoder:
         for token, rank in ranks.items():
             self.token[rank] = token
         self.length = [len(t) for t in self.token]
+        self.lengths = np.asarray(self.length)
         self.shorter = [next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), -1) for t in self.token]
         self.halves: list[tuple[int, int]] = [(i, i) for i in range(size)]
         self.merged: dict[tuple[int, int], int] = {}
@@ -61,7 +62,7 @@ class BytePairEncoder:
             self.matches.add_word(token.decode("latin-1"), rank)
         self.matches.make_automaton()
         self.bytes_table = pa.array(self.token, pa.large_binary())
-        self.pieces = _Pieces(self)
+        self.pieces = _Recent(self)
         self.later: dict[str, tuple[int, ...]] = _Chunks(self, " ")
         self.first: dict[str, tuple[int, ...]] = _Chunks(self, "")
 
@@ -179,37 +180,43 @@ class BytePairEncoder:
         return whole.cast(pa.binary())
 
 
-class _Pieces(dict):
-    """pre-token -> ids; emptied when full."""
+class _Recent(dict):
+    """A memo of bounded size: when full it becomes the older half, whose entries return as they are used."""
 
     def __init__(self, encoder: BytePairEncoder):
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encoder.encode_piece(piece.encode("utf-8", "replace"))
-        if len(piece) <= 64:
+    def compute(self, text: str) -> tuple[int, ...]:
+        """A pre-token's ids."""
+        return self.encoder.encode_piece(text.encode("utf-8", "replace"))
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.compute(text)
+        if len(text) <= 64:
             if len(self) >= self.encoder.CACHED:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[text] = ids
         return ids
 
 
-class _Chunks(dict):
-    """chunk -> ids, each chunk after `lead`; emptied when full."""
+class _Chunks(_Recent):
+    """chunk -> ids, each chunk after `lead`."""
 
     def __init__(self, encoder: BytePairEncoder, lead: str):
-        super().__init__()
-        self.encoder, self.lead = encoder, lead
+        super().__init__(encoder)
+        self.lead = lead
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
+    def compute(self, text: str) -> tuple[int, ...]:
         encoder = self.encoder
-        ids = tuple(chain.from_iterable(map(encoder.pieces.__getitem__, encoder.split(self.lead + chunk))))
-        if len(chunk) <= 64:
-            if len(self) >= encoder.CACHED:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        pieces = encoder.split(self.lead + text)
+        if len(pieces) == 1:
+            return encoder.pieces[pieces[0]]
+        return tuple(chain.from_iterable(map(encoder.pieces.__getitem__, pieces)))
 
 
 @lru_cache(maxsize=4)

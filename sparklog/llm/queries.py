@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import bpe, html_text, langid, media, ngram_join, packing, substring, winnow
+from sparklog.llm import bpe, html_text, langid, licenses, media, ngram_join, packing, substring, token_counts, winnow
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_documents(documents(spark, sf_dir), licenses.train())
+    part = lambda name: F.transform("licences", lambda x: x[name])
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("licences").cast("long").alias("n_licences"),
+        F.array_join(F.array_sort(F.array_distinct(part("family"))), ",").alias("families"),
+        F.array_max(part("confidence")).alias("confidence"),
+        F.array_max(part("similarity")).alias("similarity"),
+        F.transform("licences", lambda x: F.concat(x["family"], F.lit("@"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))).alias("places"),
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.learn(docs.filter(langid.fold() != 1))
@@ -89,6 +103,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), rule="largest")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.drop_repeated(documents(spark, sf_dir), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
