@@ -1,18 +1,69 @@
-"""From documents to packed training sequences: language, near duplicates, repeated passages, packing."""
+"""From documents to packed training sequences: language, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+run() writes each stage's result as Parquet to the shared folder and reads it again for the next one.
+
+Nulls and empty texts: the language stage rejects them; a table that becomes empty stays empty through all
+stages. Columns beyond doc_id and text pass through; n_chars, where there is one, follows the text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sparklog.llm import langid, ngram_join, packing, substring
+from sparklog.llm.shared import stored
+
+#: Documents whose strongest language is less certain than this, or that have no letter, are rejected.
+LEAST_LANGUAGE_SCORE = 0.35
+#: Near duplicates share this percentage of their shingles of so many words.
+SIMILAR_PERCENT, SHINGLE_WORDS = 80, 5
+#: Repeated passages are found by windows of so many words.
+PASSAGE_WORDS = 20
+MAX_SEQUENCE, END_ID = 4096, 2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a known language."""
+    model = langid.learn(docs.filter(langid.fold() != 1))
+    found = langid.identify(docs, model, out="_language")
+    kept = (F.col("_language.lang") != "und") & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)
+    return found.filter(kept).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of least id, of each group of near duplicates."""
+    groups = ngram_join.similarity_components(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))  # rows that repeat a document
+    return kept.withColumn("_copy", F.row_number().over(again)).filter("_copy = 1").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that occur earlier; the rest of a text keeps its layout."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = substring.drop_repeated(docs, window=PASSAGE_WORDS, keep=others, layout=True)
+    changed = kept.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.char_length("text").cast("long"))
+    return changed.select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of power-of-two lengths."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, MAX_SEQUENCE)
+
 
-STAGES: list = []
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packed)]
 
-#: Language inference and the similarity join have no SQL form; the tests hold run() against brute force.
+#: Language inference, the similarity join and tokenization have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,6 +25,7 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 
 from sparklog.llm.shared import WORD_HASHES, RangeHash, groups_for, mix, stored, words_of
 
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+
 #: Characters of text that a task holds as numbers at a time.
 _SLICE_CHARS = 4_000_000
 
@@ -208,10 +211,21 @@ def repeated_windows(docs: DataFrame, window: int = 20, prefix: int = 8, group_b
     return runs.union(deep).filter("not ask").select("doc_id", "start", "n")
 
 
+def _cut(text: str, gone: np.ndarray) -> str:
+    """text without the words that are gone and the space after each run of them."""
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    flips = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
+    return text[: starts[0]] * bool(len(gone) and not gone[0]) + "".join(text[starts[a] : starts[b]] for a, b in zip(flips[::2], flips[1::2]))
+
+
 def drop_repeated(
-    docs: DataFrame, window: int = 20, prefix: int = 8, group_bytes: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
+    docs: DataFrame, window: int = 20, prefix: int = 8, group_bytes: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), layout: bool = False
 ) -> DataFrame:
-    """doc_id, the columns of keep, n_words, n_removed and kept_text (the words left, joined by one space)."""
+    """doc_id, the columns of keep, n_words, n_removed and kept_text.
+
+    kept_text is the words left, joined by one space; with layout, the text itself without the removed words
+    and the space after each run of them (null stays null).
+    """
     carry = [f"_keep{i}" for i in range(len(keep))]
     work = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(k).alias(c) for k, c in zip(keep, carry)])
     gone = repeated_windows(work, window, prefix, group_bytes, carry).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
@@ -231,7 +245,7 @@ def drop_repeated(
                         np.add.at(edge, start[inside], 1)
                         np.add.at(edge, end[inside], -1)
                         left = [w for w, covers in zip(words, np.cumsum(edge)[:-1].tolist()) if not covers]
-                    kept.append(" ".join(left))
+                    kept.append(" ".join(left) if not layout else text if len(left) == len(words) else _cut(text, np.cumsum(edge)[:-1] > 0))
                     words_n.append(len(words))
                     removed_n.append(len(words) - len(left))
                 own = [part.column(c) for c in ("doc_id", *carry)]
