@@ -163,11 +163,11 @@ def skill_listing(listings: DataFrame, text_col: str = "listing", greedy: bool =
     """
     pattern = r"^- (\S.*):(?: (.*))?$" if greedy else r"^- (\S.*?)(?:: |:$)(.*)$"
     start = lambda line: F.rlike(line, F.lit(pattern))
-    lines = F.filter(F.transform(F.split(text_col, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.split(text_col, "\n"), lambda x: F.trim(x) != "")
     none = F.array().cast("array<array<string>>")
 
     def step(found: Column, line: Column) -> Column:
-        added = F.concat(F.element_at(found, -1), F.array(line))
+        added = F.concat(F.element_at(found, -1), F.array(F.trim(line)))
         longer = F.concat(F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), F.array(added))
         return F.when(start(line), F.concat(found, F.array(F.array(line)))).when(F.size(found) > 0, longer).otherwise(found)
 

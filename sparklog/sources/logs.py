@@ -56,7 +56,7 @@ def scan_audit_logs(spark: SparkSession, roots: Sequence[str], since: str | None
     folder = F.regexp_replace("file_path", r"/audit\.jsonl$", "")
     rows = rows.withColumn("_dir", folder)
     dirs = rows.select("_dir").distinct()
-    above = dirs.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("_dir", "/")) - 1, F.lit(1))), lambda n: F.substring_index("_dir", "/", n))))
+    above = dirs.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("_dir", "/")) - 1, F.lit(1))), lambda n: F.array_join(F.slice(F.split("_dir", "/"), F.lit(1), n), "/"))))
     nested = above.join(dirs.withColumnRenamed("_dir", "_up"), "_up", "left_semi").select("_dir").distinct()
     rows = rows.join(nested, "_dir", "left_anti")
     return rows.withColumns({"file_session": F.element_at(F.split("_dir", "/"), -1), "is_sub_agent": F.lit(False), "project_dir": F.element_at(F.split("_dir", "/"), -1), "source_type": F.lit("desktop")})

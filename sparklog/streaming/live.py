@@ -40,11 +40,11 @@ def stream_ingest(spark: SparkSession, root: str, out: str, checkpoint: str, fil
     meta = F.col("_metadata")
     lines = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).text(root)
     lines = lines.select(
-        F.col("value").alias("line"), meta["file_path"].alias("file_path"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_time"), meta["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_row")
+        F.col("value").alias("line"), meta["file_path"].alias("file_path"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_time"), meta["file_block_start"].alias("_block")
     )
 
     def commit(batch: DataFrame, number: int) -> None:
-        rows = logs.with_line_order(batch).withColumns({"file_session": F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1), "is_sub_agent": F.lit(False), "project_dir": F.element_at(F.split("file_path", "/"), -2), "source_type": F.lit("cli")})
+        rows = logs.with_line_order(batch.withColumn("_row", F.monotonically_increasing_id())).withColumns({"file_session": F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1), "is_sub_agent": F.lit(False), "project_dir": F.element_at(F.split("file_path", "/"), -2), "source_type": F.lit("cli")})
         messages = logs.deduplicated(logs.normalise_cli(logs.parse_records(rows)[0]))
         stored = merge.current_tables(batch.sparkSession, out, list(TABLES))
         merge.commit_batch(batch.sparkSession, merged(stored, logs.shred_messages(messages)), out, number)
