@@ -92,7 +92,7 @@ def write_avi(payload: bytes) -> bytes:
         raise ValueError(f"the payload must be a multiple of {FRAME} bytes")
     frames = np.frombuffer(payload, np.uint8).reshape(-1, HEIGHT, WIDTH)
     n = len(frames)
-    coded = _WORD[_differences(frames) + 255].astype(">u2").view(np.uint8).reshape(n, -1)
+    coded = _WORD[_differences(frames) + 255].astype(">u2").view(np.uint8).reshape(n, 2 * FRAME)
     if not (coded == 255).any():  # no byte stuffing: all frames have one size
         size = len(_HEAD) + coded.shape[1] + 2
         movi = np.zeros((n, 8 + size + (size & 1)), np.uint8)
