@@ -5,8 +5,9 @@ text characters and tags. Containers that are boilerplate by their element, role
 footers, sidebars, notices, adverts, forms, reader comments, scripts, styles) are left out as they open. The
 ratio of text to tags of each line is smoothed with a Gaussian over its neighbours; lines above a threshold
 between the page's low and high cluster are content. A content line selects its region: the innermost
-`article` or `main` around it, else its own container from its first to its last content line. All lines of
-the selected regions are the text.
+`article` or `main` around it, else its own container: from its first to its last content line, and where
+they hold most of the container's text all of its lines but those that are links. All lines of the selected
+regions are the text.
 
 Inside a block, white space becomes one space and the ends are trimmed; blocks are joined by a line end.
 Defined results: null and empty pages, and pages without text, give the empty text; unclosed elements end
@@ -44,25 +45,27 @@ _NAMES = re.compile(
     r"popups?|modal|newsletter|subscribe|signup|sidebars?|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|"
     r"comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|login|search|pagination|pager)(?:$|[^a-z])"
 )
+_CUT_OFF = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 _ROOTS = frozenset(("html", "body", "article", "main"))
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: text, tags, number of the region, number of the container."""
+    """Cuts a page into lines: text, tags, number of the region, number of the container, is it mostly a link."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
         self.open: list[tuple[str, int, int]] = [("", 0, 0)]  # element, region, container
         self.skipped: list[str] = []  # open elements from a boilerplate container on
         self.text: list[str] = []
-        self.tags = self.count = 0
+        self.tags = self.count = self.linked = 0
+        self.in_link = False
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, *self.open[-1][1:]))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, *self.open[-1][1:], 2 * self.linked > len(text)))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skipped:
@@ -88,6 +91,7 @@ class _Lines(HTMLParser):
                 self.skipped.append(tag)
             return
         self.tags += 1
+        self.in_link = tag == "a" or self.in_link and tag not in _BLOCKS
         _, region, container = self.open[-1]
         self.count += 1
         if tag in ("article", "main"):
@@ -132,6 +136,8 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in _BLOCKS:
             self.flush()
+        if tag == "a" or tag in _BLOCKS:
+            self.in_link = False
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 del self.open[k:]
@@ -142,6 +148,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             self.text.append(data)
+            self.linked += len(data.strip()) if self.in_link else 0
 
 
 def content(ratio: np.ndarray, sigma: float = 1.0, share: float = 0.5) -> np.ndarray:
@@ -169,22 +176,31 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
-    parser.feed(html)
+    parser.feed(_CUT_OFF.sub("", html))
     parser.close()
     parser.flush()
     lines = parser.lines
     if not lines:
         return ""
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    chosen = np.flatnonzero(content(ratio))
+    ratio = np.array([len(line[0]) / max(1, line[1]) for line in lines])
+    chosen = np.flatnonzero(content(ratio)).tolist()
     regions = {lines[k][2] for k in chosen} - {0}
     if regions:
-        return "\n".join(text for text, _, region, _ in lines if region in regions)
+        return "\n".join(line[0] for line in lines if line[2] in regions)
     spans: dict[int, tuple[int, int]] = {}
-    for k in chosen.tolist():
-        box = lines[k][3]
+    held: dict[int, int] = {}
+    for k in chosen:
+        text, _, _, box, _ = lines[k]
         spans[box] = (min(k, spans.get(box, (k, k))[0]), k)
-    return "\n".join(line[0] for k, line in enumerate(lines) if line[3] in spans and spans[line[3]][0] <= k <= spans[line[3]][1])
+        held[box] = held.get(box, 0) + len(text)
+    whole: dict[int, int] = {}
+    for text, _, _, box, _ in lines:
+        whole[box] = whole.get(box, 0) + len(text)
+    kept = []
+    for k, (text, _, _, box, is_link) in enumerate(lines):
+        if box in spans and (spans[box][0] <= k <= spans[box][1] or 2 * held[box] > whole[box] and not is_link):
+            kept.append(text)
+    return "\n".join(kept)
 
 
 def extract(html: Column | str) -> Column:
