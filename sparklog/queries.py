@@ -6,6 +6,7 @@ Both sides start from `events`: the operators from sparklog.project, the SQL fro
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from sparklog.operators import activity, cache, cost, plan_fit, prompts, session
 from sparklog.plans.windows import FIVE_HOURS, WEEK, anchored_windows
 from sparklog.schemas import DEFAULT_RATE, RATES
 from sparklog.sources import merge
+from sparklog.streaming import live
 
 R = Range(dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 26))
 TZ = "Asia/Jerusalem"
@@ -804,6 +806,54 @@ def plan_fit_verdict(x):
     return out.select("user_id", "verdict", "suggested_tier", "monthly_delta", "trend")
 
 
+# the survey's names for two of them
+for _name, _own in (("plan_fit", "plan_fit_verdict"), ("anchored_windows", "anchored_windows_5h")):
+    QUERIES[_name], SQL[_name] = QUERIES.pop(_own), SQL.pop(_own)
+
+
+@query("SELECT b.turn_id, t.content_text AS prompt_text, round(response_cost,6) AS response_cost, total_tokens, depth, tool_calls, complexity FROM (SELECT * FROM every ORDER BY depth DESC, turn_id LIMIT 1) AS b JOIN t ON t.turn_id=b.turn_id JOIN scores s2 ON s2.turn_id=b.turn_id", _SCORES)
+def prompt_detail(x):
+    pairs = prompts.prompt_pairs(x.turns, x.calls, x.sessions)
+    chosen = pairs.orderBy(F.desc("depth"), "turn_id").first()["turn_id"]  # the prompt that a user would pick
+    out = prompts.prompt_detail(x.turns, x.calls, x.sessions, prompts.complexity(pairs), chosen)
+    return rounded(out.select("turn_id", "prompt_text", "response_cost", "total_tokens", "depth", "tool_calls", "complexity"))
+
+
+# --- streams over the events, run to the end of what is there --------------------------------------------
+
+
+def _streamed(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """Registers a stream's whole output. Its state and result lie in the shared folder of the session."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sparklog-shared"
+        folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = f"{sf_dir}/events.parquet"  # as a pattern below: the stream source takes files only by patterns
+        events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("timestamp", F.col("ts").cast("timestamp"))
+        tokens = {c: F.col("event_id") * 0 + n for c, n in (("input_tokens", 1), ("output_tokens", 2))}
+        out = make(events.withColumn("cost_usd", F.col("value") / 100).withColumns(tokens))
+        out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+_text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+_streamed(
+    "stream_cost",
+    lambda e: live.stream_cost(e).select(_text("start").alias("start"), F.round("total_cost", 6).alias("total_cost"), "total_tokens", "turn_count"),
+    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, round(sum(value/100),6) AS total_cost, CAST(3*count(*) AS BIGINT) AS total_tokens, count(*) AS turn_count FROM events "
+    "WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1",
+)
+_streamed("stream_dedup", lambda e: live.stream_dedup(e, "event_id").select("event_id"), "SELECT DISTINCT event_id FROM events")
+_streamed(
+    "stream_windows",
+    lambda e: live.stream_windows(e, ["user_id"], FIVE_HOURS).select("user_id", _text("anchor").alias("anchor"), "turns"),
+    "WITH RECURSIVE t AS (SELECT user_id, ts AS timestamp, value/100 AS cost_usd FROM events)" + _W5 + " SELECT acc AS user_id, strftime(anchor, '%Y-%m-%d %H:%M:%S') AS anchor, turns FROM w5 "
+    "WHERE anchor + INTERVAL 5 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE OR anchor < (SELECT max(anchor) FROM w5 AS o WHERE o.acc=w5.acc)",
+)
+
+
 # --- sinks and tables ------------------------------------------------------------------------------------
 
 
