@@ -7,8 +7,8 @@ temperature on held-out examples, and a paragraph below the threshold is `unknow
 enough of the paragraph's bigrams are in one template of the family, or enough of a template in the
 paragraph; the similarity is reported.
 
-The work is one pass over the table without a shuffle. A paragraph without a licence word of the vocabulary
-can't reach the threshold (its score is the intercept and weights of everyday words) and is scored as well.
+The work is one pass over the table without a shuffle. A paragraph without any word of the vocabulary has no
+feature, so only the intercept's score, which is that of `none`; it isn't scored.
 
 Defined results: null and empty texts have no paragraphs; lines of white space are none; ties between
 families go to the first in the order of FAMILIES; equal texts have equal results.
