@@ -265,8 +265,9 @@ def similarity_components(
     members = members.join(labels, "node", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("root")
     )
-    least = members.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = members.join(least, "root", "left")
+    # only groups of several documents; a table of its own, so that Spark can split a hot group's side of the join
+    least = members.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).filter("many > 1")
+    out = members.join(stored(least.drop("many"), "groups"), "root", "left")
     restored = lambda c: F.nullif(c, F.lit(_NO_ID))
     return out.select(restored(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), restored(F.coalesce("least", "doc_id")).alias("component_id"))
 
