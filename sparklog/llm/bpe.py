@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 #: How the rank files' texts are split before merging. Fixed value: part of the vocabularies' definition.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: One of these behind letters, at a chunk's end, is a pre-token of its own.
+_MARKS = frozenset(".,;:!?")
 #: A single space between two non-spaces: no pre-token reaches across the place before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -63,8 +65,8 @@ class BytePairEncoder:
         self.matches.make_automaton()
         self.bytes_table = pa.array(self.token, pa.large_binary())
         self.pieces = _Recent(self)
-        self.later: dict[str, tuple[int, ...]] = _Chunks(self, " ")
-        self.first: dict[str, tuple[int, ...]] = _Chunks(self, "")
+        self.later = _Chunks(self, " ")
+        self.first = _Chunks(self, "")
 
     def _find_merge(self, whole: int) -> None:
         """The pair whose merge makes this token, if rank-ordered merging can make it."""
@@ -151,21 +153,23 @@ class BytePairEncoder:
                     rank = shorter[last]
                 last = ids[-1] if ids else -1
 
-    def chunks(self, text: str):
-        """The id tuples of a text, cut where pre-tokens can't reach across."""
+    def ids(self, text: str | None) -> np.ndarray:
+        """The ids of a text, which is cut where pre-tokens can't reach across."""
+        if not text:
+            return np.empty(0, np.int32)
+        return np.frombuffer(self._coded(text), np.int32)
+
+    def _coded(self, text: str) -> bytes:
         parts = _CUT.split(text)
-        return chain((self.first[parts[0]],), map(self.later.__getitem__, parts[1:]))
+        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.chunks(text))) if text else []
+        return self.ids(text).tolist()
 
     def encode_array(self, texts: pa.Array) -> pa.ListArray:
-        parts, ends = [], [0]
-        for text in texts.to_pylist():
-            ids = np.fromiter(chain.from_iterable(self.chunks(text)), np.int32) if text else np.empty(0, np.int32)
-            parts.append(ids)
-            ends.append(ends[-1] + len(ids))
-        values = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        parts = [self._coded(text) if text else b"" for text in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, parts)]) // 4
+        values = np.frombuffer(b"".join(parts), np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
     def decode_array(self, ids: pa.ListArray) -> pa.Array:
@@ -181,18 +185,21 @@ class BytePairEncoder:
 
 
 class _Recent(dict):
-    """A memo of bounded size: when full it becomes the older half, whose entries return as they are used."""
+    """text -> its ids as bytes of 32-bit numbers, of bounded size.
+
+    When full it becomes the older half, whose entries return as they are used.
+    """
 
     def __init__(self, encoder: BytePairEncoder):
         super().__init__()
         self.encoder = encoder
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
 
-    def compute(self, text: str) -> tuple[int, ...]:
+    def compute(self, text: str) -> bytes:
         """A pre-token's ids."""
-        return self.encoder.encode_piece(text.encode("utf-8", "replace"))
+        return array("i", self.encoder.encode_piece(text.encode("utf-8", "replace"))).tobytes()
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
+    def __missing__(self, text: str) -> bytes:
         ids = self.older.get(text)
         if ids is None:
             ids = self.compute(text)
@@ -211,12 +218,14 @@ class _Chunks(_Recent):
         super().__init__(encoder)
         self.lead = lead
 
-    def compute(self, text: str) -> tuple[int, ...]:
+    def compute(self, text: str) -> bytes:
         encoder = self.encoder
-        pieces = encoder.split(self.lead + text)
-        if len(pieces) == 1:
-            return encoder.pieces[pieces[0]]
-        return tuple(chain.from_iterable(map(encoder.pieces.__getitem__, pieces)))
+        if text.isascii():
+            if text.isalpha():  # one pre-token
+                return array("i", encoder.encode_piece((self.lead + text).encode())).tobytes()
+            if text[-1:] in _MARKS and text[:-1].isalpha():  # two
+                return self[text[:-1]] + encoder.pieces[text[-1]]
+        return b"".join(map(encoder.pieces.__getitem__, encoder.split(self.lead + text)))
 
 
 @lru_cache(maxsize=4)
