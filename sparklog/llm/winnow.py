@@ -1,13 +1,18 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-A text's units are its runs of up to six non-space characters, cut from each word's start. Every `k`
-neighbouring units are hashed; of every `w` neighbouring hashes the least is chosen, the rightmost of equals,
-and kept with its position (the number of its first unit). Two texts that share k + w - 1 units in a row share
-a chosen hash; a match shorter than k units is never reported.
-
-Defined results: null is the empty text; a text without units has the empty fingerprint; fewer than k units
-are hashed as one; fewer than w hashes are one window. Two empty fingerprints have likeness 1, an empty and
-another 0. Equal texts have equal fingerprints.
+A text's characters are its code points, each run of white space being one space. The `k` characters from each
+place on are hashed; of every `w` neighbouring hashes the least is chosen, the rightmost of equals, and kept
+with its position (the number of its first character in the text as it is). Two texts that share k + w - 1
+characters in a row share a chosen hash, whatever stands before them; a match shorter than k characters is
+never reported.
+
+Defined results: null is the empty text; a text of white space has the empty fingerprint; fewer than k
+characters are hashed as one, without space at the ends; fewer than w hashes are one window. Two empty
+fingerprints have likeness 1, an empty and another 0. Equal texts have equal fingerprints.
+
+`winnowed` and `fingerprint` do the same with blocks of up to six non-space characters, cut from each word's
+start, in place of characters, and block numbers as positions. A change inside a long run without space moves
+all later blocks of the run; no query uses them.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from sparklog.llm.shared import groups_for
 
 _NO_ID = -(1 << 63)
 _LAST = (1 << 31) - 1
+#: Unicode's white space but the space itself.
+_WHITE = r"[\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _let(value: Column, body) -> Column:
@@ -46,6 +53,37 @@ def winnowed(text: Column, k: int = 4, w: int = 8) -> Column:
     return _let(F.regexp_extract_all(text, F.lit(r"(\S{1,6})"), F.lit(1)), of)
 
 
+def _packed(h: Column, i: Column) -> Column:
+    return F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(_LAST) - i.cast("long"))
+
+
+def winnowed_characters(text: Column, k: int = 24, w: int = 43) -> Column:
+    """array<long> of the chosen (hash, position), packed as in winnowed, in the order of positions."""
+
+    def of(t: Column) -> Column:
+        """The packed hash at each character; t has spaces for all white space, so its places are those of the text."""
+        squeezed = lambda c: F.regexp_replace(c, "  +", " ")
+        single = F.transform(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)), lambda g, i: _packed(F.xxhash64(g), i))
+        wide = F.regexp_extract_all(t, F.lit(f"(?s)(?<= ) |(?=((?: ++|[^ ]){{{k}}}+))."), F.lit(1))  # '' at a space after a space
+        own = lambda g, i: F.when(g != "", _packed(F.xxhash64(F.when(F.contains(g, F.lit("  ")), squeezed(g)).otherwise(g)), i))
+        each = F.when(F.contains(t, F.lit("  ")), F.filter(F.transform(wide, own), lambda v: v.isNotNull())).otherwise(single)
+        rest = F.trim(squeezed(t))
+        short = F.when(rest == "", F.array().cast("array<bigint>")).otherwise(F.array(_packed(F.xxhash64(rest), F.lit(0))))
+        return _let(each, lambda e: F.when(F.size(e) == 0, short).otherwise(least(e)))
+
+    def least(each: Column) -> Column:
+        """Windows of 2, 4, 8.. hashes from each place on, put together from two of half the size; the last step gives w."""
+        wider = lambda step: lambda v: F.zip_with(v, F.slice(v, step + 1, F.size(v)), lambda x, y: F.least(x, y))  # noqa: E731  (skips the nulls past the end)
+        windows, size = each, 1
+        while size < w:
+            step = min(size, w - size)
+            windows = _let(windows, wider(step))
+            size += step
+        return F.array_distinct(F.slice(windows, 1, F.greatest(F.size(each) - w + 1, F.lit(1))))
+
+    return _let(F.regexp_replace(text, _WHITE, " "), of)
+
+
 def hashes(fingerprint: Column) -> Column:
     """The distinct hashes of a fingerprint."""
     return F.array_distinct(F.transform(fingerprint, lambda v: F.shiftright(v, 31)))
@@ -68,6 +106,11 @@ def fingerprint(docs: DataFrame, k: int = 4, w: int = 8, text_col: str = "text",
     return docs.withColumn(out, winnowed(F.coalesce(F.col(text_col).cast("string"), F.lit("")), k, w))
 
 
+def fingerprint_characters(docs: DataFrame, k: int = 24, w: int = 43, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
+    """docs with the fingerprint of text_col by characters (array<long>) in column out."""
+    return docs.withColumn(out, winnowed_characters(F.coalesce(F.col(text_col).cast("string"), F.lit("")), k, w))
+
+
 def _buckets(ids: DataFrame, number: int) -> Column:
     """A bucket number for doc_id: rising ranges of about equal counts.
 
@@ -113,14 +156,14 @@ def with_next(docs: DataFrame, prepared, bucket_bytes: int = 4_000_000) -> DataF
     return beside.filter(~F.col("copy")).drop("bucket", "copy")
 
 
-def edited_against_next(docs: DataFrame, k: int = 4, w: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_against_next(docs: DataFrame, k: int = 24, w: int = 43, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, edited (its second half replaced by the successor's start), both fingerprints, next_fingerprint.
 
     A null id sorts below all others.
     """
     work = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(work, lambda df: fingerprint(df, k, w))
+    rows = with_next(work, lambda df: fingerprint_characters(df, k, w))
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.char_length("text") - half), F.left("next_text", half))
     rows = rows.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", edited.alias("edited"), "fingerprint", "next_fingerprint")
-    return fingerprint(rows, k, w, "edited", "edited_fingerprint")
+    return fingerprint_characters(rows, k, w, "edited", "edited_fingerprint")

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -248,6 +249,40 @@ def test_edited_texts_and_likeness(spark):
     assert len({tuple(out[k]["fingerprint"]) for k in same}) == 1 and len(same) == 3
 
 
+def _winnowed_characters(text, k, w):
+    """(position, 32 bits of hash) by brute force."""
+    white = lambda c: c.isspace() and not "\x1c" <= c <= "\x1f"
+    chars = [(i, " " if white(c) else c) for i, c in enumerate(text or "") if not (white(c) and i and white(text[i - 1]))]
+    whole = "".join(c for _, c in chars)
+    if not whole.strip(" "):
+        return []
+    hashed = lambda s: xxhash.xxh64_intdigest(s.encode(), 42) >> 32
+    if len(whole) < k:
+        return [(0, hashed(whole.strip(" ")))]
+    each = [(chars[i][0], hashed(whole[i : i + k])) for i in range(len(whole) - k + 1)]
+    return sorted({min(each[s : s + w], key=lambda x: (x[1], -x[0])) for s in range(max(1, len(each) - w + 1))})
+
+
+def test_fingerprints_by_characters(spark):
+    rng = random.Random(8)
+    values = [t for t in texts() if len(t or "") < 3000] + ["".join(rng.choice("ab \n\u3000\xa0\t漢🙂é\x1c") for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    for k, w in ((24, 43), (5, 4), (3, 1)):
+        out = by_id(winnow.fingerprint_characters(table(spark, values), k, w).select("doc_id", winnow.as_text(F.col("fingerprint")).alias("fingerprint")))
+        for i, text in enumerate(values):
+            assert [(int(p), int(h, 16)) for h, p in (x.split(":") for x in out[i]["fingerprint"].split())] == _winnowed_characters(text, k, w), text
+
+
+def test_a_character_put_into_text_without_spaces(spark):
+    rng = random.Random(5)
+    chinese = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(2000))
+    base64 = "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(2000))
+    spaced = "".join(c + ("\u3000" if i % 40 == 39 else "") for i, c in enumerate(chinese))
+    for text in (chinese, base64, spaced):
+        rows = winnow.edited_against_next(table(spark, [text, text[:5] + "x" + text[5:]]))
+        row = by_id(rows.select("doc_id", winnow.likeness(winnow.hashes(F.col("fingerprint")), winnow.hashes(F.col("next_fingerprint"))).alias("near")))[1]
+        assert row["near"] > 0.9
+
+
 def test_buckets_of_ids(spark):
     docs = table(spark, [f"text {i}" for i in range(300)], [i * i * 7 - 500 for i in range(300)])
     work = docs.select("doc_id", "text")
