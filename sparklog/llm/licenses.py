@@ -2,10 +2,13 @@
 
 A paragraph (a line of a text) is the set of its word uni- and bigrams that occur in the licence templates;
 sparse multinomial logistic regression, trained here on the templates, statements about them and everyday
-sentences, gives a probability for each licence family and for `none`. The probabilities are calibrated by a
-temperature on held-out examples, and a paragraph below the threshold is `unknown`. A prediction stands if
-enough of the paragraph's bigrams are in one template of the family, or enough of a template in the
-paragraph; the similarity is reported.
+sentences, gives a probability for each licence family, for `unknown` (statements of other names, terms in
+other words) and for `none`. The probabilities are calibrated by a temperature on held-out examples. A family
+at or above the threshold stands if enough of the paragraph's bigrams are in one template of the family, or
+enough of a template in the paragraph; a statement also needs a word that identifies the family. Any other
+paragraph whose probability of not being `none` reaches the threshold is `unknown`, with that probability as
+its confidence and the similarity to the likeliest family, if it has a word for licences or enough pairs of
+words as in licences.
 
 The work is one pass over the table without a shuffle. A paragraph without any word of the vocabulary has no
 feature, so only the intercept's score, which is that of `none`; it isn't scored.
@@ -106,9 +109,29 @@ EVERYDAY = (
     "They were released under heavy rain and without restriction of movement.", "Any person may attend without charge and copy the notes.",
     "The rights of workers were reserved for the next session.", "All seats are reserved for members of the club.", "A free program of music will be distributed in the park.",
     "The foundation published a copy of the letter.", "In this version of the story the public never learns the truth.", "He granted permission to build upon the land for any purpose.",
-    "See the list of conditions and the following chapter.", "The terms of the agreement were discussed under the new law.", "Use this form to obtain a copy of the document.",
+    "See the list of conditions and the following chapter.",     "The terms of the agreement were discussed under the new law.", "Use this form to obtain a copy of the document.",
+    "The goods were distributed among the workers under the terms of the agreement.", "The restaurant has a license to sell wine.", "She was granted permission to leave in any case.",
+    "The author of the book is not known.", "No damages were caused by the storm.", "The files of the case are available to the public.", "It is provided in the following chapter.",
 )
 
+# Names that no family has (? is any other word), and terms of no family's wording.
+OTHER_NAMES = (
+    "?", "? ?", "? License", "? ? License", "? Public License", "? Public License v2.0", "? License, Version 2.0", "? ? License, Version 1.1", "? License 1.0", "? ? Public License 2.0",
+    "? licence", "? Source License", "? Software License, Version 1.0", "?, Version 1.2", "? ?, version 1.2 or later", "? Open License",
+)
+OTHER_TERMS = (
+    "This software comes without any warranty and the author is not liable for any damages that arise from its use.",
+    "The authors give no warranty, express or implied, and shall not be held liable for damages caused by this program.",
+    "You are permitted to use, change and redistribute this program, including for commercial purposes, as long as this notice is kept.",
+    "Anyone is granted the right to copy, modify and redistribute the files, provided the origin is not misrepresented and this notice is not removed.",
+    "The accompanying materials are made available under the terms of the license agreement that accompanies this distribution.",
+    "By using this software you accept the terms of the license; redistribution in any form is not permitted.",
+    "A copy of the license is included with this distribution; the software may be used only in accordance with it.",
+)
+#: Words of families' names that identify none of them.
+_COMMON = frozenset("a all by general international later licence license new or public rights sa sharealike the universal version 1.0 2 2.0 3 4.0 v2.1 v3".split())
+
+_LICENCE_WORDS = frozenset(("license", "licence", "licensed", "licenced", "spdx-license-identifier"))
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
@@ -118,7 +141,7 @@ def words(paragraph: str) -> list[str]:
 
 @dataclass(frozen=True)
 class LicenceModel:
-    families: tuple[str, ...]  # the last is `none`
+    families: tuple[str, ...]  # the last two are `unknown` and `none`
     number: dict[str, int]  # word -> 1.., 0 is any other word
     single: np.ndarray  # word number -> weights
     pair_index: np.ndarray  # (word number, word number) -> row of pair, 0 if none
@@ -126,7 +149,7 @@ class LicenceModel:
     intercept: np.ndarray
     temperature: float
     threshold: float
-    templates: tuple[tuple[frozenset[tuple[str, str]], ...], ...]
+    templates: tuple[tuple[tuple[frozenset[tuple[str, str]], frozenset[str]], ...], ...]  # bigrams; words of which one is needed, if any
     least_similarity: float = 0.6
 
     def probabilities(self, paragraphs: list[list[str]]) -> np.ndarray:
@@ -152,11 +175,19 @@ class LicenceModel:
         """The larger of the shares of the paragraph's bigrams in a template and of a template's in the paragraph."""
         own = set(zip(paragraph, paragraph[1:]))
         best = 0.0
-        for template in self.templates[family]:
+        for template, needed in self.templates[family]:
+            if needed and needed.isdisjoint(paragraph):
+                continue
             both = len(own & template)
             best = max(best, both / max(1, len(own)), both / max(1, len(template)) if len(template) > 1 else 0.0)
         return best
 
+    def speaks_of_terms(self, paragraph: list[str]) -> bool:
+        """Whether there is a word for licences, or three pairs of words and a quarter of all are as in licences."""
+        pairs = {(a, b) for a, b in zip(paragraph, paragraph[1:]) if a != b}
+        known = sum(self.pair_index[self.number.get(a, 0), self.number.get(b, 0)] > 0 for a, b in pairs)
+        return not _LICENCE_WORDS.isdisjoint(paragraph) or (known >= 3 and 4 * known >= len(pairs))
+
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
         """How many paragraphs a text has, and its licence paragraphs."""
         spans, at = [], 0
@@ -168,12 +199,16 @@ class LicenceModel:
         found = []
         if asked:
             p = self.probabilities([w for _, _, w in asked])
-            best = p.argmax(axis=1)
-            for k in np.flatnonzero((best < len(self.families) - 1) & (p[np.arange(len(p)), best] >= self.threshold)).tolist():
+            best = p[:, : len(FAMILIES)].argmax(axis=1)
+            for k in np.flatnonzero(1 - p[:, -1] >= self.threshold).tolist():
                 start, line, own = asked[k]
+                family, confidence = self.families[best[k]], float(p[k, best[k]])
                 similarity = self.similarity(int(best[k]), own)
-                if similarity >= self.least_similarity:
-                    found.append({"family": self.families[best[k]], "confidence": float(p[k, best[k]]), "similarity": similarity, "start": start, "end": start + len(line), "text": line})
+                if confidence < self.threshold or similarity < self.least_similarity:
+                    if not self.speaks_of_terms(own):
+                        continue
+                    family, confidence = "unknown", float(1 - p[k, -1])
+                found.append({"family": family, "confidence": confidence, "similarity": similarity, "start": start, "end": start + len(line), "text": line})
         return len(spans), found
 
 
@@ -196,14 +231,26 @@ def examples(seed: int = 0) -> tuple[list[list[str]], np.ndarray]:
                 copies.append(kept)
             paragraphs += [c for c in copies if len(c) > 1]
             classes += [k] * (len(paragraphs) - len(classes))
-    none = len(FAMILIES)
+    named = [[{"qqq": "-"}.get(w, w) for w in words(s.format(n.replace("?", "qqq")))] for s in STATEMENTS for n in OTHER_NAMES]
+    terms = [words(t) for t in OTHER_TERMS]
+    for t in terms:
+        vocabulary += t
+        for _ in range(32):  # parts, some words others
+            begin = int(rng.integers(0, len(t) // 2))
+            named.append([w if rng.random() > 0.15 else "-" for w in t[begin : begin + int(rng.integers(8, len(t) + 1))]])
+    paragraphs += terms * 4 + [n for n in named if len(n) > 1]
+    classes += [len(FAMILIES)] * (len(paragraphs) - len(classes))
+    none = len(FAMILIES) + 1
     everyday = [words(s) for s in EVERYDAY]
     pool = sorted(set(vocabulary))
     for _ in range(1500):  # words of licences in no order, among others, and parts of everyday sentences
         size = int(rng.integers(2, 40))
         mixed = [pool[int(rng.integers(len(pool)))] if rng.random() < 0.4 else "-" for _ in range(size)]
         part = everyday[int(rng.integers(len(everyday)))]
-        paragraphs += [mixed, part[int(rng.integers(0, len(part) - 1)) :]]
+        usual = lambda: vocabulary[int(rng.integers(len(vocabulary)))]
+        share = rng.random() * 0.6
+        prose = [usual() if rng.random() < share else "-" for _ in range(size)]  # as often as they are in licences
+        paragraphs += [mixed, part[int(rng.integers(0, len(part) - 1)) :], prose]
     paragraphs += everyday * 5
     classes += [none] * (len(paragraphs) - len(classes))
     return paragraphs, np.asarray(classes)
@@ -212,11 +259,11 @@ def examples(seed: int = 0) -> tuple[list[list[str]], np.ndarray]:
 def train(rounds: int = 400, rate: float = 2.0, penalty: float = 1e-4, threshold: float = 0.6, seed: int = 0) -> LicenceModel:
     """Fits the classifier to examples(); a fifth of them sets the temperature. Small and the same every time."""
     paragraphs, classes = examples(seed)
-    families = (*FAMILIES, "none")
+    families = (*FAMILIES, "unknown", "none")
     kinds = len(families)
-    template_words = sorted({w for p, c in zip(paragraphs, classes) if c < kinds - 1 for w in p})
+    template_words = sorted({w for p, c in zip(paragraphs, classes) if c < kinds - 1 for w in p} - {"-"})
     number = {w: i for i, w in enumerate(template_words, 1)}
-    pairs = sorted({(a, b) for p, c in zip(paragraphs, classes) if c < kinds - 1 for a, b in zip(p, p[1:])})
+    pairs = sorted({(a, b) for p, c in zip(paragraphs, classes) if c < kinds - 1 for a, b in zip(p, p[1:]) if "-" not in (a, b)})
     pair_index = np.zeros((len(number) + 1,) * 2, np.int32)
     for i, (a, b) in enumerate(pairs, 1):
         pair_index[number[a], number[b]] = i
@@ -257,7 +304,9 @@ def train(rounds: int = 400, rate: float = 2.0, penalty: float = 1e-4, threshold
     loss = [-np.log(np.maximum(softmax(held / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
     known = len(number) + 1
     templates = tuple(
-        tuple(frozenset(zip(w, w[1:])) for w in [words(t) for t in texts] + [words(s.format(n)) for s in STATEMENTS for n in names]) for names, texts in FAMILIES.values()
+        tuple((frozenset(zip(w, w[1:])), frozenset()) for w in map(words, texts))
+        + tuple((frozenset(zip(w, w[1:])), frozenset(x for n in names for x in words(n)) - _COMMON) for w in [words(s.format(n)) for s in STATEMENTS for n in names])
+        for names, texts in FAMILIES.values()
     )
     pair_weights = np.concatenate([np.zeros((1, kinds)), weights[known:]])
     return LicenceModel(families, number, weights[:known], pair_index, pair_weights, intercept, float(grid[int(np.argmin(loss))]), threshold, templates)

@@ -211,6 +211,21 @@ def test_licence_classifier_on_held_out_examples(licence_model):
     assert (licence_model.probabilities(paragraphs).argmax(axis=1) == classes).mean() > 0.95
 
 
+def test_licences_of_other_families_are_unknown(licence_model):
+    notices = (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution.",
+        "Distributed under the Boost Software License, Version 1.0.", "Licensed under the EUPL, Version 1.2 or later", "Released under the Artistic License 2.0.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "You may use this tool under the terms of the Acme Research License; redistribution is not permitted.", "This font is licensed under the SIL Open Font License, Version 1.1.",
+    )
+    for line in notices:
+        n, found = licence_model.scan(f"Some words.\n{line}\nmore of the words of the text")
+        assert n == 3 and [(f["family"], f["start"], f["end"]) for f in found] == [("unknown", 12, 12 + len(line))], line
+        assert found[0]["confidence"] >= licence_model.threshold
+    for line in ("The The The The The The The The", "This.", "Mit und.", "The committee reviewed the license application of the restaurant.", "The public library offers free copies of software."):
+        assert licence_model.scan(line)[1] == [], line
+
+
 def test_licence_scan_of_a_table(spark, licence_model):
     out = by_id(licenses.scan_documents(table(spark, [None, "", "Released under the MIT License.\nx"]), licence_model))
     assert [out[i]["n_paragraphs"] for i in range(3)] == [0, 0, 2] and out[2]["licences"][0]["family"] == "MIT"
