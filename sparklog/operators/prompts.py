@@ -17,11 +17,11 @@ COST_BOUNDS = (0.0, 0.001, 0.01, 0.05, 0.1, 0.5)
 METRICS = ("tool_calls", "total_tokens", "depth", "distinct_tools")
 
 
-def segments(turns: DataFrame) -> DataFrame:
+def segments(turns: DataFrame, *carry: str) -> DataFrame:
     """Turns with the number of their prompt in the session; 0 before the first. Texts are not carried along."""
     is_prompt = (F.col("role") == "user") & F.col("content_text").isNotNull()
     rows = turns.select(
-        "session_id", "turn_id", "timestamp", "role", "model", "has_thinking", "cost_usd", "stop_reason", *[f"{c}_tokens" for c in CATEGORIES], is_prompt.alias("is_prompt")
+        "session_id", "turn_id", "timestamp", "role", "model", "has_thinking", "cost_usd", "stop_reason", *[f"{c}_tokens" for c in CATEGORIES], is_prompt.alias("is_prompt"), *carry
     )
     order = Window.partitionBy("session_id").orderBy("timestamp", "turn_id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("segment", F.sum(F.col("is_prompt").cast("int")).over(order))
@@ -30,9 +30,12 @@ def segments(turns: DataFrame) -> DataFrame:
 def prompt_pairs(turns: DataFrame, calls: DataFrame, sessions: DataFrame, r: Range = ALL_TIME, f: Filters = NO_FILTERS, tokens: str = "2way", model: str = "min") -> DataFrame:
     """A row per prompt: response cost and tokens, depth (0 without a response), tools.
 
-    tokens: 2way (input + output) or 4way. model: min, or first (of the first assistant turn).
+    tokens: 2way (input + output) or 4way. model: min, or first (of the first assistant turn). A turn gets the
+    number and names of its calls before prompts are numbered, so turns and calls are read once.
     """
-    rows = segments(turn_filters(turns.filter(r.holds("timestamp")), sessions, f, keep_user=True)).filter("segment > 0")
+    used = calls.groupBy("session_id", "turn_id").agg(F.count("*").alias("_calls"), F.collect_set("tool_name").alias("_tools"))
+    own = turn_filters(turns.filter(r.holds("timestamp")), sessions, f, keep_user=True)
+    rows = segments(own.join(used, ["session_id", "turn_id"], "left"), "_calls", "_tools").filter("segment > 0")
     answer = F.col("role") == "assistant"
     counted = F.col("input_tokens") + F.col("output_tokens")
     if tokens == "4way":
@@ -43,15 +46,14 @@ def prompt_pairs(turns: DataFrame, calls: DataFrame, sessions: DataFrame, r: Ran
         F.max(F.when(F.col("is_prompt"), F.col("turn_id"))).alias("turn_id"), F.max(F.when(F.col("is_prompt"), F.col("timestamp"))).alias("timestamp"),
         added(F.col("cost_usd")).alias("response_cost"), added(counted).alias("total_tokens"), *[added(F.col(f"{c}_tokens")).alias(f"{c}_tokens") for c in CATEGORIES],
         F.count_if(answer).alias("depth"), F.coalesce(F.bool_or(F.when(answer, F.col("has_thinking"))), F.lit(False)).alias("has_thinking"), chosen.alias("model"),
+        added(F.col("_calls")).alias("tool_calls"), F.collect_set(F.when(answer, F.col("_tools"))).alias("_tools"),
     )
-    used = calls.join(rows.filter(answer).select("turn_id", "session_id", "segment"), ["turn_id", "session_id"])
-    tools = used.groupBy("session_id", "segment").agg(F.count("*").alias("tool_calls"), F.countDistinct("tool_name").alias("distinct_tools"))
-    return pairs.join(tools, ["session_id", "segment"], "left").na.fill(0, ["tool_calls", "distinct_tools"])
+    return pairs.withColumn("distinct_tools", F.size(F.array_distinct(F.flatten("_tools"))).cast("long")).drop("_tools")
 
 
 def complexity(pairs: DataFrame) -> DataFrame:
     """(turn_id, complexity): 100 times the mean of four percent ranks, to one decimal, over all given prompts."""
-    ranked = with_percent_rank(pairs.select("turn_id", *METRICS), list(METRICS))
+    ranked = with_percent_rank(pairs.select("turn_id", *METRICS), "turn_id", list(METRICS))
     mean = sum((F.col(f"{m}_rank") for m in METRICS[1:]), F.col(f"{METRICS[0]}_rank")) / len(METRICS)
     return ranked.select("turn_id", F.round(mean * 100, 1).alias("complexity"))
 

@@ -6,25 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def count_below(rows: DataFrame, column: str, block: int = 4096) -> DataFrame:
-    """(column, below): for each distinct value of an integer column, how many rows have a smaller one.
+def with_percent_rank(rows: DataFrame, key: str, columns: list[str], suffix: str = "_rank") -> DataFrame:
+    """key and the percent rank of each integer column: rows below / (rows - 1), 0 for one row.
 
-    Rows are counted by value first. Values are grouped in blocks of `block` neighbours; the blocks' sums (a row
-    for each block in use) are added up in one small window, the values inside a block in its own partition.
+    key must be unique and without nulls; a null value ranks below all others. The columns are turned into
+    (metric, value) rows and counted by value; a running sum over the distinct values of a metric says how many
+    rows lie below. So one task holds the distinct values of a metric, never its rows, and `rows` is planned
+    twice, however many columns there are. Where many rows share a value, AQE splits the join.
     """
-    counts = rows.groupBy(column).agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col(column) / block))
-    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_sum"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_block").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    return ranked.join(blocks, "_block").select(column, (F.col("_inside") + F.col("_before")).alias("below"))
-
-
-def with_percent_rank(rows: DataFrame, columns: list[str], suffix: str = "_rank") -> DataFrame:
-    """rows with the percent rank of each integer column: rows below / (rows - 1), 0 for one row."""
-    whole = rows.agg(F.count("*").alias("_rows"))
-    for c in columns:
-        rows = rows.join(count_below(rows.select(c), c).withColumnRenamed("below", c + suffix), c)
-    rows = rows.crossJoin(F.broadcast(whole))  # one row
-    return rows.withColumns({c + suffix: F.coalesce(F.try_divide(F.col(c + suffix), F.col("_rows") - 1), F.lit(0.0)) for c in columns}).drop("_rows")
+    long = rows.select(key, F.posexplode(F.array(*[F.col(c).cast("long") for c in columns])).alias("_metric", "_value"))
+    long = long.withColumn("_value", F.coalesce("_value", F.lit(-(1 << 63))))
+    ordered = Window.partitionBy("_metric").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = long.groupBy("_metric", "_value").agg(F.count("*").alias("_n")).select(
+        "_metric", "_value", F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_below"), F.sum("_n").over(Window.partitionBy("_metric")).alias("_rows")
+    )
+    share = F.coalesce(F.try_divide("_below", F.col("_rows") - 1), F.lit(0.0))
+    each = long.join(ranked, ["_metric", "_value"]).select(key, "_metric", share.alias("_share"))
+    return each.groupBy(key).agg(*[F.max(F.when(F.col("_metric") == k, F.col("_share"))).alias(c + suffix) for k, c in enumerate(columns)])

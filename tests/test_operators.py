@@ -84,8 +84,8 @@ def test_percent_rank_equals_the_window_function(spark):
     rows = spark.createDataFrame([(k, rng.choice((0, 5, rng.randint(0, 10**6)))) for k in range(500)], "id int, v long")
     rows.createOrReplaceTempView("ranked_rows")
     want = {r["id"]: r["p"] for r in spark.sql("SELECT id, percent_rank() OVER (ORDER BY v) AS p FROM ranked_rows").collect()}
-    assert {r["id"]: r["v_rank"] for r in with_percent_rank(rows, ["v"]).collect()} == want
-    assert with_percent_rank(rows.limit(1), ["v"]).first()["v_rank"] == 0
+    assert {r["id"]: r["v_rank"] for r in with_percent_rank(rows, "id", ["v"]).collect()} == want
+    assert with_percent_rank(rows.limit(1), "id", ["v"]).first()["v_rank"] == 0
 
 
 def greedy(times, span):
@@ -198,3 +198,19 @@ def test_stream_ingest(spark, tmp_path):
     assert tables["turns"].count() == 2
     session = tables["sessions"].first()
     assert (session["num_turns"], session["duration_seconds"]) == (2, 60)
+
+
+def test_prompt_scores_do_not_repeat_their_plan(spark):
+    import __spark_entry__
+
+    found = __spark_entry__.queries()
+    for name, most in (("complexity_score", 4), ("prompt_stats", 6), ("prompt_pairs", 2)):
+        plan = found[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= most, name
+
+
+def test_headline_queries_exist():
+    import __spark_entry__
+    import bench
+
+    assert set(bench.HEADLINE) <= set(__spark_entry__.queries())
