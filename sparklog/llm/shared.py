@@ -81,10 +81,15 @@ class RangeHash:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share; spark.checkpoint.dir names it."""
+    """A new path in the folder that driver and executors share; spark.checkpoint.dir names it.
+
+    Where that is unset, a folder of this machine does, but only for a local master.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/sparklog-shared"  # unset only on a single machine, as in tests
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/sparklog-shared"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -104,6 +109,13 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def refuse_clash(df: DataFrame, *out: str) -> None:
+    """Raises where a new column would take the place of one of df's (Spark's names ignore case)."""
+    clash = {c.lower() for c in df.columns} & {c.lower() for c in out}
+    if clash:
+        raise ValueError(f"the table already has a column {sorted(clash)[0]}; name another with out=")
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just id and text, under the names doc_id and text, whatever else the table holds."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -119,7 +131,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): a table (node, component), component the least node.
 
     Large-star / small-star rounds: every round is a shuffle of the edges, each node's neighbours are only
-    aggregated (min) and never gathered, and the edge table is written between rounds. Nodes without edges
+    aggregated (min) and never gathered, and the edge table is written between rounds. The rounds grow with
+    the logarithm of the longest path; where max_rounds don't do, an error is raised. Nodes without edges
     are not in the result; an empty edge table gives an empty result.
     """
     spark = edges.sparkSession
@@ -142,5 +155,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         current = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("a").alias("node"), F.col("a").alias("component"))
     return current.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots).distinct()
