@@ -7,7 +7,10 @@ their border (a property of the two tokens, memoised). Where no token fits, the
 its next shorter prefix is tried; a position found dead is never entered again, so the time is linear. The
 result is the exact sequence that rank-ordered merging gives.
 
-Null and empty texts give an empty id list; repeated rows are encoded alike; other columns pass through.
+Defined results: null and empty texts give an empty id list; repeated rows are encoded alike; a text of any
+length is encoded whole, in time linear in it; two ways to split a text never tie, as merges have an order;
+other columns pass through, and a column that has the name of the result is refused; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from collections.abc import Sequence
 from functools import lru_cache
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -24,13 +29,20 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklog.llm.shared import refuse_clash
+
 #: How the rank files' texts are split before merging. Fixed value: part of the vocabularies' definition.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: One of these behind letters, at a chunk's end, is a pre-token of its own.
-_MARKS = frozenset(".,;:!?")
-#: A single space between two non-spaces: no pre-token reaches across the place before it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters are one pre-token with what leads them, marks behind them (but ') another.
+_PLAIN = re.compile("(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+#: White space other than space and line end; a text that has it is split by the pattern throughout.
+_RARE_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_RARE = re.compile(r"[^\S \n]")
+#: Outside Latin-1, so in no token: the automaton starts anew behind it.
+_APART = "\u0100"
+#: Longer pre-tokens are encoded one at a time and not memoised.
+_LONG = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,10 +50,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _key(piece: str) -> str:
+    """A pre-token as a key of the memo: a leading space is dropped, no leading space shown by a line end."""
+    return piece[1:] if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else "\n" + piece
+
+
 class BytePairEncoder:
     """One vocabulary's tables; encodes pre-tokens, texts and whole Arrow arrays."""
 
-    CACHED = 300_000
+    CACHED = 600_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
@@ -53,6 +70,7 @@ class BytePairEncoder:
         self.length = [len(t) for t in self.token]
         self.lengths = np.asarray(self.length)
         self.shorter = [next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), -1) for t in self.token]
+        self.shorter_of = np.asarray(self.shorter)
         self.halves: list[tuple[int, int]] = [(i, i) for i in range(size)]
         self.merged: dict[tuple[int, int], int] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
@@ -61,12 +79,16 @@ class BytePairEncoder:
         self.compatible.clear()  # judged before all merges were known
         self.matches = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.matches.add_word(token.decode("latin-1"), rank)
+            if len(token) > 1:
+                self.matches.add_word(token.decode("latin-1"), rank)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.line_end = np.int32(ranks[b"\n"]).tobytes()
         self.matches.make_automaton()
         self.bytes_table = pa.array(self.token, pa.large_binary())
-        self.pieces = _Recent(self)
-        self.later = _Chunks(self, " ")
-        self.first = _Chunks(self, "")
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pair_key = np.full(1 << 21, -1, np.int64)
+        self.pair_fits = np.zeros(1 << 21, bool)
 
     def _find_merge(self, whole: int) -> None:
         """The pair whose merge makes this token, if rank-ordered merging can make it."""
@@ -115,7 +137,7 @@ class BytePairEncoder:
         if whole is not None:
             return (whole,)
         length, shorter, compatible, size = self.length, self.shorter, self.compatible, len(piece)
-        longest = [0] * size
+        longest = self.single[np.frombuffer(piece, np.uint8)].tolist()
         for end, rank in self.matches.iter(piece.decode("latin-1")):
             # of the tokens that end here the longest comes first, and a later end means a longer token
             longest[end + 1 - length[rank]] = rank
@@ -153,21 +175,169 @@ class BytePairEncoder:
                     rank = shorter[last]
                 last = ids[-1] if ids else -1
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """The ids of a text, which is cut where pre-tokens can't reach across."""
-        if not text:
-            return np.empty(0, np.int32)
-        return np.frombuffer(self._coded(text), np.int32)
+    def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_judge of many pairs; the table of pairs judged before has one place for each of 2**21 hashes."""
+        key = left * len(self.token) + right
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        fits, new = self.pair_fits[slot], np.flatnonzero(self.pair_key[slot] != key)
+        if len(new):
+            pairs, back = np.unique(key[new], return_inverse=True)
+            judged = np.fromiter((self._judge(*divmod(k, len(self.token))) for k in pairs.tolist()), bool, len(pairs))
+            fits[new] = judged[back]
+            self.pair_key[slot[new]], self.pair_fits[slot[new]] = -1, False
+            order = np.argsort(back, kind="stable")  # where two pairs have one place, key and value of one of them
+            self.pair_key[slot[new[order]]], self.pair_fits[slot[new[order]]] = key[new[order]], fits[new[order]]
+        return fits
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as bytes of 32-bit numbers; all take their steps side by side."""
+        sizes = np.fromiter(map(len, pieces), np.int64, count=len(pieces))
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        joined = _APART.join([p.decode("latin-1") for p in pieces])
+        longest = np.append(self.single[np.frombuffer(b"\0".join(pieces), np.uint8)], 0)
+        found = np.fromiter(chain.from_iterable(self.matches.iter(joined)), np.int64)
+        ends, ranks = found[::2], found[1::2]
+        longest[ends + 1 - self.lengths[ranks]] = ranks  # later ends, so longer tokens, come later
+        alive = np.ones(len(longest), bool)
+        stack = np.zeros((len(pieces), int(sizes.max(initial=0)) + 1), np.int32)  # an own -1 before the first token
+        stack[:, 0] = -1
+        deep = np.zeros(len(pieces), np.int64)
+        who, at, stop = np.arange(len(pieces)), begin.copy(), begin + sizes
+        last, rank = np.full(len(pieces), -1), longest[begin]
+        while len(who):
+            end = at + self.lengths[rank]
+            fits = (rank >= 0) & alive[np.minimum(end, stop)]
+            ask = np.flatnonzero(fits & (last >= 0))
+            fits[ask] = self._fits(last[ask], rank[ask])
+            back = np.flatnonzero(rank < 0)
+            if len(back):  # nothing fits here: take the last token back and try its next shorter prefix
+                alive[at[back]] = False
+                w = who[back]
+                taken = stack[w, deep[w]]
+                if (taken < 0).any():
+                    raise ValueError("the vocabulary lacks single bytes")
+                deep[w] -= 1
+                at[back] -= self.lengths[taken]
+            next_rank = self.shorter_of[rank]
+            if len(back):
+                next_rank[back], last[back] = self.shorter_of[taken], stack[w, deep[w]]
+            w = who[fits]
+            deep[w] += 1
+            stack[w, deep[w]] = rank[fits]
+            at[fits], last[fits] = end[fits], rank[fits]
+            next_rank[fits] = longest[end[fits]]
+            rank = next_rank
+            going = np.flatnonzero(at < stop)
+            if len(going) < len(who):
+                who, at, stop, last, rank = who[going], at[going], stop[going], last[going], rank[going]
+        data = stack[:, 1:][np.arange(1, stack.shape[1]) <= deep[:, None]].tobytes()
+        cuts = (4 * np.cumsum(np.append(0, deep))).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _keys(self, text: str) -> list[str]:
+        """The text in parts whose ids, in a row, are its ids.
+
+        A part is a key of the memo: what stands between two single spaces or line ends (a chunk), with a
+        line end before it where no space leads it; a carriage return stands for a line end. Spaces and line
+        ends beside other white space don't cut so; then every pre-token is a part.
+        """
+        rare = any(c in text for c in _RARE_ASCII) if text.isascii() else _RARE.search(text)
+        if rare or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
+            return list(map(_key, self.split(text)))
+        return ("\n" + text.replace("\n", " \r \n")).split(" ")
+
+    def _coded(self, keys: list[str]) -> list[bytes]:
+        """The ids of each key; those that the memo lacks are encoded together."""
+        out = list(map(self.memo.get, keys))
+        places = [k for k, ids in enumerate(out) if ids is None]
+        if not places:
+            return out
+        number: dict[str, int] = {}  # of each key to find
+        own = [number.setdefault(keys[k], len(number)) for k in places]
+        found: list[bytes | None] = [self.older.get(key) for key in number]
+        mixed: list[tuple[int, list[str]]] = []  # several pre-tokens
+        single: list[int] = []
+        texts: list[str] = []
+        for k, key in enumerate(list(number)):
+            if found[k] is not None:
+                continue
+            if key.isascii() and key.isalpha():
+                single.append(k)
+                texts.append(" " + key)
+                continue
+            if plain := _PLAIN.fullmatch(key):
+                letters, marks = plain.groups()
+                if not marks:
+                    single.append(k)
+                    texts.append(key[1:] if key[0] == "\n" else " " + key)
+                    continue
+                parts = [letters, "\n" + marks]
+            elif len(key) < 2 and key in "\n\r":
+                found[k] = self.line_end if key == "\r" else b""
+                continue
+            else:
+                parts = list(map(_key, self.split(key[1:] if key[0] == "\n" else " " + key)))
+                if len(parts) == 1:
+                    single.append(k)
+                    texts.append(key[1:] if key[0] == "\n" else " " + key)
+                    continue
+            mixed.append((k, parts))
+            for p in parts:
+                if p not in self.memo and p not in number:
+                    number[p] = len(number)
+                    found.append(self.older.get(p))
+                    if found[-1] is None:
+                        single.append(len(found) - 1)
+                        texts.append(p[1:] if p[0] == "\n" else " " + p)
+        short: list[int] = []
+        pieces: list[bytes] = []
+        for k, text in zip(single, texts):
+            piece = text.encode("utf-8", "replace")
+            if len(piece) > _LONG:
+                found[k] = array("i", self.encode_piece(piece)).tobytes()
+            else:
+                short.append(k)
+                pieces.append(piece)
+        for low in range(0, len(short), 50_000):
+            for k, ids in zip(short[low : low + 50_000], self.encode_pieces(pieces[low : low + 50_000])):
+                found[k] = ids
+        for k, parts in mixed:
+            found[k] = b"".join([found[number[p]] if p in number else self.memo[p] for p in parts])
+        for k, n in zip(places, own):
+            out[k] = found[n]
+        if len(self.memo) + len(found) > self.CACHED:  # the memo becomes the older half, whose entries return as they are used
+            self.older, self.memo = self.memo, {}
+        self.memo.update(islice(((key, ids) for key, ids in zip(number, found) if len(key) <= _LONG), self.CACHED))
+        return out
+
+    def encode_texts(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The ids of each text, as bytes of 32-bit numbers."""
+        keys: list[str] = []
+        ends = [0]
+        for text in texts:
+            if text:
+                keys += self._keys(text)
+            ends.append(len(keys))
+        coded = self._coded(keys)
+        return [b"".join(coded[a:b]) for a, b in zip(ends, ends[1:])]
 
-    def _coded(self, text: str) -> bytes:
-        parts = _CUT.split(text)
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.encode_texts([text])[0], np.int32)
 
     def encode(self, text: str) -> list[int]:
         return self.ids(text).tolist()
 
     def encode_array(self, texts: pa.Array) -> pa.ListArray:
-        parts = [self._coded(text) if text else b"" for text in texts.to_pylist()]
+        parts: list[bytes] = []
+        held: list[str | None] = []
+        size = 0
+        for text in texts.to_pylist():
+            held.append(text)
+            size += len(text) if text else 0
+            if size >= 2_000_000:  # characters whose parts are in memory at a time, or one text
+                parts += self.encode_texts(held)
+                held, size = [], 0
+        parts += self.encode_texts(held)
         ends = np.cumsum([0, *map(len, parts)]) // 4
         values = np.frombuffer(b"".join(parts), np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
@@ -184,50 +354,6 @@ class BytePairEncoder:
         return whole.cast(pa.binary())
 
 
-class _Recent(dict):
-    """text -> its ids as bytes of 32-bit numbers, of bounded size.
-
-    When full it becomes the older half, whose entries return as they are used.
-    """
-
-    def __init__(self, encoder: BytePairEncoder):
-        super().__init__()
-        self.encoder = encoder
-        self.older: dict[str, bytes] = {}
-
-    def compute(self, text: str) -> bytes:
-        """A pre-token's ids."""
-        return array("i", self.encoder.encode_piece(text.encode("utf-8", "replace"))).tobytes()
-
-    def __missing__(self, text: str) -> bytes:
-        ids = self.older.get(text)
-        if ids is None:
-            ids = self.compute(text)
-        if len(text) <= 64:
-            if len(self) >= self.encoder.CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[text] = ids
-        return ids
-
-
-class _Chunks(_Recent):
-    """chunk -> ids, each chunk after `lead`."""
-
-    def __init__(self, encoder: BytePairEncoder, lead: str):
-        super().__init__(encoder)
-        self.lead = lead
-
-    def compute(self, text: str) -> bytes:
-        encoder = self.encoder
-        if text.isascii():
-            if text.isalpha():  # one pre-token
-                return array("i", encoder.encode_piece((self.lead + text).encode())).tobytes()
-            if text[-1:] in _MARKS and text[:-1].isalpha():  # two
-                return self[text[:-1]] + encoder.pieces[text[-1]]
-        return b"".join(map(encoder.pieces.__getitem__, encoder.split(self.lead + text)))
-
-
 @lru_cache(maxsize=4)
 def encoder_of(path: str) -> BytePairEncoder:
     """Read and built once in each worker process; path must be readable on every node."""
@@ -255,9 +381,12 @@ def decode(ids: Column | str, ranks: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, ranks: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the ids of text_col in column out."""
+    """docs with the ids of text_col in column out, whose name must be new."""
+    refuse_clash(docs, out)
     return docs.withColumn(out, encode(F.col(text_col).cast("string"), ranks))
 
 
 def decode_documents(docs: DataFrame, ranks: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """docs with the bytes of ids_col in column out, whose name must be new."""
+    refuse_clash(docs, out)
     return docs.withColumn(out, decode(F.col(ids_col), ranks))
