@@ -1,23 +1,32 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
 The standard library's parser streams events; block elements cut the page into lines, each with its number of
-text characters and tags. Containers that are boilerplate by their element, role or name (menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments, scripts, styles) are left out as they open. The
-ratio of text to tags of each line is smoothed with a Gaussian over its neighbours; lines above a threshold
-between the page's low and high cluster are content. A content line selects its region: the innermost
-`article` or `main` around it, else its own container: from its first to its last content line, and where
-they hold most of the container's text all of its lines but those that are links. All lines of the selected
-regions are the text.
+text characters and tags. The ratio of text to tags of each line is smoothed with a Gaussian over its
+neighbours; lines above a threshold between the page's low and high cluster are content. A content line
+selects its region: the innermost `article` or `main` around it, else its own container: from its first to its
+last content line, and where they hold most of the container's text all of its lines but those that are links.
+All lines of the selected regions are the text.
+
+Elements and roles that are boilerplate by their meaning (nav, footer, aside, script, ..) are left out as they
+open. Names of classes and ids, forms and hidden containers only make a container suspect: it is judged once
+the page has ended, by the content lines in it. Suspects go as long as the content outside them is at least
+LEAST_OUTSIDE of that in the largest; if not, the largest is a wrapper of the content and stays, and the
+suspects inside it are judged in turn. So no name can empty a page: one whose content is all in a suspect keeps
+it, if that is SOME_PROSE characters or more (a cookie notice alone is no article).
 
 Inside a block, white space becomes one space and the ends are trimmed; blocks are joined by a line end.
-Defined results: null and empty pages, and pages without text, give the empty text; unclosed elements end
-with their parent or the page; a tag cut off by the page's end is dropped, a character reference that is cut
-off is read as HTML reads it.
+Defined results: null and empty pages, and pages without text, give the empty text; equal ratios are one
+cluster, all content; repeated rows are extracted alike; the time is linear in the page's length, however long
+or deeply nested it is; unclosed elements end with their parent or the page; a tag cut off by the page's end
+is dropped, a character reference that is cut off is read as HTML reads it. An empty table gives an empty
+table; a column that has the name of the result is refused.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklog.llm.shared import refuse_clash
+
 #: Elements that cut lines.
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -32,31 +43,55 @@ _BLOCKS = frozenset(
 )
 #: Elements whose content is never main text.
 _NEVER = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input label map menu nav noscript object option script select "
+    "aside audio button canvas datalist dialog footer head iframe input label map menu nav noscript object option script select "
     "style svg template textarea title video".split()
 )
 #: Elements without an end.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the next of these, or any block for p, ends.
 _ENDED_BY = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
-_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|"
-    r"popups?|modal|newsletter|subscribe|signup|sidebars?|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|"
-    r"comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|login|search|pagination|pager)(?:$|[^a-z])"
+_ROLES = frozenset("alert banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+#: Words in names of classes and ids that make a container suspect, and those that say how it is laid out.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promotions banner banners cookie cookies "
+    "consent gdpr notice notices alert alerts popup popups modal newsletter subscribe signup sidebar sidebars widget widgets menu menus nav navbar navigation "
+    "breadcrumb breadcrumbs masthead header footer comment comments commentlist disqus respond replies reply share sharing social related recommended login "
+    "search pagination pager".split()
 )
+_LAYOUT = frozenset("has have no not with without is free open opened closed enabled disabled allowed results image".split())
+_ON_ROOTS = re.compile("comment|repl(?:y|ies)|advert|sponsor|promo|related")
+_CASE = re.compile("(?<=[a-z])(?=[A-Z])")
+_WORDS = re.compile("[a-z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CUT_OFF = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 _ROOTS = frozenset(("html", "body", "article", "main"))
+_BOXES = frozenset(("article", "main", "section", "div", "td", "body"))
+
+#: Content outside of suspects, as a share of the largest one's, that is enough to drop them; characters of content that make a suspect a wrapper.
+LEAST_OUTSIDE, SOME_PROSE = 0.05, 300
+
+
+def suspect_name(name: str, root: bool) -> bool:
+    """Whether one of the names in a class or id stands for boilerplate, and not for a layout that has or lacks it."""
+    for part in _CASE.sub("-", name).lower().split():
+        own = _WORDS.findall(part)
+        if not _NAMES.isdisjoint(own) and _LAYOUT.isdisjoint(own) and (not root or _ON_ROOTS.search(part)):
+            return True
+    return False
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: text, tags, number of the region, number of the container, is it mostly a link."""
+    """Cuts a page into lines: text, tags, numbers of the region, the container and the innermost suspect, is it mostly a link."""
 
-    def __init__(self):
+    def __init__(self, names: bool = True):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, int, int]] = [("", 0, 0)]  # element, region, container
-        self.skipped: list[str] = []  # open elements from a boilerplate container on
+        self.names = names  # do they make inline elements, which are left out as they open, suspect?
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, int, Counter]] = [("", 0, 0, 0, Counter())]  # element, region, container, suspect, inline elements open
+        self.open = Counter()  # block elements by name
+        self.around = [0]  # of each suspect, the suspect around it
+        self.skip = ""  # the element left out, if any, its depth and the block elements opened inside
+        self.depth, self.inside = 0, Counter()
         self.text: list[str] = []
         self.tags = self.count = self.linked = 0
         self.in_link = False
@@ -64,93 +99,132 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, *self.open[-1][1:], 2 * self.linked > len(text)))
+            self.lines.append((text, self.tags, *self.blocks[-1][1:4], 2 * self.linked > len(text)))
         self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skipped:
-            if self.skipped[-1] in _ENDED_BY and tag in _ENDED_BY[self.skipped[-1]]:
-                self.skipped.pop()
-            if self.skipped:
-                if tag not in _VOID:
-                    self.skipped.append(tag)
+        if self.skip:
+            self.depth += tag == self.skip
+            if tag in _BLOCKS and tag != self.skip:
+                self.inside[tag] += 1
+            return
+        block = tag in _BLOCKS
+        if block:
+            self.flush()
+            while self.blocks[-1][0] in _ENDED_BY and tag in _ENDED_BY[self.blocks[-1][0]]:
+                self.leave()
+        if tag in _NEVER or tag == "header" and not self.blocks[-1][1] or any(n == "role" and (v or "").lower() in _ROLES for n, v in attrs):
+            if tag not in _VOID:
+                self.skip, self.depth, self.inside = tag, 1, Counter()
+            return
+        suspect = tag == "form" or tag not in ("html", "body") and bool(attrs) and self.suspect(tag, attrs)
+        if suspect and not block and tag not in _VOID:
+            if self.names:
+                self.skip, self.depth, self.inside = tag, 1, Counter()
                 return
-        if tag in _VOID and tag not in _NEVER:
-            self.tags += 1
+        self.tags += 1
+        if tag in _VOID:
             if tag == "br":
                 self.text.append(" ")
             elif tag == "hr":
                 self.flush()
             return
-        if tag in _BLOCKS:
-            self.flush()
-            while self.open[-1][0] in _ENDED_BY and tag in _ENDED_BY[self.open[-1][0]]:
-                self.open.pop()
-        if self.boilerplate(tag, attrs):
-            if tag not in _VOID:
-                self.skipped.append(tag)
+        self.in_link = tag == "a" or self.in_link and not block
+        if not block:
+            self.blocks[-1][4][tag] += 1
             return
-        self.tags += 1
-        self.in_link = tag == "a" or self.in_link and tag not in _BLOCKS
-        _, region, container = self.open[-1]
+        _, region, container, around, _ = self.blocks[-1]
         self.count += 1
         if tag in ("article", "main"):
             region = self.count
-        if tag in ("article", "main", "section", "div", "td", "body"):
+        if tag in _BOXES:
             container = self.count
-        self.open.append((tag, region, container))
+        if suspect:
+            self.around.append(around)
+            around = len(self.around) - 1
+        self.open[tag] += 1
+        self.blocks.append((tag, region, container, around, Counter()))
 
-    def boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in _NEVER:
-            return True
-        if tag == "header" and not self.open[-1][1]:
-            return True
-        if tag in ("html", "body") or not attrs:
-            return False
+    def suspect(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value == "form":
                 return True
-            if not value:
-                continue
-            if name == "role" and value.lower() in _ROLES:
+            if value and name == "style" and _HIDDEN.search(value):
                 return True
-            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            if value and name in ("class", "id") and suspect_name(value, tag in _ROOTS):
                 return True
-            if name in ("class", "id") and _NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()):
-                if tag not in _ROOTS or re.search(r"comment|reply|repl(y|ies)|advert|sponsor|promo|related", value, re.I):
-                    return True
         return False
 
+    def end(self) -> None:
+        """Ends the page."""
+        super().close()
+        self.flush()
+
+    def leave(self) -> str:
+        """Ends the innermost block and the inline elements in it."""
+        tag = self.blocks.pop()[0]
+        self.open[tag] -= 1
+        return tag
+
     def handle_endtag(self, tag: str) -> None:
-        if self.skipped:
-            if tag in self.skipped:
-                while self.skipped.pop() != tag:
-                    pass
-            elif tag in _BLOCKS and any(tag == name for name, _, _ in self.open):
-                self.skipped.clear()  # its parent ends
-            else:
+        if self.skip:
+            if tag == self.skip:
+                self.depth -= 1
+                if not self.depth:
+                    self.skip = ""
                 return
-            if self.skipped or tag not in _BLOCKS or not any(tag == name for name, _, _ in self.open):
+            if self.inside[tag] > 0:
+                self.inside[tag] -= 1
                 return
-            return
+            if self.open[tag] <= 0:
+                return
+            self.skip = ""  # its parent ends
         self.tags += 1
         if tag in _BLOCKS:
             self.flush()
-        if tag == "a" or tag in _BLOCKS:
             self.in_link = False
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                break
-            if tag not in _BLOCKS and self.open[k][0] in _BLOCKS:
-                break  # an inline end doesn't close blocks
+            if self.open[tag] > 0:
+                while self.leave() != tag:
+                    pass
+        else:
+            self.in_link = self.in_link and tag != "a"
+            inline = self.blocks[-1][4]  # an inline end doesn't close blocks
+            if inline[tag] > 0:
+                inline[tag] -= 1
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped:
+        if not self.skip:
             self.text.append(data)
             self.linked += len(data.strip()) if self.in_link else 0
 
 
+def dropped_suspects(lines: list[tuple], around: list[int], chosen: list[int]) -> set[int]:
+    """The numbers of the suspects that go, those inside others included."""
+    clean = [0] * len(around)  # content characters, without those of suspects inside
+    for k in chosen:
+        clean[lines[k][4]] += len(lines[k][0])
+    whole = clean[:]
+    inside = defaultdict(list)
+    for k in range(len(around) - 1, 0, -1):  # a suspect has a higher number than those around it
+        whole[around[k]] += whole[k]
+        inside[around[k]].append(k)
+    outside = clean[0]
+    waiting = [(-whole[k], k) for k in inside[0]]
+    heapq.heapify(waiting)
+    while waiting and -waiting[0][0] >= SOME_PROSE and outside < LEAST_OUTSIDE * -waiting[0][0]:
+        _, k = heapq.heappop(waiting)
+        outside += clean[k]
+        for n in inside[k]:
+            heapq.heappush(waiting, (-whole[n], n))
+    gone: set[int] = set()
+    rest = [k for _, k in waiting]
+    while rest:
+        k = rest.pop()
+        gone.add(k)
+        rest += inside[k]
+    return gone
+
+
 def content(ratio: np.ndarray, sigma: float = 1.0, share: float = 0.5) -> np.ndarray:
     """Which lines are content: smoothed ratio above a share of the way between the low and the high cluster."""
     if len(ratio) < 2:
@@ -171,33 +245,45 @@ def content(ratio: np.ndarray, sigma: float = 1.0, share: float = 0.5) -> np.nda
     return smooth >= min(low + (high - low) * share, smooth.max())
 
 
+def _ratios(lines: list[tuple]) -> np.ndarray:
+    return np.array([len(line[0]) / max(1, line[1]) for line in lines])
+
+
+def _lines(html: str, names: bool) -> list[tuple]:
+    """The page's lines outside of dropped suspects."""
+    parser = _Lines(names)
+    parser.feed(_CUT_OFF.sub("", html))
+    parser.end()
+    lines = parser.lines
+    if not lines or len(parser.around) == 1:
+        return lines
+    chosen = [k for k in np.flatnonzero(content(_ratios(lines))).tolist() if not lines[k][5]]
+    gone = dropped_suspects(lines, parser.around, chosen)
+    return [line for line in lines if line[4] not in gone]
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(_CUT_OFF.sub("", html))
-    parser.close()
-    parser.flush()
-    lines = parser.lines
+    lines = _lines(html, True) or _lines(html, False)
     if not lines:
         return ""
-    ratio = np.array([len(line[0]) / max(1, line[1]) for line in lines])
-    chosen = np.flatnonzero(content(ratio)).tolist()
+    chosen = np.flatnonzero(content(_ratios(lines))).tolist()
     regions = {lines[k][2] for k in chosen} - {0}
     if regions:
         return "\n".join(line[0] for line in lines if line[2] in regions)
     spans: dict[int, tuple[int, int]] = {}
     held: dict[int, int] = {}
     for k in chosen:
-        text, _, _, box, _ = lines[k]
+        text, _, _, box, _, _ = lines[k]
         spans[box] = (min(k, spans.get(box, (k, k))[0]), k)
         held[box] = held.get(box, 0) + len(text)
     whole: dict[int, int] = {}
-    for text, _, _, box, _ in lines:
+    for text, _, _, box, _, _ in lines:
         whole[box] = whole.get(box, 0) + len(text)
     kept = []
-    for k, (text, _, _, box, is_link) in enumerate(lines):
+    for k, (text, _, _, box, _, is_link) in enumerate(lines):
         if box in spans and (spans[box][0] <= k <= spans[box][1] or 2 * held[box] > whole[box] and not is_link):
             kept.append(text)
     return "\n".join(kept)
@@ -215,4 +301,5 @@ def extract(html: Column | str) -> Column:
 
 def extract_pages(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """pages with the main text of html_col in column out."""
+    refuse_clash(pages, out)
     return pages.withColumn(out, extract(F.col(html_col).cast("string")))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklog.llm.shared import groups_for
+from sparklog.llm.shared import groups_for, refuse_clash
 
 _NO_ID = -(1 << 63)
 _LAST = (1 << 31) - 1
@@ -102,12 +102,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, k: int = 4, w: int = 8, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs with the winnowed fingerprint of text_col (array<long>) in column out."""
+    """docs with the winnowed fingerprint of text_col (array<long>) in column out, whose name must be new."""
+    refuse_clash(docs, out)
     return docs.withColumn(out, winnowed(F.coalesce(F.col(text_col).cast("string"), F.lit("")), k, w))
 
 
 def fingerprint_characters(docs: DataFrame, k: int = 24, w: int = 43, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs with the fingerprint of text_col by characters (array<long>) in column out."""
+    """docs with the fingerprint of text_col by characters (array<long>) in column out, whose name must be new."""
+    refuse_clash(docs, out)
     return docs.withColumn(out, winnowed_characters(F.coalesce(F.col(text_col).cast("string"), F.lit("")), k, w))
 
 
