@@ -3,11 +3,15 @@
 Each language has letter-trigram log-likelihoods, learned from labelled documents. A document is cut into
 segments of a few words; expectation-maximisation over the segments' likelihoods estimates what share of it
 each language has. The set of languages is chosen by penalised likelihood: a further language must raise the
-log-likelihood by more than `penalty` times the log of the number of segments.
+log-likelihood by more than `penalty` times the log of the number of segments. Sets of every size are tried,
+each size with the languages of the largest shares, until a larger one can't do better.
+
+Texts are read whole, in batches bounded by their characters; one very long text is a batch of its own.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and no languages; ties between
 languages go to the first in alphabetical order; equal texts have equal results; nothing but the text enters
-a prediction. Without any labelled document every result is `und`.
+a prediction. Without any labelled document every result is `und`; an empty table gives an empty table;
+repeated rows are predicted alike; a column that has the name of the result is refused.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklog.llm.shared import refuse_clash
+
 _BITS = 16
 _RESULT = "struct<lang:string,score:double,languages:array<struct<lang:string,share:double>>>"
 
@@ -55,8 +61,8 @@ class LanguageModel:
     log_likelihood: np.ndarray  # trigram hash x language
     words: int = 8  # in a segment
     penalty: float = 4.0
-    rounds: int = 12
-    largest_set: int = 4
+    settled: float = 1e-3  # EM ends where no share moves by more
+    rounds: int = 200  # or, if it never settles, here
 
     def mixtures(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: has it letters; the shares of the languages; how sure the strongest is."""
@@ -106,16 +112,27 @@ class LanguageModel:
         heads = np.flatnonzero(np.concatenate([[True], renamed[1:] != renamed[:-1]]))
 
         def settle(pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            moving, own, first, each, heavy, total = np.arange(len(pi)), renamed, heads, like, weight, mass
             for _ in range(self.rounds):
-                part = pi[renamed] * like
-                part *= (weight / np.maximum(part.sum(axis=1), 1e-300))[:, None]
-                pi = np.add.reduceat(part, heads, axis=0) / mass[:, None]
+                part = pi[moving][own] * each
+                part *= (heavy / np.maximum(part.sum(axis=1), 1e-300))[:, None]
+                new = np.add.reduceat(part, first, axis=0) / total[:, None]
+                still = np.abs(new - pi[moving]).max(axis=1) > self.settled
+                pi[moving] = new
+                if not still.any():
+                    break
+                if not still.all():  # documents that have settled are left out
+                    kept = still[own]
+                    each, heavy = each[kept], heavy[kept]
+                    own = (np.cumsum(still) - 1)[own[kept]]
+                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    moving, total = moving[still], total[still]
             mixed = np.log(np.maximum((pi[renamed] * like).sum(axis=1), 1e-300))
             return pi, np.add.reduceat(mixed, heads) + base
 
         full, _ = settle(np.full((len(open_), kinds), 1.0 / kinds))
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-        for size in range(2, min(kinds, self.largest_set) + 1):
+        for size in range(2, kinds + 1):
             chosen = np.where(rank < size, full + 1e-6, 0.0)
             pi, value = settle(chosen / chosen.sum(axis=1, keepdims=True))
             value -= size * cost
@@ -123,6 +140,8 @@ class LanguageModel:
             best[open_[better]] = pi[better]
             sure[open_[better]] = 1.0
             best_value[open_[better]] = value[better]
+            if (base - (size + 1) * cost <= best_value[open_]).all():
+                break  # no larger set can do better
         return best, sure
 
     def results(self, texts: list[str | None]) -> Iterator[dict]:
@@ -173,7 +192,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
-    """docs with a column out: struct of lang, score (0 to 1) and the languages with their shares."""
+    """docs with a new column out: struct of lang, score (0 to 1) and the languages with their shares."""
+    refuse_clash(docs, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 numbers for each language
 
     @F.arrow_udf(_RESULT)

@@ -177,6 +177,8 @@ def similarity_components(
     group_bytes: int = 8_000_000,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable over links of similarity >= percent / 100."""
+    if not 0 < frequent <= 254:
+        raise ValueError("frequent must be 1 to 254: shingles are counted up to 255")
     if percent * small < 100 * (parts + 2):
         raise ValueError("small must be at least 100 * (parts + 2) / percent")
     work = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
