@@ -11,10 +11,12 @@ Other columns of the input, whatever their names, are not read. An empty table g
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,54 +26,125 @@ from tokenizers import Tokenizer
 
 from sparklog.llm.shared import keyed_text
 
-_MARKS = frozenset(".,;:!?")
+#: Letters of Latin-1 and the marks behind them (but '), each a pre-token.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Latin-1 characters as byte-level vocabularies write the bytes that they stand for. Printable bytes are
+#: themselves, the others count up from 256.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LEVEL = dict(zip([b for b in range(256) if b not in _VISIBLE], map(chr, range(256, 512))))
 #: Where str.split() cuts and the vocabulary's normalizer sees no white space.
-_EXTRA_SPACE = "\x1c\x1d\x1e\x1f"
+_EXTRA_SPACE = re.compile("[\x1c-\x1f]")
+#: Longer chunks are not memoised.
+_LONG = 64
 
 
-class ChunkTokenizer(dict):
-    """White-space separated chunk -> its ids as bytes of 32-bit numbers, for tokenizers that drop white space.
+class ChunkTokenizer:
+    """A tokenizer with a memo of white-space separated chunks, whose ids are bytes of 32-bit numbers.
 
-    Such a tokenizer never merges across white space, so a text's ids are its chunks' ids in a row. A mark
-    behind a Latin-1 letter or digit is a pre-token of its own (other letters may end in a combining mark once
-    normalized), and the tokenizer lower-cases, so chunks that differ by these are put together from one another. The memo is bounded: when full it becomes the older half,
-    whose entries return as they are used.
+    A tokenizer that drops white space before it merges never merges across it, so a text's ids are its chunks'
+    ids in a row. Where it also lower-cases, cuts marks from letters and merges bytes, a chunk of Latin-1
+    letters with marks behind them needs no normalizer: the model merges its lower-case letters, and its marks
+    are a chunk of their own. Texts with the string of an added token, and all texts of other tokenizers, are
+    encoded whole. The memo is bounded: when full it becomes the older half, whose entries return as they are
+    used.
     """
 
-    CACHED = 500_000
+    CACHED = 600_000
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added), re.I) if added else None
+        self.by_chunks = drops_white_space(json.loads(self.tokenizer.to_str()))
 
     def encode(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            if chunk[-1] in _MARKS and "0" <= chunk[-2:-1] <= "\xff" and chunk[-2].isalnum():
-                ids = self[chunk[:-1]] + self[chunk[-1]]
-            elif chunk.isascii() and (lower := chunk.lower()) != chunk:
-                ids = self[lower]
-            else:
-                ids = self.encode(chunk)
-        if len(chunk) <= 64:
-            if len(self) >= self.CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in _EXTRA_SPACE):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def _coded(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk."""
+        memo, older = self.memo, self.older
+        out = list(map(memo.get, chunks))
+        places = [k for k, ids in enumerate(out) if ids is None]
+        if not places:
+            return out
+        number: dict[str, int] = {}  # of each chunk to find
+        own = [number.setdefault(chunks[k], len(number)) for k in places]
+        found: list[bytes | None] = list(map(older.get, number))
+        merge = self.tokenizer.model.tokenize
+        mixed: list[tuple[int, str, str]] = []
+        for k, chunk in enumerate(list(number)):
+            if found[k] is not None:
+                continue
+            plain = _PLAIN.fullmatch(chunk)
+            if not plain:
+                found[k] = self.encode(chunk)
+                continue
+            letters, marks = plain[1].lower(), plain[2]
+            if letters == chunk:
+                found[k] = _merged(merge, letters)
+                continue
+            mixed.append((k, letters, marks))
+            for p in (letters, marks):
+                if p not in memo and p not in number:
+                    number[p] = len(number)
+                    ids = older.get(p)
+                    found.append(ids if ids is not None else _merged(merge, letters) if p is letters else self.encode(p) if p else b"")
+        for k, letters, marks in mixed:
+            found[k] = b"".join([found[number[p]] if p in number else memo[p] for p in (letters, marks)])
+        for k, n in zip(places, own):
+            out[k] = found[n]
+        if len(memo) + len(found) > self.CACHED:
+            self.older, self.memo = memo, {}
+        self.memo.update(islice(((c, ids) for c, ids in zip(number, found) if len(c) <= _LONG), self.CACHED))
+        return out
+
+    def encode_texts(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The ids of each text; null: none."""
+        chunks: list[str] = []
+        ends = [0]
+        whole: dict[int, bytes] = {}
+        for k, text in enumerate(texts):
+            if text:
+                if not self.by_chunks or _EXTRA_SPACE.search(text) or self.added and self.added.search(text):
+                    whole[k] = self.encode(text)
+                else:
+                    chunks += text.split()
+            ends.append(len(chunks))
+        coded = self._coded(chunks)
+        out = [b"".join(coded[a:b]) for a, b in zip(ends, ends[1:])]
+        for k, ids in whole.items():
+            out[k] = ids
+        return out
+
+
+def _merged(merge, letters: str) -> bytes:
+    """The ids of lower-case letters by the model alone."""
+    if not letters.isascii():
+        letters = letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
+    return array("i", [token.id for token in merge(letters)]).tobytes()
+
+
+def drops_white_space(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file says that it lower-cases, drops white space, cuts marks from letters, and merges bytes."""
+    normalizer, cutter = tokenizer.get("normalizer") or {}, tokenizer.get("pre_tokenizer") or {}
+    steps = {n["type"] for n in normalizer.get("normalizers", [normalizer] if normalizer else [])}
+    cuts = cutter.get("pretokenizers", [cutter] if cutter else [])
+    first = cuts[0] if cuts else {}
+    pattern = first.get("pattern", {}).get("Regex", "")
+    return (
+        "Lowercase" in steps
+        and steps <= {"NFC", "Replace", "Lowercase"}
+        and first.get("type") == "Split"
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and r"[\p{L}]+" in pattern
+        and r"[^\s\p{L}\p{N}]+" in pattern
+        and [(c["type"], c.get("add_prefix_space"), c.get("use_regex")) for c in cuts[1:]] == [("ByteLevel", False, False)]
+        and tokenizer["model"]["type"] == "BPE"
+    )
 
 
 @lru_cache(maxsize=4)
@@ -86,6 +159,16 @@ def piece_lengths(n: int, max_len: int) -> list[int]:
     return [max_len] * (n // max_len) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def _slices(texts: list[str | None], characters: int = 2_000_000) -> Iterator[list[str | None]]:
+    """The texts in parts of about so many characters, one text at least."""
+    at = size = 0
+    for k, text in enumerate(texts, 1):
+        size += len(text) if text else 0
+        if size >= characters or k == len(texts):
+            yield texts[at:k]
+            at, size = k, 0
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, max_len: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, bucket (log2 of length), sequence_id, offset.
 
@@ -100,10 +183,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, max_len: int =
         end = array("i", [end_id]).tobytes()
         for batch in batches:
             parts, sizes = [], []
-            for text in batch.column(1).to_pylist():
-                ids = encoder.ids(text)
-                parts += [ids, end]
-                sizes.append(len(ids) // 4 + 1)
+            for coded in map(encoder.encode_texts, _slices(batch.column(1).to_pylist())):
+                for ids in coded:
+                    parts += [ids, end]
+                    sizes.append(len(ids) // 4 + 1)
             lengths = [piece_lengths(n, max_len) for n in sizes]
             each = np.fromiter(map(len, lengths), np.int64, count=len(lengths))
             length = np.fromiter(chain.from_iterable(lengths), np.int64)
