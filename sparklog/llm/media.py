@@ -1,22 +1,28 @@
-"""Media columns: AVI files of losslessly coded motion-JPEG frames.
+"""Media columns: AVI files of motion-JPEG frames.
 
-Samples are written as 8-bit grey frames in lossless JPEG (SOF3, left-neighbour prediction), one frame to a
-`00dc` chunk, behind a RIFF header and an `idx1` index. The Huffman table gives every difference class of b
-extra bits a code of 16 - b bits, so each sample takes 16 bits and frames are coded and decoded as arrays.
-Reading parses the RIFF chunks, takes the frames from the index (by walking `movi` where there is none) and
-decodes each frame alone; frames with other Huffman tables are decoded bit by bit.
+Texts are written losslessly, as 8-bit grey frames in lossless JPEG (SOF3, left-neighbour prediction), one frame
+to a `00dc` chunk, behind a RIFF header and an `idx1` index. The Huffman table gives every difference class of b
+extra bits a code of 16 - b bits, so each sample takes 16 bits (twice the payload, and headers) and frames are
+coded and decoded as arrays. Reading parses the RIFF chunks, takes the frames from the index (by walking `movi`
+where there is none) and decodes each intra frame alone: own frames as arrays, lossless frames with other Huffman
+tables bit by bit, and baseline frames (SOF0, as cameras write them, with or without tables of their own) as their
+luminance.
 
 Shots end where the difference of neighbouring frames' grey histograms exceeds the mean of its surroundings
 by some standard deviations; they become timed clip rows.
 
-Defined results: null is empty; an empty payload has no frames and no clips; media that isn't such an AVI
-raises ValueError; equal payloads give equal media and clips.
+Defined results: null is empty; an empty payload has no frames and no clips; of equal differences each is judged
+by its own surroundings; texts of any length are stored whole; repeated rows and equal payloads give equal media
+and clips; other columns, whatever their names, are not read; an empty table gives an empty table. For media that
+can't be read, read_avi raises ValueError; clips_of gives the row no clip but the reason.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -189,18 +195,176 @@ def _decode_bits(data: bytes, table: tuple[bytes, bytes], count: int) -> np.ndar
     return out
 
 
+# The standard Huffman tables, for frames without tables of their own: numbers of codes of 1, 2, .. 16
+# bits, and the values; those of the longest codes are all others, rising.
+_DC = (((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), range(12)), ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), range(12)))
+_AC = (
+    ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+)
+
+
+def _lookup(counts: bytes | tuple, values: bytes | range) -> tuple[list[int], list[int]]:
+    """For each 16 bits that begin with a code: its length (0: none) and its value."""
+    length, value, at, k = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+    for bits, many in enumerate(counts, 1):
+        for _ in range(many):
+            end = at + (1 << 16 - bits)
+            length[at:end], value[at:end] = bits, values[k]
+            at, k = end, k + 1
+    return length.tolist(), value.tolist()
+
+
+@lru_cache(maxsize=1)
+def _standard_tables() -> dict[int, tuple[list[int], list[int]]]:
+    tables = {k: _lookup(*_DC[k]) for k in (0, 1)}
+    every = {run << 4 | size for run in range(16) for size in range(1, 11)} | {0x00, 0xF0}
+    for k, (counts, first) in enumerate(_AC):
+        values = bytes.fromhex(first)
+        tables[0x10 | k] = _lookup(counts, values + bytes(sorted(every - set(values))))
+    return tables
+
+
+def _zigzag() -> np.ndarray:
+    """Where the k-th coefficient of a block stands in it: along rising diagonals, in turn from either end."""
+    cells = [(y, x) for y in range(8) for x in range(8)]
+    return np.array([8 * y + x for y, x in sorted(cells, key=lambda c: (sum(c), c[0] if sum(c) % 2 else c[1]))])
+
+
+_ZIGZAG = _zigzag()
+_COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+
+
+class _Bits:
+    """The 16 bits from each bit on, of entropy-coded data without stuffing."""
+
+    def __init__(self, data: bytes):
+        x = np.frombuffer(data + b"\xff\xff\xff", np.uint8).astype(np.int64)
+        wide = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+        self.ahead = ((wide[:, None] >> np.arange(8, 0, -1)) & 0xFFFF).ravel().tolist()
+        self.at = 0
+
+    def value(self, table: tuple[list[int], list[int]]) -> int:
+        ahead = self.ahead[self.at]
+        if not table[0][ahead]:
+            raise ValueError("no such code")
+        self.at += table[0][ahead]
+        return table[1][ahead]
+
+    def number(self, size: int) -> int:
+        if not size:
+            return 0
+        value = self.ahead[self.at] >> 16 - size
+        self.at += size
+        return value if value >> size - 1 else value - (1 << size) + 1
+
+
+def _baseline(jpeg: bytes) -> np.ndarray:
+    """The luminance of a baseline frame: Huffman decoding of all components, inverse DCT of the first."""
+    tables = dict(_standard_tables())
+    steps: dict[int, np.ndarray] = {}
+    parts: list[list[int]] = []  # of each component: id, sampling across and down, its step table, its DC and AC tables
+    at = 2
+    height = width = restart = 0
+    while True:
+        marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
+        body = jpeg[at + 4 : at + 2 + size]
+        if jpeg[at] != 0xFF or size < 2:
+            raise ValueError("not a JPEG segment")
+        if marker == 0xDB:
+            k = 0
+            while k < len(body):
+                wide = body[k] >> 4
+                steps[body[k] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, k + 1).astype(np.float64)
+                k += 1 + 64 * (1 + wide)
+        elif marker == 0xC4:
+            k = 0
+            while k < len(body):
+                many = sum(body[k + 1 : k + 17])
+                tables[body[k]] = _lookup(body[k + 1 : k + 17], body[k + 17 : k + 17 + many])
+                k += 17 + many
+        elif marker in (0xC0, 0xC1):
+            bits, height, width, n = struct.unpack(">BHHB", body[:6])
+            if bits != 8 or not height or not width:
+                raise ValueError("not an 8-bit frame of known size")
+            parts = [[body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]] for k in range(6, 6 + 3 * n, 3)]
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body)[0]
+        elif marker == 0xDA:
+            if not parts or body[0] != len(parts):
+                raise ValueError("not one baseline scan of all components")
+            for part, k in zip(parts, range(1, 1 + 2 * body[0], 2)):
+                part += [body[k + 1] >> 4, 0x10 | body[k + 1] & 15]
+            at += 2 + size
+            break
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise ValueError("neither a baseline nor a lossless frame")
+        at += 2 + size
+    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+    if len(parts) == 1:
+        parts[0][1:3] = across, down = 1, 1
+    columns, rows = -(-width // (8 * across)), -(-height // (8 * down))
+    pieces = [p.replace(b"\xff\0", b"\xff") for p in re.split(b"\xff[\xd0-\xd7]", jpeg[at : jpeg.rfind(b"\xff\xd9")])]
+    h, v = parts[0][1:3]
+    blocks = np.zeros((rows * v, columns * h, 64))
+    unit = 0
+    for piece in pieces:
+        bits, last = _Bits(piece), [0] * len(parts)
+        for _ in range(min(restart or rows * columns, rows * columns - unit)):
+            for n, (_, own_h, own_v, _, dc, ac) in enumerate(parts):
+                for k in range(own_h * own_v):
+                    last[n] += bits.number(bits.value(tables[dc]))
+                    found = [(0, last[n])]
+                    c = 1
+                    while c < 64:
+                        run, size = divmod(bits.value(tables[ac]), 16)
+                        if not size and run < 15:
+                            break
+                        c += run
+                        if size:
+                            found.append((c, bits.number(size)))
+                        c += 1
+                    if n == 0:
+                        block = blocks[unit // columns * v + k // h, unit % columns * h + k % h]
+                        for c, x in found:
+                            block[c] = x
+            unit += 1
+    if unit < rows * columns:
+        raise ValueError("the frame is cut off")
+    natural = np.zeros_like(blocks)
+    natural[:, :, _ZIGZAG] = blocks * steps[parts[0][3]]
+    samples = np.einsum("ux,rcuv,vy->rxcy", _COSINES, natural.reshape(*natural.shape[:2], 8, 8), _COSINES)
+    grey = np.clip(np.rint(samples + 128), 0, 255).astype(np.uint8).reshape(rows * v * 8, columns * h * 8)
+    return grey.repeat(down // v, axis=0).repeat(across // h, axis=1)[:height, :width]
+
+
 def read_avi(media: bytes) -> tuple[np.ndarray, float]:
     """The frames (number, height, width) and frames a second."""
+    try:
+        return _read_avi(media)
+    except (struct.error, IndexError, KeyError) as broken:
+        raise ValueError(f"the media are cut off or damaged: {broken!r}") from broken
+
+
+def _read_avi(media: bytes) -> tuple[np.ndarray, float]:
     places, rate = _frame_places(media)
     if not places:
         return np.empty((0, HEIGHT, WIDTH), np.uint8), rate
-    begin, height, width, table = _jpeg_layout(media[places[0][0] : places[0][1]])
-    head = media[places[0][0] : places[0][0] + begin]
+    if places[-1][1] > len(media):
+        raise ValueError("the media are cut off")
+    jpegs = [media[a:b] for a, b in places if b > a]  # a chunk without data repeats the frame before it
+    if all(b"\xff\xc3" not in j[:600] for j in jpegs):
+        frames = [_baseline(j) for j in jpegs]
+        if len({f.shape for f in frames}) > 1:
+            raise ValueError("frames of several sizes")
+        return np.stack(frames), rate
+    begin, height, width, table = _jpeg_layout(jpegs[0])
+    head = jpegs[0][:begin]
     coded = []
-    for a, b in places:
-        if not media.startswith(head, a):
+    for jpeg in jpegs:
+        if not jpeg.startswith(head):
             raise ValueError("frames of several kinds")
-        coded.append(media[a + begin : b - 2].replace(b"\xff\0", b"\xff"))
+        coded.append(jpeg[begin:-2].replace(b"\xff\0", b"\xff"))
     if table == (_LENGTHS, _SYMBOLS):
         d = _BACK[np.frombuffer(b"".join(coded), ">u2")]
     else:
@@ -270,10 +434,24 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def clips_of(table: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per clip of a media column: id, clip number, start, end, start_s, end_s, mean."""
+    """One row per clip of a media column: id, clip number, start, end, start_s, end_s, mean, reason.
 
-    @F.arrow_udf(_CLIPS_SQL)
-    def clips(media: pa.Array) -> pa.Array:
-        return pa.array([clip_rows(*read_avi(m)) if m else [] for m in media.to_pylist()], pa.list_(CLIP))
+    Media that can't be read give one row with the reason and nulls; null and empty media, and those without
+    frames, give no row.
+    """
 
-    return table.select(F.col(id_col), F.posexplode(clips(F.col(media_col))).alias("clip", "c")).select(id_col, "clip", "c.*")
+    @F.arrow_udf(f"struct<clips:{_CLIPS_SQL},reason:string>")
+    def clips(media: pa.Array) -> pa.Array:
+        found, reasons = [], []
+        for m in media:
+            try:
+                found.append(clip_rows(*read_avi(m.as_py())) if m.is_valid and len(m.as_py()) else [])
+                reasons.append(None)
+            except ValueError as bad:
+                found.append([None])
+                reasons.append(str(bad))
+        return pa.StructArray.from_arrays([pa.array(found, pa.list_(CLIP)), pa.array(reasons, pa.string())], ["clips", "reason"])
+
+    rows = table.select(F.col(id_col), clips(F.col(media_col)).alias("_found"))
+    rows = rows.select(id_col, F.col("_found.reason").alias("reason"), F.posexplode("_found.clips").alias("clip", "c"))
+    return rows.select(id_col, F.when(F.col("c").isNotNull(), F.col("clip")).alias("clip"), "c.*", "reason")
