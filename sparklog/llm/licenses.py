@@ -3,7 +3,7 @@
 A paragraph (a line of a text) is the set of its word uni- and bigrams that occur in the licence templates;
 sparse multinomial logistic regression, trained here on the templates, statements about them and everyday
 sentences, gives a probability for each licence family, for `unknown` (statements of other names, terms in
-other words) and for `none`. The probabilities are calibrated by a temperature on held-out examples. A family
+other words) and for `none`. The probabilities are calibrated by a temperature on paragraphs left out of the fit. A family
 at or above the threshold stands if enough of the paragraph's bigrams are in one template of the family, or
 enough of a template in the paragraph; a statement also needs a word that identifies the family. Any other
 paragraph whose probability of not being `none` reaches the threshold is `unknown`, with that probability as
@@ -14,7 +14,9 @@ The work is one pass over the table without a shuffle. A paragraph without any w
 feature, so only the intercept's score, which is that of `none`; it isn't scored.
 
 Defined results: null and empty texts have no paragraphs; lines of white space are none; ties between
-families go to the first in the order of FAMILIES; equal texts have equal results.
+families go to the first in the order of FAMILIES; equal texts have equal results, so repeated rows do; a text
+of any length is scanned whole, line by line; other columns, whatever their names, are not read; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -60,6 +62,10 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
             "You should have received a copy of the GNU General Public License along with this program.",
         ),
     ),
+    "AGPL": (
+        ("GNU Affero General Public License, version 3", "GNU Affero GPL v3", "GNU AGPL v3", "AGPL-3.0"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",),
+    ),
     "LGPL": (
         ("GNU Lesser General Public License", "GNU LGPL v2.1", "LGPL-3.0"),
         ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
@@ -212,10 +218,14 @@ class LicenceModel:
         return len(spans), found
 
 
-def examples(seed: int = 0) -> tuple[list[list[str]], np.ndarray]:
-    """Training paragraphs and their classes: templates, statements, parts and copies with dropped words; everyday text."""
+def examples(seed: int = 0) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """Training paragraphs, their classes, and the number of the paragraph that each is a copy or part of.
+
+    Templates, statements, parts and copies with dropped words; everyday text.
+    """
     rng = np.random.default_rng(seed)
-    paragraphs, classes = [], []
+    paragraphs, classes, origins = [], [], []
+    origin = 0
     vocabulary: list[str] = []
     for k, (names, templates) in enumerate(FAMILIES.values()):
         own = [words(t) for t in templates] + [words(s.format(n)) for s in STATEMENTS for n in names if k < len(FAMILIES) - 1 or "reserved" not in n]
@@ -226,19 +236,26 @@ def examples(seed: int = 0) -> tuple[list[list[str]], np.ndarray]:
                 kept = [w for w in p if rng.random() > 0.05]
                 if len(p) > 12:  # a part of the notice, after and before words of the text's own
                     begin = int(rng.integers(0, len(kept) // 2))
-                    kept = kept[begin : begin + int(rng.integers(10, len(kept) + 1))]
+                    kept = kept[begin : begin + int(rng.integers(min(10, len(kept)), len(kept) + 1))]
                     kept = ["-"] * int(rng.integers(0, 6)) + kept + ["-"] * int(rng.integers(0, 4))
                 copies.append(kept)
             paragraphs += [c for c in copies if len(c) > 1]
             classes += [k] * (len(paragraphs) - len(classes))
-    named = [[{"qqq": "-"}.get(w, w) for w in words(s.format(n.replace("?", "qqq")))] for s in STATEMENTS for n in OTHER_NAMES]
-    terms = [words(t) for t in OTHER_TERMS]
-    for t in terms:
+            origins += [origin] * (len(paragraphs) - len(origins))
+            origin += 1
+    for s in STATEMENTS:
+        for n in OTHER_NAMES:
+            paragraphs.append([{"qqq": "-"}.get(w, w) for w in words(s.format(n.replace("?", "qqq")))])
+            origins.append(origin)
+            origin += 1
+    for t in map(words, OTHER_TERMS):
         vocabulary += t
+        paragraphs += [t] * 4
         for _ in range(32):  # parts, some words others
             begin = int(rng.integers(0, len(t) // 2))
-            named.append([w if rng.random() > 0.15 else "-" for w in t[begin : begin + int(rng.integers(8, len(t) + 1))]])
-    paragraphs += terms * 4 + [n for n in named if len(n) > 1]
+            paragraphs.append([w if rng.random() > 0.15 else "-" for w in t[begin : begin + int(rng.integers(8, len(t) + 1))]])
+        origins += [origin] * (len(paragraphs) - len(origins))
+        origin += 1
     classes += [len(FAMILIES)] * (len(paragraphs) - len(classes))
     none = len(FAMILIES) + 1
     everyday = [words(s) for s in EVERYDAY]
@@ -246,19 +263,27 @@ def examples(seed: int = 0) -> tuple[list[list[str]], np.ndarray]:
     for _ in range(1500):  # words of licences in no order, among others, and parts of everyday sentences
         size = int(rng.integers(2, 40))
         mixed = [pool[int(rng.integers(len(pool)))] if rng.random() < 0.4 else "-" for _ in range(size)]
-        part = everyday[int(rng.integers(len(everyday)))]
+        one = int(rng.integers(len(everyday)))
+        part = everyday[one]
         usual = lambda: vocabulary[int(rng.integers(len(vocabulary)))]
         share = rng.random() * 0.6
         prose = [usual() if rng.random() < share else "-" for _ in range(size)]  # as often as they are in licences
         paragraphs += [mixed, part[int(rng.integers(0, len(part) - 1)) :], prose]
-    paragraphs += everyday * 5
+        fresh = origin + len(everyday) + len(origins)  # drawn anew: copies of nothing
+        origins += [fresh, origin + one, fresh + 1]
+    for k, sentence in enumerate(everyday):
+        paragraphs += [sentence] * 5
+        origins += [origin + k] * 5
     classes += [none] * (len(paragraphs) - len(classes))
-    return paragraphs, np.asarray(classes)
+    return paragraphs, np.asarray(classes), np.asarray(origins)
 
 
 def train(rounds: int = 400, rate: float = 2.0, penalty: float = 1e-4, threshold: float = 0.6, seed: int = 0) -> LicenceModel:
-    """Fits the classifier to examples(); a fifth of them sets the temperature. Small and the same every time."""
-    paragraphs, classes = examples(seed)
+    """Fits the classifier to examples(); the temperature is set on a fifth of them. Small and the same every time.
+
+    The fifth holds all copies and parts of a fifth of the paragraphs, so none of its paragraphs is in the fit.
+    """
+    paragraphs, classes, origins = examples(seed)
     families = (*FAMILIES, "unknown", "none")
     kinds = len(families)
     template_words = sorted({w for p, c in zip(paragraphs, classes) if c < kinds - 1 for w in p} - {"-"})
@@ -277,7 +302,7 @@ def train(rounds: int = 400, rate: float = 2.0, penalty: float = 1e-4, threshold
     rows, features, values = np.asarray(rows), np.asarray(features), np.asarray(values)
     width = len(number) + len(pairs) + 1
     weights, intercept = np.zeros((width, kinds)), np.zeros(kinds)
-    fit = np.arange(len(paragraphs)) % 5 != 0
+    fit = origins % 5 != 0
     goal = np.eye(kinds)[classes]
     importance = (1 / np.bincount(classes, minlength=kinds))[classes] * fit
     importance /= importance.sum()
