@@ -41,6 +41,13 @@ class Filters:
 NO_FILTERS = Filters()
 
 
+def only(rows: DataFrame, key: str, value: str | DataFrame) -> DataFrame:
+    """The rows whose key is the value, or that of a table's first row."""
+    if isinstance(value, DataFrame):
+        return rows.join(F.broadcast(value.select(key).limit(1)), key, "left_semi")  # one row
+    return rows.filter(F.col(key) == value)
+
+
 def period(name: str, now: dt.datetime, tz: str = "UTC") -> Range:
     """today (from midnight in tz), 7d, 30d, 90d, all; any other name is 7d. now is UTC wall clock."""
     if name == "today":

@@ -67,7 +67,7 @@ def tier_table(spark, overrides: DataFrame | None = None) -> DataFrame:
     return joined.select("tier", "fee", F.coalesce(valid("_5"), "five_hour").alias("five_hour"), F.coalesce(valid("_7"), "weekly").alias("weekly"))
 
 
-def calibrate(tiers: DataFrame, peak_five_hour: float, peak_weekly: float) -> DataFrame:
+def calibrate(tiers: DataFrame, peak_five_hour: float | Column, peak_weekly: float | Column) -> DataFrame:
     """Ceilings raised to observed peaks, for display, with flags where they were."""
     return tiers.select(
         "tier", F.greatest("five_hour", F.lit(peak_five_hour)).alias("five_hour"), (F.lit(peak_five_hour) > F.col("five_hour")).alias("five_hour_calibrated"),

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklog.functions.exprs import CATEGORIES, NO_FILTERS, Filters, Range, turn_filters
+from sparklog.functions.exprs import CATEGORIES, NO_FILTERS, Filters, Range, only, turn_filters
 from sparklog.plans.ranks import with_percent_rank
 
 ALL_TIME = Range(dt.datetime(2000, 1, 1), dt.datetime(2099, 12, 31))
@@ -108,16 +108,20 @@ def prompt_throughput(pairs: DataFrame) -> DataFrame:
     return out.withColumn("prompts_per_session", F.coalesce(F.try_divide("prompts", "sessions"), F.lit(0.0)))
 
 
-def prompt_detail(turns: DataFrame, calls: DataFrame, sessions: DataFrame, scores: DataFrame, turn_id: str, separator: str = "\n\n---\n\n") -> DataFrame:
-    """One prompt with its text, the response's texts in order, sums, calls and score."""
-    own = turns.join(turns.filter(F.col("turn_id") == turn_id).select("session_id"), "session_id", "left_semi")
+def prompt_detail(turns: DataFrame, calls: DataFrame, sessions: DataFrame, scores: DataFrame, turn_id: str | DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
+    """One prompt with its text, the response's texts in order, sums, calls and score.
+
+    turn_id is the prompt's id, or a table whose one row has it: then no job runs before the result is asked for.
+    """
+    chosen = lambda df: only(df, "turn_id", turn_id)
+    own = turns.join(chosen(turns).select("session_id"), "session_id", "left_semi")
     rows = segments(own)
-    wanted = rows.filter(F.col("turn_id") == turn_id).select("session_id", "segment")
+    wanted = chosen(rows).select("session_id", "segment")
     answers = rows.filter(F.col("role") == "assistant").join(wanted, ["session_id", "segment"], "left_semi").select("turn_id", "session_id", "timestamp", "segment")
     texts = own.select("turn_id", "content_text")
     joined = answers.join(texts, "turn_id").groupBy("session_id", "segment").agg(F.array_sort(F.collect_list(F.struct("timestamp", "turn_id", "content_text"))).alias("a"))
     response = joined.select("session_id", F.array_join(F.col("a.content_text"), separator).alias("response_text"))
-    pair = prompt_pairs(own, calls, sessions).filter(F.col("turn_id") == turn_id)
+    pair = chosen(prompt_pairs(own, calls, sessions))
     return pair.join(texts.withColumnRenamed("content_text", "prompt_text"), "turn_id").join(response, "session_id", "left").join(scores, "turn_id", "left")
 
 

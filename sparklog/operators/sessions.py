@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklog.functions.exprs import CATEGORIES, NO_FILTERS, Filters, Range, session_filters, token_sums, turn_filters, with_context
+from sparklog.functions.exprs import CATEGORIES, NO_FILTERS, Filters, Range, only, session_filters, token_sums, turn_filters, with_context
 
 _DURATION_CAP = 43_200
 SORTS = ("start_time", "duration_seconds", "total_cost", "total_tokens", "context_volume", "turn_count", "tool_call_count")
@@ -34,10 +34,10 @@ def count_sessions(summary: DataFrame, r: Range, f: Filters = NO_FILTERS) -> Dat
     return session_filters(summary.filter(r.holds("start_time")), f).agg(F.count("*").alias("total"))
 
 
-def session_detail(summary: DataFrame, turns: DataFrame, calls: DataFrame, errors: DataFrame, session_id: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """One session's summary, turns by time, calls and errors."""
-    own = F.col("session_id") == session_id
-    return summary.filter(own), turns.filter(own).orderBy("timestamp", "turn_id"), calls.filter(own).orderBy("turn_id", "tool_call_id"), errors.filter(own).orderBy("timestamp", "error_id")
+def session_detail(summary: DataFrame, turns: DataFrame, calls: DataFrame, errors: DataFrame, session_id: str | DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One session's summary, turns by time, calls and errors; session_id is its id, or a table whose one row has it."""
+    own = lambda df: only(df, "session_id", session_id)
+    return own(summary), own(turns).orderBy("timestamp", "turn_id"), own(calls).orderBy("turn_id", "tool_call_id"), own(errors).orderBy("timestamp", "error_id")
 
 
 def session_stats(summary: DataFrame, r: Range, f: Filters = NO_FILTERS, null_as_cap: bool = False) -> DataFrame:

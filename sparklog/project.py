@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparklog.operators.shred import session_rollup, stop_errors
@@ -115,3 +115,55 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         F.col("error_message").alias("message"), F.lit(True).alias("is_retryable"), F.lit(0).alias("retry_count"),
     )
     return Tables(sessions, t, c, tool_errors.unionByName(stop_errors(t)), loaded_skills(events))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as lines of command-line logs, as sparklog.sources.logs scans them: one file per session.
+
+    A view is a prompt, any other event an answer with its tool calls; results, skill listings, lines of other
+    types, broken and blank lines follow some of them. Lines are numbered on their keys before they are written out.
+    """
+    k, user = F.col("k"), F.col("event_type") == "view"
+    has_calls = F.col("event_type").isin("click", "purchase", "error")
+    parts = F.array_compact(F.array(F.lit(0), F.when(has_calls & (k % 7 != 0), 1), F.when(user & (k % 4 == 0), 2), F.when(k % 9 == 0, 3), F.when(k % 23 == 5, 4), F.when(k % 29 == 7, 5)))
+    rows = _events(spark, sf_dir).withColumn("part", F.explode(parts))
+    order = Window.partitionBy("session_id").orderBy("ts", "event_id", "part")
+    rows = rows.withColumn("line_no", F.row_number().over(order))
+
+    head = [F.col("session_id").alias("sessionId"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("timestamp")]
+    record = lambda kind, *more: F.to_json(F.struct(F.lit(kind).alias("type"), *head, *more))
+    suffixed = lambda s: F.concat("turn_id", F.lit(s)).alias("uuid")
+    prompt = record("user", suffixed(""), F.struct(F.lit("user").alias("role"), F.when(k % 10 != 0, F.concat(F.lit("prompt "), "turn_id")).alias("content")).alias("message"))
+
+    skill = k % 11 == 0
+    name = F.when(skill, "Skill").when(F.col("event_type") == "purchase", "mcp__shop__buy").when(F.col("event_type") == "error", "Bash").when(F.col("event_id") % 2 == 0, "Read").otherwise("Edit")
+    block = lambda kind, **more: F.struct(F.lit(kind).alias("type"), *[more.get(c, F.lit(None).cast("string")).alias(c) for c in ("text", "thinking", "id", "name")], more.get("input", F.lit(None).cast("struct<skill:string>")).alias("input"), more.get("caller", F.lit(None).cast("struct<type:string>")).alias("caller"))
+    call = lambda i: block("tool_use", id=F.md5(F.concat_ws("-", "turn_id", F.lit(str(i)))), name=name, input=F.struct(F.when(skill, F.concat(F.lit("skill-"), (k % 10).cast("string"))).alias("skill")), caller=F.when(skill, F.struct(F.lit("user").alias("type"))))
+    blocks = F.array_compact(
+        F.array(
+            F.when(k % 4 == 0, block("thinking", thinking=F.lit("hm"))), F.when(k % 6 != 0, block("text", text=F.concat(F.lit("answer "), "turn_id"))), F.when(k % 12 == 1, block("text", text=F.lit("and more"))),
+            F.when(has_calls, call(0)), F.when(has_calls & (k % 3 == 0), call(1)),
+        )
+    )
+    usage = F.struct(
+        F.floor(F.col("value") * 10).cast("long").alias("input_tokens"), (k * 7).cast("long").alias("output_tokens"), (F.col("event_id") % 13 * 1000).alias("cache_creation_input_tokens"), (F.col("event_id") % 17 * 15000).alias("cache_read_input_tokens")
+    )
+    message = F.struct(F.lit("assistant").alias("role"), F.lit("claude-opus-4-7").alias("model"), F.when(k % 25 == 3, "max_tokens").otherwise("end_turn").alias("stop_reason"), usage.alias("usage"), blocks.alias("content"))
+    answer = record("assistant", F.concat(F.lit("r"), F.floor(F.col("event_id") / 2).cast("string")).alias("requestId"), suffixed(""), message.alias("message"))
+    result = lambda i: F.struct(F.lit("tool_result").alias("type"), F.md5(F.concat_ws("-", "turn_id", F.lit(str(i)))).alias("tool_use_id"), (F.col("event_type") == "error").alias("is_error"), F.concat(F.lit("error "), (k % 6).cast("string")).alias("content"))
+    results = F.array_compact(F.array(result(0), F.when(k % 3 == 0, result(1))))
+    listed = F.concat(F.lit("- skill-"), (k % 10).cast("string"), F.lit(": "), F.repeat(F.lit("x"), k + 1), F.lit("\n  and more"))
+    attachment = F.struct(F.lit("skill_listing").alias("type"), listed.alias("content"), F.when(k % 8 == 0, 2).otherwise(1).alias("skillCount"), F.lit(True).alias("isInitial"))
+    line = (
+        F.when(F.col("part") == 0, F.when(user, prompt).otherwise(answer))
+        .when(F.col("part") == 1, record("user", suffixed("-r"), F.struct(F.lit("user").alias("role"), results.alias("content")).alias("message")))
+        .when(F.col("part") == 2, record("attachment", suffixed("-l"), attachment.alias("attachment")))
+        .when(F.col("part") == 3, record("progress"))
+        .when(F.col("part") == 4, F.lit('{"type": "user", "sess'))
+        .otherwise(F.lit("  "))
+    )
+    folder = F.concat(F.lit("-projects-p"), (F.split("session_id", "-")[0].cast("long") % 7).cast("string"))
+    return rows.select(
+        line.alias("line"), F.concat(F.lit("/logs/"), folder, F.lit("/"), "session_id", F.lit(".jsonl")).alias("file_path"), F.lit(1000).cast("long").alias("file_size"), F.lit(None).cast("timestamp").alias("file_time"),
+        "line_no", F.col("session_id").alias("file_session"), F.lit(False).alias("is_sub_agent"), folder.alias("project_dir"), F.lit("cli").alias("source_type"),
+    )

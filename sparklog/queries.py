@@ -396,11 +396,17 @@ def calls_per_turn(x):
 _ONE = "(SELECT session_id FROM t GROUP BY session_id ORDER BY count(*) DESC, session_id LIMIT 1)"
 
 
-@query(f"SELECT turn_id, role, CAST(timestamp AS VARCHAR) AS timestamp, round(cost_usd,6) AS cost_usd FROM t WHERE session_id={_ONE}")
+@query(f"""SELECT 'session' AS part, session_id AS id, CAST(num_turns AS VARCHAR) AS what, round(total_cost_usd,6) AS cost_usd FROM s WHERE session_id={_ONE} UNION ALL SELECT 'turn', turn_id, role, round(cost_usd,6) FROM t WHERE session_id={_ONE}
+ UNION ALL SELECT 'call', tool_call_id, tool_name, NULL FROM c WHERE session_id={_ONE} UNION ALL SELECT 'error', turn_id || '-stop', 'max_tokens_truncation', NULL FROM t WHERE session_id={_ONE} AND stop_reason='max_tokens'""")
 def session_detail(x):
-    largest = x.turns.groupBy("session_id").count().orderBy(F.desc("count"), "session_id").limit(1).select("session_id")
-    own = x.turns.join(F.broadcast(largest), "session_id", "left_semi")
-    return rounded(own.select("turn_id", "role", "timestamp", "cost_usd"))
+    largest = x.turns.groupBy("session_id").count().orderBy(F.desc("count"), "session_id").limit(1)
+    summary, turns, calls, errors = sessions.session_detail(x.sessions, x.turns, x.calls, shred.stop_errors(x.turns), largest)
+    none = F.lit(None).cast("double").alias("cost_usd")
+    parts = (
+        summary.select(F.lit("session").alias("part"), F.col("session_id").alias("id"), F.col("num_turns").cast("string").alias("what"), F.col("total_cost_usd").alias("cost_usd")),
+        turns.select(F.lit("turn"), "turn_id", "role", "cost_usd"), calls.select(F.lit("call"), "tool_call_id", "tool_name", none), errors.select(F.lit("error"), "error_id", "error_type", none),
+    )
+    return rounded(parts[0].union(parts[1]).union(parts[2]).union(parts[3]))
 
 
 @query(f"SELECT DISTINCT model FROM s WHERE model IS NOT NULL AND {_STARTED}")
@@ -814,7 +820,7 @@ for _name, _own in (("plan_fit", "plan_fit_verdict"), ("anchored_windows", "anch
 @query("SELECT b.turn_id, t.content_text AS prompt_text, round(response_cost,6) AS response_cost, total_tokens, depth, tool_calls, complexity FROM (SELECT * FROM every ORDER BY depth DESC, turn_id LIMIT 1) AS b JOIN t ON t.turn_id=b.turn_id JOIN scores s2 ON s2.turn_id=b.turn_id", _SCORES)
 def prompt_detail(x):
     pairs = prompts.prompt_pairs(x.turns, x.calls, x.sessions)
-    chosen = pairs.orderBy(F.desc("depth"), "turn_id").first()["turn_id"]  # the prompt that a user would pick
+    chosen = pairs.orderBy(F.desc("depth"), "turn_id").limit(1)  # the prompt that a user would pick
     out = prompts.prompt_detail(x.turns, x.calls, x.sessions, prompts.complexity(pairs), chosen)
     return rounded(out.select("turn_id", "prompt_text", "response_cost", "total_tokens", "depth", "tool_calls", "complexity"))
 
@@ -826,7 +832,10 @@ def _streamed(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> No
     """Registers a stream's whole output. Its state and result lie in the shared folder of the session."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sparklog-shared"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = base or "file:///tmp/sparklog-shared"
         folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         path = f"{sf_dir}/events.parquet"  # as a pattern below: the stream source takes files only by patterns
         events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("timestamp", F.col("ts").cast("timestamp"))
@@ -898,3 +907,6 @@ QUERIES["conversation_prompts"] = conversation_prompts
 SQL["conversation_prompts"] = """WITH n AS (SELECT *, CAST(sum(CASE WHEN role='user' AND text IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM conversations)
 SELECT conv_id, segment, min(CASE WHEN role='user' AND text IS NOT NULL THEN turn END) AS prompt_turn, count(*) FILTER (WHERE role='assistant') AS depth,
  max(CASE WHEN role='user' THEN length(text) END) AS prompt_chars, CAST(coalesce(sum(CASE WHEN role='assistant' THEN length(text) END),0) AS BIGINT) AS response_chars FROM n WHERE segment>0 GROUP BY 1, 2"""
+
+
+from sparklog import log_queries  # noqa: E402, F401  (registers its queries)
