@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 FIVE_HOURS, WEEK = 5 * 3600, 7 * 86400
 
@@ -22,29 +26,54 @@ def at_micros(column: Column) -> Column:
 def anchored_windows(rows: DataFrame, by: Sequence[str], span_seconds: int, ts: str = "timestamp", value: str = "cost_usd") -> DataFrame:
     """by..., anchor, turns, cost: one row per window of each account.
 
-    A gap of a span or more between neighbours always opens a window, so each account's rows are split into
-    islands at such gaps; an island is folded over its sorted rows. An island, not an account, is what a task
-    holds at once.
+    Where a window opens depends on the one before it, so each account's rows are sorted by time in one partition
+    and streamed; besides the sort, which spills, a task holds a batch and the open window, however dense or long
+    an account is. Rows without a time are left out; a null value counts as 0; rows of one time are in one window.
     """
     span = span_seconds * 1_000_000
     by = list(by)
-    base = rows.select(*by, micros(ts).alias("_t"), F.col(value).cast("double").alias("_v"))
-    ordered = Window.partitionBy(*by).orderBy("_t")
-    opens = F.coalesce((F.col("_t") - F.lag("_t").over(ordered) >= span).cast("int"), F.lit(0))
-    island = F.sum("_open").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    base = base.withColumn("_open", opens).withColumn("_island", island)
-    grouped = base.groupBy(*by, "_island").agg(F.array_sort(F.collect_list(F.struct("_t", "_v"))).alias("_rows"))
-    window = "struct<anchor:bigint,turns:bigint,cost:double>"
-    empty = F.struct(F.array().cast(f"array<{window}>").alias("done"), F.lit(None).cast(window).alias("now"))
-
-    def fold(state: Column, row: Column) -> Column:
-        now = state["now"]
-        new = F.struct(row["_t"].alias("anchor"), F.lit(1).cast("long").alias("turns"), row["_v"].alias("cost"))
-        more = F.struct(now["anchor"].alias("anchor"), (now["turns"] + 1).alias("turns"), (now["cost"] + row["_v"]).alias("cost"))
-        fits = now.isNotNull() & (row["_t"] < now["anchor"] + span)
-        closed = F.when(now.isNull() | fits, state["done"]).otherwise(F.concat(state["done"], F.array(now)))
-        return F.struct(closed.alias("done"), F.when(fits, more).otherwise(new).alias("now"))
-
-    folded = F.aggregate("_rows", empty, fold, lambda s: F.concat(s["done"], F.array(s["now"])))
-    out = grouped.select(*by, F.inline(folded))
+    base = rows.select(*by, micros(ts).alias("_t"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v")).filter("_t IS NOT NULL")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        anchor = turns = 0
+        cost = 0.0
+        for batch in batches:
+            closed: list[tuple] = []
+            keys = [batch.column(c) for c in by]
+            at, costs = batch.column("_t").to_numpy(), batch.column("_v").to_numpy()
+            for begin, end in _runs(keys, batch.num_rows):
+                own = tuple(column[begin].as_py() for column in keys)
+                place = begin
+                while place < end:
+                    if own == key:  # the open window goes on
+                        stop = begin + int(np.searchsorted(at[begin:end], anchor + span))
+                        turns, cost, place = turns + stop - place, cost + float(costs[place:stop].sum()), stop
+                        if stop == end:
+                            break
+                    if key is not None:
+                        closed.append((*key, anchor, turns, cost))
+                    key, anchor, turns, cost = own, int(at[place]), 0, 0.0
+            yield _table(closed)
+        yield _table([(*key, anchor, turns, cost)] if key is not None else [])
+
+    schema = T.StructType([*[T.StructField(c, base.schema[c].dataType) for c in by], T.StructField("anchor", T.LongType()), T.StructField("turns", T.LongType()), T.StructField("cost", T.DoubleType())])
+    kinds = to_arrow_schema(schema)
+
+    def _table(windows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*windows)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+    out = base.repartition(*by).sortWithinPartitions(*by, "_t").mapInArrow(stream, schema)
     return out.withColumn("anchor", at_micros(F.col("anchor")))
+
+
+def _runs(keys: list[pa.Array], n: int) -> list[tuple[int, int]]:
+    """Begin and end of each run of rows with the same keys."""
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for column in keys:
+        codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    begins = np.flatnonzero(new).tolist()
+    return list(zip(begins, [*begins[1:], n]))

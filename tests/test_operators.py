@@ -214,3 +214,14 @@ def test_headline_queries_exist():
     import bench
 
     assert set(bench.HEADLINE) <= set(__spark_entry__.queries())
+
+
+def test_windows_of_one_dense_account(spark):
+    """A million rows without a gap: streamed in batches, window by window."""
+    n, step = 1_000_000, 7
+    at = F.timestamp_add("SECOND", F.col("id") * step, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    rows = spark.range(n).select(F.lit("a").alias("account"), F.lit(None).cast("string").alias("team"), at.alias("timestamp"), F.lit(0.5).alias("cost_usd"))
+    out = sorted((r["anchor"], r["turns"], r["cost"]) for r in anchored_windows(rows, ["account", "team"], FIVE_HOURS).collect())
+    each = -(-FIVE_HOURS // step)
+    assert [t for _, t, _ in out] == [each] * (n // each) + [n % each] * (n % each > 0)
+    assert all(c == t / 2 for _, t, c in out) and out[1][0] - out[0][0] == dt.timedelta(seconds=each * step)
