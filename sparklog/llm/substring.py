@@ -14,13 +14,21 @@ further branching is closed.
 * Level 2. Those suffixes are extended to the full window and grouped by a range of the window's hash: in each
   group, equal windows are a deep internal node's leaves; all but the first are repeats.
 
-Groups are ranges of hashes, as many as the input has parts of `group_bytes` text, and a task sends one row
-per distinct run or window it saw, so a passage in a third of all documents adds no more to a group than there
-are batches. Windows are compared by 128 bits of hash (two 64-bit hashes of the same words).
+Groups are ranges of hashes, as many as the input has parts of `group_bytes` text, dealt to as many tasks. A
+batch sends one place for each distinct run or window it saw; the places that repeat one of the same batch are
+settled, and travel with the group that a hash of the batch names, whatever they repeat. So a passage in a
+third of all documents adds no more places to a group than there are batches, and its copies are spread over
+all groups. Windows are compared by 128 bits: two 64-bit hashes of the same 64-bit hashes of words, so two
+different words of one hash (a chance of 3 in 10^8 among 10^6 words, 3 in 10^4 among 10^8) make windows equal.
+
+This is a prefix tree cut at two depths, not one with nodes of every length: contracts here ask for repeats of a
+fixed window, so the tree's deeper nodes are told apart by whole runs, and maximal repeats come out as unions of
+windows.
 
 Defined results: null and empty texts have no words; fewer words than the window: nothing removed; a null id
-sorts before all others; rows that repeat an id are held for one document, whose positions count once; an
-empty table gives an empty table.
+sorts before all others; rows that repeat an id are held for one document, whose positions count once; of equal
+windows the one of the least id and place stays, so there are no ties; a text of any length is cut whole; other
+columns are read only where `keep` names them; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,6 +49,9 @@ _WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Characters of text that a task holds as numbers at a time.
 _SLICE_CHARS = 4_000_000
 
+#: Settled places in one row of a batch's.
+_SETTLED = 20_000
+
 #: Stands for a null id: before all others.
 _NO_ID = -(1 << 63)
 
@@ -112,18 +123,20 @@ def _packed(groups: int, key: np.ndarray, run: np.ndarray, doc: np.ndarray, star
     key, run, doc, start, n, again = key[new], run[new], doc[new], start[new], n[new], again[new]
     bucket = ((key >> np.uint64(20)) % np.uint64(groups)).astype(np.int32)
     rows: dict[str, list] = {c: [] for c in ("bucket", "local", "key", "run", "doc", "start", "n")}
-    for local in (False, True):
-        own = np.flatnonzero(again == local)
-        own = own[np.argsort(bucket[own], kind="stable")]
-        cuts = np.flatnonzero(np.diff(bucket[own])) + 1
-        for part in np.split(own, cuts) if len(own) else ():
-            rows["bucket"].append(int(bucket[part[0]]))
-            rows["local"].append(local)
-            rows["key"].append(b"" if local else key[part].tobytes())
-            rows["run"].append(b"" if local else run[part].tobytes())
-            rows["doc"].append(doc[part].astype(np.int64).tobytes())
-            rows["start"].append(start[part].astype(np.int32).tobytes())
-            rows["n"].append(n[part].astype(np.uint8).tobytes())
+    own = np.flatnonzero(~again)
+    own = own[np.argsort(bucket[own], kind="stable")]
+    parts = [(False, part) for part in np.split(own, np.flatnonzero(np.diff(bucket[own])) + 1)]
+    settled = np.flatnonzero(again)
+    parts += [(True, part) for part in np.array_split(settled, -(-len(settled) // _SETTLED))] if len(settled) else []
+    for local, part in parts:
+        of_batch = mix(doc[part[:1]].astype(np.uint64) ^ run[part[:1]] ^ np.uint64(len(own))) % np.uint64(groups)
+        rows["bucket"].append(int(of_batch[0]) if local else int(bucket[part[0]]))
+        rows["local"].append(local)
+        rows["key"].append(b"" if local else key[part].tobytes())
+        rows["run"].append(b"" if local else run[part].tobytes())
+        rows["doc"].append(doc[part].astype(np.int64).tobytes())
+        rows["start"].append(start[part].astype(np.int32).tobytes())
+        rows["n"].append(n[part].astype(np.uint8).tobytes())
     kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], names=list(rows))
 
@@ -203,12 +216,12 @@ def repeated_windows(docs: DataFrame, window: int = 20, prefix: int = 8, group_b
                 run = RangeHash(mix(words ^ np.uint64(0x5851F42D4C957F2D))).of(at, at + window)
                 yield from _packed(groups, key, run, ids_of(part)[row], start, np.ones(len(start), np.int64))
 
-    runs = docs.select("doc_id", "text").mapInArrow(level1, _BLOBS).groupBy("bucket").applyInArrow(_repeats, _FOUND)
+    grouped = lambda blobs: blobs.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_repeats, _FOUND)
+    runs = grouped(docs.select("doc_id", "text").mapInArrow(level1, _BLOBS))
     runs = stored(runs, "runs")
     asks = runs.filter("ask").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
     windows = docs.join(asks, "doc_id").select("doc_id", "text", *carry, "asked").mapInArrow(level2, _BLOBS)
-    deep = windows.groupBy("bucket").applyInArrow(_repeats, _FOUND)
-    return runs.union(deep).filter("not ask").select("doc_id", "start", "n")
+    return runs.union(grouped(windows)).filter("not ask").select("doc_id", "start", "n")
 
 
 def _cut(text: str, gone: np.ndarray) -> str:
