@@ -58,7 +58,7 @@ def _key(piece: str) -> str:
 class BytePairEncoder:
     """One vocabulary's tables; encodes pre-tokens, texts and whole Arrow arrays."""
 
-    CACHED = 600_000
+    CACHED = 400_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks

@@ -22,7 +22,9 @@ Shingle counts go through groups of hash ranges (32 bits of hash in a group: a c
 order, which all documents share). Sets are compared by 64-bit hashes of shingles.
 
 Defined results: null and empty texts, and texts of white space, have an empty set and link with nothing; a
-null id sorts below all others; rows that repeat an id give a row each; an empty table gives an empty table.
+null id sorts below all others; rows that repeat an id give a row each; a text of any length is compared by its
+whole set; ties don't arise, as a component has one least id; other columns, whatever their names, are not read; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -183,7 +185,7 @@ def similarity_components(
         raise ValueError("small must be at least 100 * (parts + 2) / percent")
     work = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     _, groups = groups_for(work, group_bytes)
-    buckets = max(1, groups // 2)
+    buckets = max(16, groups // 2)
     work = work.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def count(table: pa.Table) -> pa.Table:
