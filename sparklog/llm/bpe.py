@@ -9,8 +9,8 @@ result is the exact sequence that rank-ordered merging gives.
 
 Defined results: null and empty texts give an empty id list; repeated rows are encoded alike; a text of any
 length is encoded whole, in time linear in it; two ways to split a text never tie, as merges have an order;
-other columns pass through, and a column that has the name of the result is refused; an empty table gives an
-empty table.
+other columns pass through, one that has the name of the result as <name>_input; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.shared import refuse_clash
+from sparklog.llm.shared import set_aside
 
 #: How the rank files' texts are split before merging. Fixed value: part of the vocabularies' definition.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -381,12 +381,12 @@ def decode(ids: Column | str, ranks: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, ranks: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the ids of text_col in column out, whose name must be new."""
-    refuse_clash(docs, out)
-    return docs.withColumn(out, encode(F.col(text_col).cast("string"), ranks))
+    """docs with the ids of text_col in column out; a column of that name becomes out_input."""
+    docs, (text,) = set_aside(docs, out, text_col)
+    return docs.withColumn(out, encode(F.col(text).cast("string"), ranks))
 
 
 def decode_documents(docs: DataFrame, ranks: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """docs with the bytes of ids_col in column out, whose name must be new."""
-    refuse_clash(docs, out)
-    return docs.withColumn(out, decode(F.col(ids_col), ranks))
+    """docs with the bytes of ids_col in column out; a column of that name becomes out_input."""
+    docs, (ids,) = set_aside(docs, out, ids_col)
+    return docs.withColumn(out, decode(F.col(ids), ranks))

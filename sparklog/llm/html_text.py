@@ -19,7 +19,7 @@ Defined results: null and empty pages, and pages without text, give the empty te
 cluster, all content; repeated rows are extracted alike; the time is linear in the page's length, however long
 or deeply nested it is; unclosed elements end with their parent or the page; a tag cut off by the page's end
 is dropped, a character reference that is cut off is read as HTML reads it. An empty table gives an empty
-table; a column that has the name of the result is refused.
+table; a column that has the name of the result is kept as <name>_input.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.shared import refuse_clash
+from sparklog.llm.shared import set_aside
 
 #: Elements that cut lines.
 _BLOCKS = frozenset(
@@ -300,6 +300,6 @@ def extract(html: Column | str) -> Column:
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """pages with the main text of html_col in column out."""
-    refuse_clash(pages, out)
-    return pages.withColumn(out, extract(F.col(html_col).cast("string")))
+    """pages with the main text of html_col in column out; a column of that name becomes out_input."""
+    pages, (html,) = set_aside(pages, out, html_col)
+    return pages.withColumn(out, extract(F.col(html).cast("string")))

@@ -11,7 +11,7 @@ Texts are read whole, in batches bounded by their characters; one very long text
 Defined results: null texts and texts without a letter are `und` with score 0 and no languages; ties between
 languages go to the first in alphabetical order; equal texts have equal results; nothing but the text enters
 a prediction. Without any labelled document every result is `und`; an empty table gives an empty table;
-repeated rows are predicted alike; a column that has the name of the result is refused.
+repeated rows are predicted alike; a column that has the name of the result is kept as <name>_input.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.shared import refuse_clash
+from sparklog.llm.shared import set_aside
 
 _BITS = 16
 _RESULT = "struct<lang:string,score:double,languages:array<struct<lang:string,share:double>>>"
@@ -192,8 +192,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
-    """docs with a new column out: struct of lang, score (0 to 1) and the languages with their shares."""
-    refuse_clash(docs, out)
+    """docs with a column out: struct of lang, score (0 to 1) and the languages with their shares; a column of that name becomes out_input."""
+    docs, (text_col,) = set_aside(docs, out, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 numbers for each language
 
     @F.arrow_udf(_RESULT)

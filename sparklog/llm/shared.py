@@ -109,11 +109,16 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def refuse_clash(df: DataFrame, *out: str) -> None:
-    """Raises where a new column would take the place of one of df's (Spark's names ignore case)."""
-    clash = {c.lower() for c in df.columns} & {c.lower() for c in out}
-    if clash:
-        raise ValueError(f"the table already has a column {sorted(clash)[0]}; name another with out=")
+def set_aside(df: DataFrame, out: str, *used: str) -> tuple[DataFrame, list[str]]:
+    """df with a column of the name out (Spark's names ignore case) renamed to out_input, and what `used` are called then."""
+    taken, names = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() == out.lower():
+            names[c] = f"{c}_input"
+            while names[c].lower() in taken:
+                names[c] += "_input"
+    now = {c.lower(): name for c, name in names.items()}
+    return df.withColumnsRenamed(names), [now.get(u.lower(), u) for u in used]
 
 
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ Defined results: null is the empty text; a text of white space has the empty fin
 characters are hashed as one, without space at the ends; fewer than w hashes are one window. Two empty
 fingerprints have likeness 1, an empty and another 0. Equal texts, so repeated rows, have equal fingerprints. Texts
 of any length are taken whole, as UTF-32 of four bytes a character; an empty table gives an empty table; a column
-that has the name of the result is refused.
+that has the name of the result is kept as <name>_input.
 
 `winnowed` and `fingerprint` do the same with blocks of up to six non-space characters, cut from each word's
 start, in place of characters, and block numbers as positions. A change inside a long run without space moves
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklog.llm.shared import groups_for, refuse_clash
+from sparklog.llm.shared import groups_for, set_aside
 
 _NO_ID = -(1 << 63)
 #: Ranges of ids at most, each of which has a row in a broadcast table of 16 bytes a row.
@@ -163,14 +163,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, k: int = 4, w: int = 8, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs with the winnowed fingerprint of text_col (array<long>) in column out, whose name must be new."""
-    refuse_clash(docs, out)
+    """docs with the winnowed fingerprint of text_col (array<long>) in column out; a column of that name becomes out_input."""
+    docs, (text_col,) = set_aside(docs, out, text_col)
     return docs.withColumn(out, winnowed(F.coalesce(F.col(text_col).cast("string"), F.lit("")), k, w))
 
 
 def fingerprint_characters(docs: DataFrame, k: int = 24, w: int = 43, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs with the fingerprint of text_col by characters (array<long>) in column out, whose name must be new."""
-    refuse_clash(docs, out)
+    """docs with the fingerprint of text_col by characters (array<long>) in column out; a column of that name becomes out_input."""
+    docs, (text_col,) = set_aside(docs, out, text_col)
     return docs.withColumn(out, winnowed_characters(F.coalesce(F.col(text_col).cast("string"), F.lit("")), k, w))
 
 

@@ -94,16 +94,18 @@ def test_nested_pages_take_linear_time():
     assert seconds(20000) < 40 * seconds(2000) + 0.5  # ten times the input
 
 
-def test_clashing_result_columns_are_refused(spark):
-    docs = spark.createDataFrame([(1, "a text", "x")], "doc_id long, text string, IDS string")
-    with pytest.raises(ValueError):
-        bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    with pytest.raises(ValueError):
-        html_text.extract_pages(docs, "text")
-    with pytest.raises(ValueError):
-        winnow.fingerprint(docs, out="ids")
-    with pytest.raises(ValueError):
-        langid.identify(docs, langid.learn(docs, lang_col="IDS"), out="Text")
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a text", "x", "y")], "doc_id long, text string, IDS string, ids_input string")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    r = bpe.decode_documents(bpe.encode_documents(docs, ranks), ranks, out="text").first().asDict()
+    assert (r["IDS_input_input"], r["ids_input"], r["text_input"], bytes(r["text"])) == ("x", "y", "a text", b"a text")
+    assert list(r["ids"]) == bpe.encoder_of(ranks).encode("a text")
+    r = html_text.extract_pages(docs, "text").first().asDict()
+    assert (r["text"], r["text_input"]) == ("a text", "a text")
+    r = winnow.fingerprint(docs, out="ids").first().asDict()
+    assert len(r["ids"]) == 1 and r["IDS_input_input"] == "x"
+    r = langid.identify(docs, langid.learn(docs, lang_col="IDS"), out="Text").first().asDict()
+    assert r["Text"]["lang"] == "x" and r["text_input"] == "a text"
 
 
 def test_empty_pages_table(spark):
