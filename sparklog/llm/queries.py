@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import bpe, html_text, langid, licenses, media, ngram_join, packing, substring, token_counts, winnow
+from sparklog.llm import bpe, centroids, cover_tree, html_text, infill, langid, licenses, media, ngram_join, packing, substring, token_counts, winnow
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,30 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(documents(spark, sf_dir), n=4, percent=85)
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.similar_vectors(embeddings(spark, sf_dir), cosine=0.93)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("infill")
+    return infill.infill_documents(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id",
+        *[x[c].alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2(x["output"], 256).alias("output_sha256"),
+        F.sha2(infill.restored(x["output"], x["form"]), 256).alias("restored_sha256"),
+    )
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.centroid_clusters(embeddings(spark, sf_dir), k=40, rounds=5)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -141,6 +165,46 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY 1) AS m ON m.a = d.doc_id"""
 
 
+_OP11 = """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND list_aggregate(list_transform(v, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0 AND list_aggregate(list_transform(v, lambda x: abs(x)), 'max') > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), m AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m.b, vec_id)) AS component_id, vec_id <= coalesce(m.b, vec_id) AS kept
+FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id"""
+_GROUP = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
+_OP12 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT *, length(t) AS n, {_GROUP.format(1)} % (length(t) + 1) AS x, {_GROUP.format(9)} % (length(t) + 1) AS y FROM d),
+f AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_GROUP.format(17)} % 100 >= 90 THEN 'plain'
+ WHEN {_GROUP.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+ ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+
+def _op13() -> str:
+    """Five rounds written out: nearest centroid, then floored means."""
+    near = (
+        "a{k} AS (SELECT vec_id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT p.vec_id, p.x, q.c, "
+        "list_sum(list_transform(list_zip(p.x, q.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p, c{k} AS q) GROUP BY 1, 2)"
+    )
+    mean = (
+        "s{k} AS (SELECT c, j, CAST(floor_div(sum(v), count(*)) AS BIGINT) AS v FROM (SELECT c, unnest(x) AS v, unnest(range(64)) AS j FROM a{k}) GROUP BY 1, 2), "
+        "c{n} AS (SELECT q.c, coalesce(m.x, q.x) AS x FROM c{k} AS q LEFT JOIN (SELECT c, list(v ORDER BY j) AS x FROM s{k} GROUP BY 1) AS m ON m.c = q.c)"
+    ).replace("floor_div(sum(v), count(*))", "(sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*)")
+    steps = [
+        "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(embedding) = 64)",
+        "p AS (SELECT vec_id, list_transform(v, lambda y: CAST(floor(256 * y) AS BIGINT)) AS x FROM e WHERE list_aggregate(list_transform(v, lambda y: CASE WHEN y IS NULL OR NOT isfinite(y) THEN 1 ELSE 0 END), 'sum') = 0)",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS c, x FROM p QUALIFY c < 40)",
+    ]
+    for k in range(5):
+        steps += [near.format(k=k), mean.format(k=k, n=k + 1)]
+    steps.append(near.format(k=5))
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(a5.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a5.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+sha256(array_to_string(c5.x, ',')) AS centroid_sha256 FROM a5 JOIN c5 ON c5.c = a5.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the exact operators; the others are held against brute force in the tests."""
-    return {"op9_substring_dedup": _OP9, "op10_ngram_join": _OP10}
+    return {"op9_substring_dedup": _OP9, "op10_ngram_join": _OP10, "op11_embedding_near_dedup": _OP11, "op12_fill_in_middle": _OP12, "op13_centroid_clusters": _op13()}
