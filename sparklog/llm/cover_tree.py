@@ -33,6 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -353,10 +354,12 @@ def _bounded(cosine: float):
 
     @F.arrow_udf("int")
     def verdict(left: pa.Array, right: pa.Array, radii: pa.Array) -> pa.Array:
-        n, r = len(left), radii.to_numpy(zero_copy_only=False)
-        if not n:
-            return pa.array([], pa.int32())
-        apart = _apart(np.einsum("ij,ij->i", unit_rows(_doubles(left, n)), unit_rows(_doubles(right, n))))
+        r, apart = radii.to_numpy(zero_copy_only=False), np.empty(len(left))
+        sizes = pc.list_value_length(left).to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes):  # both sides of a pair have the same length
+            own = pa.array(sizes == size)
+            n = int((sizes == size).sum())
+            apart[sizes == size] = _apart(np.einsum("ij,ij->i", *[unit_rows(_doubles(side.filter(own), n)) for side in (left, right)]))
         return pa.array(np.where(apart - r > reach + _SLACK, 0, np.where(apart + r < reach - _SLACK, 2, 1)).astype(np.int32))
 
     return verdict

@@ -98,7 +98,7 @@ def test_trees_cover_and_nest():
     for level in range(len(low)):
         for k in range(len(low[level])):
             members = at[low[level][k] : high[level][k]]
-            assert np.sqrt(np.maximum(0, 2 - 2 * members @ members[0])).max() <= radius[level][k] + 1e-9
+            assert np.sqrt(np.maximum(0, 2 - 2 * members @ members[0])).max() <= radius[level][k] + 1e-7
             if level + 1 < len(low):
                 own = range(child[level][k], child[level][k + 1])
                 assert low[level + 1][own[0]] == low[level][k] and high[level + 1][own[-1]] == high[level][k]
