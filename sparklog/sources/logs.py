@@ -1,14 +1,15 @@
-"""Reading session logs: discovery, line order, parsing, normalising both dialects, incremental scans."""
+"""Reading session logs: scans of both dialects after a manifest, parsing, normalising, shredding."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklog.operators import shred
 from sparklog.schemas import TABLES
+from sparklog.sources import ranges
 
 # The record types that are kept.
 RECORD_TYPES = ("user", "assistant", "attachment", "file-history-snapshot", "queue-operation")
@@ -21,45 +22,36 @@ _RECORD = (
 )
 
 
-def _lines(spark: SparkSession, paths: str | Sequence[str], glob: str, since: str | None) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    if since:
-        reader = reader.option("modifiedAfter", since)
-    rows = reader.text(paths if isinstance(paths, str) else list(paths))
-    meta = F.col("_metadata")
-    return rows.select(
-        F.col("value").alias("line"), meta["file_path"].alias("file_path"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_time"), meta["file_block_start"].alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-
+def scan_cli_logs(
+    spark: SparkSession, root: str, since: str | None = None, limit: int | None = None, manifest: DataFrame | None = None, block_bytes: int = ranges.BLOCK, glob: str = "*.jsonl"
+) -> DataFrame:
+    """Lines of <root>/<project>/*.jsonl with file, session id and sub-agent flag: of the newest `limit` files, after what the manifest knows.
 
-def with_line_order(lines: DataFrame) -> DataFrame:
-    """Lines numbered from 1 in each file. Files are split by byte blocks; inside a block rows come in order."""
-    order = Window.partitionBy("file_path").orderBy("_block", "_row")
-    return lines.withColumn("line_no", F.row_number().over(order)).drop("_block", "_row")
+    Files are chosen from their names, sizes and times; of those only the ranges that aren't known are read.
+    """
+    files = ranges.log_files(spark, root, glob, since).filter(F.element_at(F.split("file_path", "/"), -1) != "audit.jsonl")
+    if limit is not None:
+        files = files.orderBy(F.desc("file_time"), "file_path").limit(limit)
+    return cli_places(ranges.read_lines(ranges.pending(files, manifest), block_bytes))
 
 
-def scan_cli_logs(spark: SparkSession, root: str, since: str | None = None, limit: int | None = None) -> DataFrame:
-    """Lines of <root>/<project>/*.jsonl with file, session id and sub-agent flag; the newest `limit` files only."""
-    rows = with_line_order(_lines(spark, root, "*.jsonl", since)).filter(F.element_at(F.split("file_path", "/"), -1) != "audit.jsonl")
-    if limit is not None:
-        files = rows.select("file_path", "file_time").distinct().orderBy(F.desc("file_time"), "file_path").limit(limit)
-        rows = rows.join(F.broadcast(files.select("file_path")), "file_path", "left_semi")
-    name = F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1)
+def cli_places(rows: DataFrame) -> DataFrame:
+    """Lines with what their file's path says: session, sub-agent or not, project folder, dialect."""
+    name = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.[^.]*$", "")
     folder = F.element_at(F.split("file_path", "/"), -2)
     return rows.withColumns({"file_session": name, "is_sub_agent": name.startswith("agent-"), "project_dir": folder, "source_type": F.lit("cli")})
 
 
-def scan_audit_logs(spark: SparkSession, roots: Sequence[str], since: str | None = None) -> DataFrame:
-    """Lines of **/audit.jsonl; files below the folder of another audit file are left out."""
-    rows = with_line_order(_lines(spark, roots, "audit.jsonl", since))
+def scan_audit_logs(spark: SparkSession, roots: Sequence[str], since: str | None = None, manifest: DataFrame | None = None, block_bytes: int = ranges.BLOCK) -> DataFrame:
+    """Lines of **/audit.jsonl after what the manifest knows; files below the folder of another audit file are left out."""
+    files = ranges.log_files(spark, roots, "audit.jsonl", since)
     folder = F.regexp_replace("file_path", r"/audit\.jsonl$", "")
-    rows = rows.withColumn("_dir", folder)
-    dirs = rows.select("_dir").distinct()
+    dirs = files.select(folder.alias("_dir"))
     above = dirs.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("_dir", "/")) - 1, F.lit(1))), lambda n: F.array_join(F.slice(F.split("_dir", "/"), F.lit(1), n), "/"))))
     nested = above.join(dirs.withColumnRenamed("_dir", "_up"), "_up", "left_semi").select("_dir").distinct()
-    rows = rows.join(nested, "_dir", "left_anti")
-    return rows.withColumns({"file_session": F.element_at(F.split("_dir", "/"), -1), "is_sub_agent": F.lit(False), "project_dir": F.element_at(F.split("_dir", "/"), -1), "source_type": F.lit("desktop")})
+    files = files.withColumn("_dir", folder).join(nested, "_dir", "left_anti").drop("_dir")
+    name = F.element_at(F.split("file_path", "/"), -2)
+    return ranges.read_lines(ranges.pending(files, manifest), block_bytes).withColumns({"file_session": name, "is_sub_agent": F.lit(False), "project_dir": name, "source_type": F.lit("desktop")})
 
 
 def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +61,8 @@ def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     status = F.when(F.trim("line") == "", "blank").when(F.col("r._corrupt").isNotNull() | kind.isNull(), "error").when(kind.isin(*RECORD_TYPES), "entry").otherwise("skipped")
     parsed = parsed.withColumn("status", status)
     kept = parsed.filter("status = 'entry'").select(*[c for c in lines.columns if c != "line"], "r.*").drop("_corrupt")
-    return kept, parsed.select("file_path", "file_size", "line_no", "status", F.octet_length("line").alias("bytes"), F.col("r.requestId").alias("request_id"))
+    places = [c for c in ("line_end", "ended") if c in lines.columns]
+    return kept, parsed.select("file_path", "file_size", "line_no", "status", F.octet_length("line").alias("bytes"), F.col("r.requestId").alias("request_id"), *places)
 
 
 def ingest_metrics(line_status: DataFrame) -> DataFrame:
@@ -81,22 +74,14 @@ def ingest_metrics(line_status: DataFrame) -> DataFrame:
     )
 
 
-def new_lines(lines: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
-    """Lines after those a manifest knows; files that haven't grown are left out."""
-    if force:
-        return lines
-    known = manifest.select("file_path", "last_line_number", F.col("file_size_bytes").alias("_size"))
-    joined = lines.join(known, "file_path", "left")
-    fresh = F.col("_size").isNull() | ((F.col("file_size") > F.col("_size")) & (F.col("line_no") > F.col("last_line_number")))
-    return joined.filter(fresh).drop("last_line_number", "_size")
-
-
 def manifest_of(line_status: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """The manifest after these lines. A broken last line isn't counted: it may not be written to its end yet."""
-    last = F.max(F.when(F.col("status") != "error", F.col("line_no")))
-    broken = F.max_by("status", "line_no") == "error"
-    size = F.when(broken, F.max("file_size") - F.max_by("bytes", "line_no")).otherwise(F.max("file_size"))
-    new = line_status.groupBy("file_path").agg(F.coalesce(last, F.lit(0)).cast("long").alias("last_line_number"), size.cast("long").alias("file_size_bytes")).withColumn("last_ingested_at", F.current_timestamp())
+    """The manifest after these lines: how many bytes and lines of each file are read.
+
+    A broken line without a line feed, at a file's end, isn't counted: it may not be written to its end yet.
+    """
+    read = F.coalesce((F.col("status") != "error") | F.col("ended"), F.lit(False))
+    new = line_status.filter(read).groupBy("file_path").agg(F.max("line_end").alias("last_byte_offset"), F.max("line_no").alias("last_line_number"))
+    new = new.withColumn("last_ingested_at", F.current_timestamp())
     if manifest is None:
         return new
     return manifest.join(new.select("file_path"), "file_path", "left_anti").unionByName(new)
@@ -171,13 +156,13 @@ def shred_messages(messages: DataFrame) -> dict[str, DataFrame]:
     return {name: df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]]) for name, df in out.items()}
 
 
-def load_sources(spark: SparkSession, cli_root: str | None = None, audit_roots: Sequence[str] = ()) -> DataFrame:
-    """Normalised messages of the chosen dialects, each deduplicated by its own policy."""
+def load_sources(spark: SparkSession, cli_root: str | None = None, audit_roots: Sequence[str] = (), manifest: DataFrame | None = None) -> DataFrame:
+    """Normalised messages of the chosen dialects, each deduplicated by its own policy; with a manifest, of new lines."""
     parts = []
     if cli_root:
-        parts.append(deduplicated(normalise_cli(parse_records(scan_cli_logs(spark, cli_root))[0])))
+        parts.append(deduplicated(normalise_cli(parse_records(scan_cli_logs(spark, cli_root, manifest=manifest))[0])))
     if audit_roots:
-        lines = with_session_metadata(scan_audit_logs(spark, audit_roots), spark, audit_roots)
+        lines = with_session_metadata(scan_audit_logs(spark, audit_roots, manifest=manifest), spark, audit_roots)
         parts.append(deduplicated(normalise_audit(parse_records(lines)[0]), "none"))
     if not parts:
         raise ValueError("no source was given")

@@ -9,47 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sparklog.schemas import TABLES
-from sparklog.sources import logs, merge
+from sparklog.sources import ingest, logs
+from sparklog.sources.ranges import BLOCK
+from sparklog.streaming import growing
 
-#: Merge rule and keys of each table.
-_KEYS = {"turns": ["turn_id", "request_id"], "errors": ["error_id"], "skills": ["session_skill_id"]}
+def stream_ingest(spark: SparkSession, root: str, out: str, checkpoint: str, glob: str = "*.jsonl", available_now: bool = True, block_bytes: int = BLOCK):
+    """Starts ingesting what is appended to the logs under root into the tables of the store under out; returns the query.
 
-
-def merged(stored: dict[str, DataFrame] | None, batch: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The five tables after a batch; sessions are rolled up anew from the children they have now."""
-    from sparklog.operators.shred import session_rollup
-
-    if stored is None:
-        return batch
-    out = {name: merge.merge_absent(stored[name], batch[name], keys) for name, keys in _KEYS.items()}
-    out["calls"] = merge.merge_tool_calls(stored["calls"], batch["calls"])
-    sums = session_rollup(out["turns"], out["calls"])
-    described = merge.merge_latest(stored["sessions"], batch["sessions"], "session_id")
-    kept = [c for c in described.columns if c == "session_id" or c not in sums.columns]
-    out["sessions"] = described.select(*kept).join(sums, "session_id").select(*[F.col(f.name).cast(f.dataType) for f in TABLES["sessions"]])
-    return out
-
-
-def stream_ingest(spark: SparkSession, root: str, out: str, checkpoint: str, files_per_batch: int = 50):
-    """Starts ingesting new log files under root into versions of the tables under out; returns the query.
-
-    Spark's file source takes a file once: logs that grow in place belong to the manifest scan of
-    sparklog.sources.logs. A batch is committed under its number, so a repeated batch changes nothing.
+    Each line is taken once, also after a restart: the source's offsets are bytes of each file, a batch is committed
+    under its number, and lines that the store's manifest knows (from a scan, say) are left out.
     """
-    meta = F.col("_metadata")
-    lines = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).text(root)
-    lines = lines.select(
-        F.col("value").alias("line"), meta["file_path"].alias("file_path"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_time"), meta["file_block_start"].alias("_block")
-    )
 
     def commit(batch: DataFrame, number: int) -> None:
-        rows = logs.with_line_order(batch.withColumn("_row", F.monotonically_increasing_id())).withColumns({"file_session": F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1), "is_sub_agent": F.lit(False), "project_dir": F.element_at(F.split("file_path", "/"), -2), "source_type": F.lit("cli")})
-        messages = logs.deduplicated(logs.normalise_cli(logs.parse_records(rows)[0]))
-        stored = merge.current_tables(batch.sparkSession, out, list(TABLES))
-        merge.commit_batch(batch.sparkSession, merged(stored, logs.shred_messages(messages)), out, number)
-
-    return lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        store = ingest.log_store(batch.sparkSession, out)
+        lines = growing.numbered(batch.persist(), store.table("manifest", store.snapshot())).withColumn("file_size", F.col("line_end"))
+        records, status = logs.parse_records(logs.cli_places(lines))
+        ingest.ingest_messages(store, logs.deduplicated(logs.normalise_cli(records)), status, f"stream:{checkpoint}", number)
+        batch.unpersist()
+
+    writer = growing.growing_lines(spark, root, glob, block_bytes).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 
 
 def stream_dedup(turns: DataFrame, key: str = "request_id", delay: str = "10 minutes", ts: str = "timestamp") -> DataFrame:

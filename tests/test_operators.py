@@ -185,21 +185,6 @@ def test_stream_tool_results(spark, tmp_path):
     assert got.get("t1") is True and got.get("t2", None) is None
 
 
-def test_stream_ingest(spark, tmp_path):
-    folder = tmp_path / "logs" / "p"
-    folder.mkdir(parents=True)
-    row = {"type": "user", "sessionId": "s", "timestamp": "2024-01-02T10:00:00Z", "uuid": "u1", "message": {"role": "user", "content": "hi"}}
-    (folder / "a.jsonl").write_text(json.dumps(row) + "\n")
-    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
-    live.stream_ingest(spark, str(tmp_path / "logs"), out, marks).awaitTermination()
-    (folder / "b.jsonl").write_text(json.dumps({**row, "uuid": "u2", "timestamp": "2024-01-02T10:01:00Z"}) + "\n" + json.dumps(row) + "\n")
-    live.stream_ingest(spark, str(tmp_path / "logs"), out, marks).awaitTermination()
-    tables = merge.current_tables(spark, out, list(TABLES))
-    assert tables["turns"].count() == 2
-    session = tables["sessions"].first()
-    assert (session["num_turns"], session["duration_seconds"]) == (2, 60)
-
-
 def test_prompt_scores_do_not_repeat_their_plan(spark):
     import __spark_entry__
 

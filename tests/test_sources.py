@@ -6,11 +6,12 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparklog.functions.exprs import Range
 from sparklog.operators import shred
 from sparklog.schemas import TABLES
-from sparklog.sources import export, logs, merge
+from sparklog.sources import export, ingest, logs, merge, ranges, store
 
 
 def cli(kind, n, session="s1", **more):
@@ -110,15 +111,58 @@ def test_greedy_listing_and_mismatch(spark):
 
 def test_manifest(spark, root):
     lines = logs.scan_cli_logs(spark, root)
-    manifest = spark.createDataFrame(logs.manifest_of(logs.parse_records(lines)[1]).collect(), merge.MANIFEST)
-    known = {os.path.basename(r["file_path"]): r["last_line_number"] for r in manifest.collect()}
-    assert known == {"s1.jsonl": len(LINES) + 1, "agent-9.jsonl": 1}  # broken lines at the end may still be written on
+    manifest = spark.createDataFrame(logs.manifest_of(logs.parse_records(lines)[1]).select(*merge.MANIFEST.fieldNames()).collect(), merge.MANIFEST)
     path = f"{root}/-w-p/s1.jsonl"
+    known = {os.path.basename(r["file_path"]): (r["last_line_number"], r["last_byte_offset"]) for r in manifest.collect()}
+    broken = len('{"type": "user", "sess')  # without a line feed at the end: may still be written on
+    assert known == {"s1.jsonl": (len(LINES) + 3, os.path.getsize(path) - broken), "agent-9.jsonl": (1, os.path.getsize(f"{root}/-w-p/agent-9.jsonl"))}
+    assert logs.scan_cli_logs(spark, root, manifest=manifest).count() == 1  # the broken end, again
     with open(path, "a") as f:
-        f.write("\n" + json.dumps(prompt(9, "later")))
-    fresh = logs.new_lines(logs.scan_cli_logs(spark, root), manifest)
-    assert {os.path.basename(r["file_path"]) for r in fresh.collect()} == {"s1.jsonl"} and fresh.filter(F.col("line").contains("later")).count() == 1
-    assert logs.new_lines(logs.scan_cli_logs(spark, root), manifest, force=True).count() == lines.count() + 1
+        f.write('ion": 1}\n' + json.dumps(prompt(9, "later")))
+    fresh = logs.scan_cli_logs(spark, root, manifest=manifest)
+    got = [(r["line_no"], "later" in r["line"]) for r in fresh.orderBy("line_no").collect()]
+    assert got == [(len(LINES) + 4, False), (len(LINES) + 5, True)]
+    after = logs.manifest_of(logs.parse_records(fresh)[1], manifest)
+    assert {os.path.basename(r["file_path"]): r["last_line_number"] for r in after.collect()} == {"s1.jsonl": len(LINES) + 5, "agent-9.jsonl": 1}
+    assert logs.scan_cli_logs(spark, root, manifest=after).count() == 0
+
+
+def test_a_grown_file_is_read_from_its_offset(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    big, other = tmp_path / "p" / "a b.jsonl", tmp_path / "p" / "other.jsonl"
+    big.write_text("".join(f"line {k}\n" for k in range(50_000)))
+    other.write_text("x\n" * 1000)
+    files = lambda: ranges.log_files(spark, str(tmp_path), "*.jsonl")
+    read = lambda manifest=None, block=ranges.BLOCK, count=None: ranges.read_lines(ranges.pending(files(), manifest), block, count)
+    whole = read().withColumn("status", F.lit("entry"))
+    manifest = spark.createDataFrame(logs.manifest_of(whole).select(*merge.MANIFEST.fieldNames()).collect(), merge.MANIFEST)
+    added = "".join(f"more {k}\n" for k in range(1000))
+    with open(big, "a") as f:
+        f.write(added)
+    bytes_read = spark.sparkContext.accumulator(0)
+    fresh = sorted(read(manifest, count=bytes_read).collect(), key=lambda r: r["line_no"])
+    assert [(r["line_no"], r["line"]) for r in fresh] == [(50_001 + k, f"more {k}") for k in range(1000)]
+    assert bytes_read.value == len(added)
+    in_blocks = spark.sparkContext.accumulator(0)
+    again = sorted(read(manifest, 1000, in_blocks).collect(), key=lambda r: r["line_no"])
+    assert [tuple(r) for r in again] == [tuple(r) for r in fresh]
+    assert in_blocks.value < 3 * len(added) + 64 * 1024 * (len(added) // 1000 + 1)  # counted once, read once, and a little beyond each block
+
+
+def test_numbers_of_split_files_without_moving_lines(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    text = "".join("y" * (k * 37 % 211) + ("\r\n" if k % 5 else "\n") for k in range(3000)) + "the end"
+    (tmp_path / "p" / "f.jsonl").write_bytes(text.encode())
+    (tmp_path / "p" / "g.jsonl").write_bytes(b"one\n\xff\xfe two\n")
+    files = ranges.log_files(spark, str(tmp_path), "*.jsonl")
+    for block in (97, 5000, ranges.BLOCK):
+        lines = ranges.read_lines(ranges.pending(files), block)
+        got = {(r["file_path"].rsplit("/", 1)[1], r["line_no"]): r["line"] for r in lines.collect()}
+        want = {("f.jsonl", k + 1): line for k, line in enumerate(text.replace("\r\n", "\n").split("\n"))}
+        assert got == want | {("g.jsonl", 1): "one", ("g.jsonl", 2): "\ufffd\ufffd two"}
+        moved = [x.split("[")[-1] for x in lines._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+        assert moved and not any("line#" in x for x in moved)
+        assert lines.filter("NOT ended").count() == 1
 
 
 def test_merges(spark):
@@ -131,14 +175,85 @@ def test_merges(spark):
     assert {r["turn_id"] for r in known.collect()} == {"a", "c", "e", "f", "g"}
 
 
-def test_commit_is_atomic_and_repeatable(spark, tmp_path):
-    path = str(tmp_path / "store")
-    tables = {"t": spark.range(3)}
-    assert merge.current_tables(spark, path, ["t"]) is None
-    first = merge.commit_batch(spark, tables, path, 0)
-    assert merge.commit_batch(spark, {"t": spark.range(9)}, path, 0) == first and merge.current_tables(spark, path, ["t"])["t"].count() == 3
-    merge.commit_batch(spark, {"t": spark.range(5)}, path, 1)
-    assert merge.current_tables(spark, path, ["t"])["t"].count() == 5
+def day_store(spark, path):
+    return store.Store(spark, path, {"t": T.StructType.fromDDL("id long, at timestamp_ntz")}, {"t": "at"})
+
+
+def dated(spark, *rows):
+    return spark.createDataFrame([(k, dt.datetime(2024, 1, day) if day else None) for k, day in rows], "id long, at timestamp_ntz")
+
+
+def test_versions_replace_days_and_stay_readable(spark, tmp_path):
+    kept = day_store(spark, str(tmp_path / "store"))
+    assert kept.snapshot().version == -1 and kept.table("t", kept.snapshot()).count() == 0
+    first = kept.transact(lambda at: {"t": store.Change(dated(spark, (1, 1), (2, 2), (3, None)))}, "app", 0)
+    assert kept.transact(lambda at: {"t": store.Change(dated(spark, (9, 9)))}, "app", 0) == first  # the same batch again
+    second = kept.transact(lambda at: {"t": store.Change(dated(spark, (4, 2)), ["2024-01-02"])}, "app", 1)
+    ids = lambda at, **more: sorted(r["id"] for r in kept.table("t", at, **more).collect())
+    assert ids(second) == [1, 3, 4] and ids(first) == [1, 2, 3] and ids(kept.snapshot(0)) == [1, 2, 3]
+    assert ids(second, days=["2024-01-02"]) == [4] and ids(second, days=[store.NO_DAY]) == [3]
+    untouched = {f for f in first.folders["t"] if "2024-01-02" not in f}
+    assert untouched < second.folders["t"]
+    third = kept.transact(lambda at: {"t": store.Change(dated(spark, (5, 1)))})
+    packed = kept.compact("t")
+    assert ids(packed) == ids(third) == [1, 3, 4, 5] and len(packed.folders["t"]) == 3 < len(third.folders["t"])
+    assert kept.vacuum(packed.version) >= 1 and ids(kept.snapshot()) == [1, 3, 4, 5]
+    with pytest.raises(ValueError):
+        kept.snapshot(77)
+
+
+def test_of_two_writers_one_retries(spark, tmp_path):
+    one, other = day_store(spark, str(tmp_path / "store")), day_store(spark, str(tmp_path / "store"))
+    seen = []
+
+    def slow(at):
+        seen.append(at.version)
+        if len(seen) == 1:  # the other writer commits meanwhile
+            other.transact(lambda at: {"t": store.Change(dated(spark, (7, 7)))})
+        return {"t": store.Change(dated(spark, (100 + one.table("t", at).count(), 1)))}
+
+    done = one.transact(slow)
+    assert seen == [-1, 0] and done.version == 1
+    assert sorted(r["id"] for r in one.table("t", one.snapshot()).collect()) == [7, 101]
+    data = os.listdir(tmp_path / "store" / "data" / "t")
+    assert len([d for d in data if not d.startswith(".")]) == 2  # nothing of the lost attempt
+    with pytest.raises(store.VersionTaken):
+        one.commit(store.Snapshot(), {})
+
+
+def test_checkpoints_of_the_log(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "CHECKPOINT_EVERY", 3)
+    kept = day_store(spark, str(tmp_path / "store"))
+    for k in range(5):
+        kept.transact(lambda at: {"t": store.Change(dated(spark, (k, 1 + k % 2)))})
+    assert sorted(r["id"] for r in kept.table("t", kept.snapshot()).collect()) == [0, 1, 2, 3, 4]
+    assert any(n.startswith("checkpoint-") for n in os.listdir(tmp_path / "store" / "log"))
+    assert [len(kept.snapshot(v).folders["t"]) for v in range(5)] == [1, 2, 3, 4, 5]
+
+
+def rows_of(kept, name):
+    return sorted(map(repr, kept.table(name, kept.snapshot()).collect()))
+
+
+def test_batches_of_a_log_add_up(spark, root, tmp_path):
+    """A log read in two parts leaves the tables that one read leaves; results find calls of earlier parts."""
+    path = f"{root}/-w-p/s1.jsonl"
+    whole = ingest.log_store(spark, str(tmp_path / "whole"))
+    records, status = logs.parse_records(logs.scan_cli_logs(spark, root))
+    ingest.ingest_messages(whole, logs.deduplicated(logs.normalise_cli(records)), status)
+    text = open(path).read()
+    cut = text.index(json.dumps(LINES[3]))  # after the calls, before their results
+    parts = ingest.log_store(spark, str(tmp_path / "parts"))
+    for k, upto in enumerate((cut, len(text))):
+        with open(path, "w") as f:
+            f.write(text[:upto])
+        records, status = logs.parse_records(logs.scan_cli_logs(spark, root, manifest=parts.table("manifest", parts.snapshot())))
+        at = ingest.ingest_messages(parts, logs.deduplicated(logs.normalise_cli(records)), status, "test", k)
+    for name in ("turns", "calls", "errors", "skills", "sessions"):
+        assert rows_of(parts, name) == rows_of(whole, name), name
+    manifest = lambda s: sorted((r["file_path"], r["last_byte_offset"], r["last_line_number"]) for r in s.table("manifest", s.snapshot()).collect())
+    assert manifest(parts) == manifest(whole)
+    assert at.version == 1 and parts.snapshot().batches == {"test": 1}
 
 
 def test_exports(spark, tmp_path):
