@@ -136,13 +136,6 @@ def rebuild_skills(lines):
     return shred.rebuild_skills(bare, tables["skills"].limit(0), tables["calls"], tables["skills"])[0].select("tool_call_id", "skill_name")
 
 
-@on_logs("SELECT file_path, line_no FROM l WHERE line_no>5 OR user_id%3=0")
-def incremental_scan(lines):
-    # what a manifest of five lines of each file leaves; files of every third user are not in it
-    known = lines.filter(F.split("file_session", "-")[0].cast("long") % 3 != 0).groupBy("file_path").agg(F.lit(5).cast("long").alias("last_line_number"), F.lit(10).cast("long").alias("file_size_bytes"))
-    return logs.new_lines(lines, known).select("file_path", "line_no")
-
-
 @on_logs("SELECT source, count(*) AS n FROM (SELECT 'cli' AS source FROM a UNION ALL SELECT 'cli' FROM l WHERE status='entry' AND type<>'assistant' UNION ALL SELECT 'desktop' FROM l WHERE status='entry') AS q GROUP BY 1")
 def multi_source_union(lines):
     both = _messages(lines).unionByName(_messages(lines.withColumn("source_type", F.lit("desktop")), "none"))

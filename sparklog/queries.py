@@ -828,15 +828,19 @@ def prompt_detail(x):
 # --- streams over the events, run to the end of what is there --------------------------------------------
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; of this machine only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or 'file:///tmp/sparklog-shared').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _streamed(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
     """Registers a stream's whole output. Its state and result lie in the shared folder of the session."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = base or "file:///tmp/sparklog-shared"
-        folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        folder = shared_folder(spark, name)
         path = f"{sf_dir}/events.parquet"  # as a pattern below: the stream source takes files only by patterns
         events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("timestamp", F.col("ts").cast("timestamp"))
         tokens = {c: F.col("event_id") * 0 + n for c, n in (("input_tokens", 1), ("output_tokens", 2))}
@@ -909,4 +913,4 @@ SELECT conv_id, segment, min(CASE WHEN role='user' AND text IS NOT NULL THEN tur
  max(CASE WHEN role='user' THEN length(text) END) AS prompt_chars, CAST(coalesce(sum(CASE WHEN role='assistant' THEN length(text) END),0) AS BIGINT) AS response_chars FROM n WHERE segment>0 GROUP BY 1, 2"""
 
 
-from sparklog import log_queries  # noqa: E402, F401  (registers its queries)
+from sparklog import file_queries, log_queries  # noqa: E402, F401  (register their queries)
