@@ -836,8 +836,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(base or 'file:///tmp/sparklog-shared').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _streamed(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
-    """Registers a stream's whole output. Its state and result lie in the shared folder of the session."""
+def _streamed(name: str, make: Callable[[DataFrame], DataFrame], sql: str, kept: str = "true") -> None:
+    """Registers a stream's whole output, or the rows of it to be kept. Its state and result lie in the shared folder of the session."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = shared_folder(spark, name)
@@ -846,7 +846,7 @@ def _streamed(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> No
         tokens = {c: F.col("event_id") * 0 + n for c, n in (("input_tokens", 1), ("output_tokens", 2))}
         out = make(events.withColumn("cost_usd", F.col("value") / 100).withColumns(tokens))
         out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-        return spark.read.schema(out.schema).parquet(f"{folder}/out")
+        return spark.read.schema(out.schema).parquet(f"{folder}/out").filter(kept).drop("_end")
 
     QUERIES[name], SQL[name] = run, sql
 
@@ -861,9 +861,33 @@ _streamed(
 _streamed("stream_dedup", lambda e: live.stream_dedup(e, "event_id").select("event_id"), "SELECT DISTINCT event_id FROM events")
 _streamed(
     "stream_windows",
-    lambda e: live.stream_windows(e, ["user_id"], FIVE_HOURS).select("user_id", _text("anchor").alias("anchor"), "turns"),
-    "WITH RECURSIVE t AS (SELECT user_id, ts AS timestamp, value/100 AS cost_usd FROM events)" + _W5 + " SELECT acc AS user_id, strftime(anchor, '%Y-%m-%d %H:%M:%S') AS anchor, turns FROM w5 "
-    "WHERE anchor + INTERVAL 5 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE OR anchor < (SELECT max(anchor) FROM w5 AS o WHERE o.acc=w5.acc)",
+    # the rows as the files have them, in no order of time: a delay as long as the events
+    lambda e: live.stream_windows(_ended(e, "40 days"), ["user_id"], FIVE_HOURS, "30 days").filter("user_id >= 0").select("user_id", _text("anchor").alias("anchor"), "turns", "late_rows"),
+    "WITH RECURSIVE t AS (SELECT user_id, ts AS timestamp, value/100 AS cost_usd FROM events)" + _W5 + " SELECT acc AS user_id, strftime(anchor, '%Y-%m-%d %H:%M:%S') AS anchor, turns, CAST(0 AS BIGINT) AS late_rows FROM w5",
+)
+
+
+def _ended(events: DataFrame, after: str) -> DataFrame:
+    """The events, and one of no user long after the first: it brings the watermark past all others."""
+    twice = F.explode(F.when(F.col("event_id") == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    rows = events.withColumn("_end", twice).withColumn("user_id", F.when(F.col("_end"), F.lit(-1)).otherwise(F.col("user_id")))
+    return rows.withColumn("timestamp", F.when(F.col("_end"), F.col("timestamp") + F.expr("INTERVAL 1 YEAR") + F.expr(f"INTERVAL {after}")).otherwise(F.col("timestamp"))).drop("_end")
+
+
+def _paired(events: DataFrame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = _ended(events.withColumn("k", k).withColumn("event_type", F.when(F.col("event_id") == 0, "click").otherwise(F.col("event_type"))), "1 day").withColumn("_end", F.col("user_id") < 0)
+    calls = rows.filter("event_type IN ('click', 'purchase', 'error')").select(F.concat_ws("-", "event_id", "user_id").alias("tool_call_id"), F.col("timestamp").alias("called_at"), "_end")
+    done = rows.filter("k % 7 <> 0 OR user_id < 0").select(F.concat_ws("-", "event_id", "user_id").alias("tool_call_id"), (F.col("timestamp") + F.make_dt_interval(mins=F.col("k"))).alias("done_at"), (F.col("event_type") == "error").alias("is_error"))
+    return live.stream_tool_results(calls, done).select("tool_call_id", "success", "_end")
+
+
+_streamed(
+    "stream_tool_results",
+    _paired,
+    """WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id=0 THEN 'click' ELSE event_type END AS event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)
+SELECT CAST(event_id AS VARCHAR) || '-' || CAST(user_id AS VARCHAR) AS tool_call_id, CASE WHEN k%7<>0 AND k<=30 THEN event_type<>'error' END AS success FROM e WHERE event_type IN ('click','purchase','error')""",
+    "NOT _end",  # below the join it would take the row that ends the stream away
 )
 
 

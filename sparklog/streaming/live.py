@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,38 +55,59 @@ def stream_tool_results(calls: DataFrame, results: DataFrame, delay: str = "30 m
 
 
 def stream_windows(turns: DataFrame, by: Sequence[str], span_seconds: int, delay: str = "10 minutes", ts: str = "timestamp") -> DataFrame:
-    """Closed anchored windows of each account: by..., anchor, turns, cost. The state is the open window alone.
-
-    ts must be a TimestampType column; rows arrive in order up to the batch, as the logs are written.
+    """Closed anchored windows of each account in event time: by..., anchor, turns, cost, late_rows.
+
+    ts must be a TimestampType column. Rows may come in any order inside the delay: an account's rows wait until none
+    can come before them, that is, until the watermark, or the account's own latest row less the delay, has passed
+    them; then they go through the windows in the order of their time, as in the batch operator. A window closes when
+    the first row after it, or a timer at its end, is passed. Rows that come too late are in no window: late_rows
+    counts those that came since the account's last closed window. The state is the open window and the rows that
+    wait: those of one delay, and of one trigger while it runs.
     """
     by = list(by)
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
-    out = ", ".join(f"{c} {kinds[c]}" for c in by) + ", anchor timestamp, turns long, cost double"
-    span = pd.Timedelta(seconds=span_seconds)
+    closed_schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", anchor long, turns long, cost double, late_rows long"
+    span, wait, never = span_seconds * 1_000_000, int(pd.Timedelta(delay) / pd.Timedelta(microseconds=1)), -(1 << 62)
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed = []
-        if state.hasTimedOut:
-            anchor, turns_n, cost = state.get
-            closed.append((pd.Timestamp(anchor, unit="us"), turns_n, cost))
+        anchor, turns_n, cost, passed, late, times, costs = state.get if state.exists else (None, 0, 0.0, never, 0, [], [])
+        times, costs = np.array(times, np.int64), np.array(costs, np.float64)
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            at, value = rows["_t"].to_numpy(np.int64), rows["_v"].to_numpy(np.float64)
+            in_time = at > passed
+            late += int((~in_time).sum())
+            times, costs = np.concatenate([times, at[in_time]]), np.concatenate([costs, value[in_time]])
+        order = np.argsort(times, kind="stable")
+        times, costs = times[order], costs[order]
+        passed = max(passed, state.getCurrentWatermarkMs() * 1000, int(times[-1]) - wait if len(times) else never)
+        ripe, place, closed = int(np.searchsorted(times, passed, side="right")), 0, []
+        while place < ripe:
+            if anchor is None or times[place] >= anchor + span:
+                if anchor is not None:
+                    closed.append((anchor, turns_n, cost, late))
+                    late = 0
+                anchor, turns_n, cost = int(times[place]), 0, 0.0
+            stop = int(np.searchsorted(times[:ripe], anchor + span))
+            turns_n, cost, place = turns_n + stop - place, cost + float(costs[place:stop].sum()), stop
+        if anchor is not None and passed + 1 >= anchor + span:
+            closed.append((anchor, turns_n, cost, late))
+            anchor, turns_n, cost, late = None, 0, 0.0, 0
+        times, costs = times[ripe:], costs[ripe:]
+        if anchor is None and not len(times):
             state.remove()
         else:
-            anchor, turns_n, cost = state.get if state.exists else (None, 0, 0.0)
-            rows = pd.concat(list(frames)).sort_values(ts)
-            for at, value in zip(rows[ts], rows["cost_usd"]):
-                if anchor is not None and at < pd.Timestamp(anchor, unit="us") + span:
-                    turns_n, cost = turns_n + 1, cost + value
-                    continue
-                if anchor is not None:
-                    closed.append((pd.Timestamp(anchor, unit="us"), turns_n, cost))
-                anchor, turns_n, cost = at.value // 1000, 1, float(value)
-            state.update((anchor, turns_n, cost))
-            state.setTimeoutTimestamp(max(anchor // 1000 + span_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+            state.update((anchor, turns_n, cost, passed, late, times.tolist(), costs.tolist()))
+            due = min([*times[:1].tolist(), *([anchor + span] if anchor is not None else [])])
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if closed:
-            frame = pd.DataFrame(closed, columns=["anchor", "turns", "cost"])
+            frame = pd.DataFrame(closed, columns=["anchor", "turns", "cost", "late_rows"])
             for name, value in zip(reversed(by), reversed(key)):
                 frame.insert(0, name, value)
             yield frame
 
-    rows = turns.select(*by, ts, "cost_usd").withWatermark(ts, delay)
-    return rows.groupBy(*by).applyInPandasWithState(advance, out, "anchor long, turns long, cost double", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = turns.withWatermark(ts, delay).filter(F.col(ts).isNotNull())
+    rows = rows.select(*by, ts, F.unix_micros(ts).alias("_t"), F.coalesce(F.col("cost_usd").cast("double"), F.lit(0.0)).alias("_v"))
+    kept = "anchor long, turns long, cost double, passed long, late long, times array<bigint>, costs array<double>"
+    windows = rows.groupBy(*by).applyInPandasWithState(advance, closed_schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return windows.withColumn("anchor", F.timestamp_micros("anchor"))

@@ -178,6 +178,22 @@ def test_stream_windows(spark, tmp_path):
     assert got[("x", at(0))] == 3 and got[("x", at(300))] == 1 and got[("y", at(2000))] == 1
 
 
+def test_stream_windows_in_any_order_inside_the_delay(spark, tmp_path):
+    """Shuffled arrival gives the windows of the batch operator; a row beyond the delay is counted apart."""
+    rng = random.Random(3)
+    rows = sorted((rng.randint(0, 40 * 60), rng.choice("xyz")) for _ in range(300))
+    arrival = sorted(rows, key=lambda r: r[0] + rng.uniform(0, 100))  # each within 100 minutes of those before
+    batches = [[(a, at(t), 1.0) for t, a in arrival[k : k + 60]] for k in range(0, 300, 60)]
+    batches += [[("x", at(5), 1.0)], [("w", at(10**5), 1.0)], [("w", at(10**5 + 1), 1.0)]]  # x is far too late
+    source = _stream(spark, tmp_path, batches, "account string, timestamp timestamp, cost_usd double")
+    out = _run(live.stream_windows(source, ["account"], FIVE_HOURS, "101 minutes"), tmp_path, "shuffled_windows")
+    got = sorted((r["account"], r["anchor"], r["turns"], r["cost"]) for r in out if r["account"] != "w")
+    table = spark.createDataFrame([(a, at(t), 1.0) for t, a in rows], "account string, timestamp timestamp_ntz, cost_usd double")
+    want = sorted(tuple(r) for r in anchored_windows(table, ["account"], FIVE_HOURS).collect())
+    assert got == want
+    assert sum(r["late_rows"] for r in out) <= 1
+
+
 def test_stream_tool_results(spark, tmp_path):
     calls = _stream(spark, tmp_path / "c", [[("t1", at(0)), ("t2", at(1))], [("t3", at(300))]], "tool_call_id string, called_at timestamp")
     results = _stream(spark, tmp_path / "r", [[("t1", at(5), False)], [("t9", at(300), True)]], "tool_call_id string, done_at timestamp, is_error boolean")
