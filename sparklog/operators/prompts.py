@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklog.functions.exprs import CATEGORIES, NO_FILTERS, Filters, Range, only, turn_filters
+from sparklog.plans.blocks import BLOCK, running_sums
 from sparklog.plans.ranks import with_percent_rank
 
 ALL_TIME = Range(dt.datetime(2000, 1, 1), dt.datetime(2099, 12, 31))
@@ -17,14 +18,16 @@ COST_BOUNDS = (0.0, 0.001, 0.01, 0.05, 0.1, 0.5)
 METRICS = ("tool_calls", "total_tokens", "depth", "distinct_tools")
 
 
-def segments(turns: DataFrame, *carry: str) -> DataFrame:
-    """Turns with the number of their prompt in the session; 0 before the first. Texts are not carried along."""
+def segments(turns: DataFrame, *carry: str, block: str = BLOCK) -> DataFrame:
+    """Turns with the number of their prompt in the session; 0 before the first. Texts are not carried along.
+
+    Prompts are counted in blocks of time, so a session's turns are numbered in as many tasks as it has blocks.
+    """
     is_prompt = (F.col("role") == "user") & F.col("content_text").isNotNull()
     rows = turns.select(
         "session_id", "turn_id", "timestamp", "role", "model", "has_thinking", "cost_usd", "stop_reason", *[f"{c}_tokens" for c in CATEGORIES], is_prompt.alias("is_prompt"), *carry
     )
-    order = Window.partitionBy("session_id").orderBy("timestamp", "turn_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("segment", F.sum(F.col("is_prompt").cast("int")).over(order))
+    return running_sums(rows, ["session_id"], ["timestamp", "turn_id"], {"segment": F.col("is_prompt").cast("int")}, length=block)
 
 
 def prompt_pairs(turns: DataFrame, calls: DataFrame, sessions: DataFrame, r: Range = ALL_TIME, f: Filters = NO_FILTERS, tokens: str = "2way", model: str = "min") -> DataFrame:

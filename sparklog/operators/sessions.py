@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklog.functions.exprs import CATEGORIES, NO_FILTERS, Filters, Range, only, session_filters, token_sums, turn_filters, with_context
+from sparklog.plans.blocks import BLOCK, running_sums
 
 _DURATION_CAP = 43_200
 SORTS = ("start_time", "duration_seconds", "total_cost", "total_tokens", "context_volume", "turn_count", "tool_call_count")
@@ -89,12 +90,11 @@ def context_histogram(pressure: DataFrame) -> DataFrame:
     return spine.join(by, "position", "left").na.fill(0)
 
 
-def cumulative_cost(turns: DataFrame, session_id: str | None = None) -> DataFrame:
-    """Running cost inside each session, in the order of time and turn."""
+def cumulative_cost(turns: DataFrame, session_id: str | None = None, block: str = BLOCK) -> DataFrame:
+    """Running cost inside each session, in the order of time and turn; a long session is summed in blocks of time."""
     rows = turns if session_id is None else turns.filter(F.col("session_id") == session_id)
     rows = rows.select("session_id", "turn_id", "timestamp", "cost_usd", *[f"{c}_tokens" for c in CATEGORIES])
-    running = Window.partitionBy("session_id").orderBy("timestamp", "turn_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cumulative_cost", F.sum("cost_usd").over(running))
+    return running_sums(rows, ["session_id"], ["timestamp", "turn_id"], {"cumulative_cost": F.col("cost_usd")}, length=block)
 
 
 def calls_per_turn(calls: DataFrame) -> DataFrame:

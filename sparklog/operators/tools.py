@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklog.functions.exprs import NO_FILTERS, Filters, Range, bucket, known_rate, tool_class, turn_filters
+from sparklog.plans.blocks import BLOCK, running_sums
 
 
 def called_in(calls: DataFrame, turns: DataFrame, sessions: DataFrame | None, r: Range, f: Filters = NO_FILTERS) -> DataFrame:
@@ -58,16 +59,16 @@ def ordered_calls(calls: DataFrame, turns: DataFrame, sessions: DataFrame | None
     return called_in(calls, turns, sessions, r, f).select("session_id", "timestamp", "tool_call_id", "tool_name", "success", "duration_ms")
 
 
-def failure_streaks(calls: DataFrame, turns: DataFrame, sessions: DataFrame | None, r: Range, f: Filters = NO_FILTERS, min_total: int = 2) -> DataFrame:
+def failure_streaks(calls: DataFrame, turns: DataFrame, sessions: DataFrame | None, r: Range, f: Filters = NO_FILTERS, min_total: int = 2, block: str = BLOCK) -> DataFrame:
     """Per session with known results: its longest run of failures, runs of 2 and 3 and more, failed calls in runs.
 
-    A run is a gap-and-island: the row number less the row number among equal outcomes is constant in it.
+    A run of failures is told by the number of successes before it, which no failure changes. It is counted in blocks
+    of time, so a session's calls are numbered in as many tasks as it has blocks; a run over several blocks keeps its number.
     """
     rows = ordered_calls(calls, turns, sessions, r, f).filter("success is not null")
-    order = ("timestamp", "tool_call_id")
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy(*order)) - F.row_number().over(Window.partitionBy("session_id", "success").orderBy(*order))
-    runs = rows.withColumn("run", place).groupBy("session_id", "success", "run").agg(F.count("*").alias("n"))
-    failed = F.when(~F.col("success"), F.col("n"))
+    numbered = running_sums(rows, ["session_id"], ["timestamp", "tool_call_id"], {"run": F.col("success").cast("int")}, length=block)
+    runs = numbered.groupBy("session_id", "run").agg(F.count_if(~F.col("success")).alias("n"))
+    failed = F.when(F.col("n") > 0, F.col("n"))
     return runs.groupBy("session_id").agg(
         F.coalesce(F.max(failed), F.lit(0)).alias("max_failure_streak"), F.count_if(failed >= 2).alias("streaks_2plus"), F.count_if(failed >= 3).alias("streaks_3plus"),
         F.coalesce(F.sum(F.when(failed >= min_total, failed)), F.lit(0)).alias("failed_in_streaks"),
