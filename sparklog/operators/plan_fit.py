@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklog.functions.exprs import model_class
@@ -75,10 +75,74 @@ def calibrate(tiers: DataFrame, peak_five_hour: float | Column, peak_weekly: flo
     )
 
 
-def _view(windows: DataFrame, tiers: DataFrame, by: Sequence[str], ceiling: str, tag: str) -> DataFrame:
-    rows = with_fill(windows.crossJoin(F.broadcast(tiers)), F.col(ceiling))  # three tiers
-    n, near = F.count("*"), F.count_if(F.col("fill") >= NEAR)
-    return rows.groupBy(*by, "tier").agg(n.alias(f"n{tag}"), near.alias(f"near{tag}"), (near / n).alias(f"share{tag}"), nearest_rank("fill", FIT_QUANTILE).alias(f"p90_{tag}"), F.max("fill").alias(f"peak{tag}"))
+#: The two kinds of usage windows by the name of their ceiling, and the ending of their columns.
+SPANS, _TAGS = {"five_hour": FIVE_HOURS, "weekly": WEEK}, {"five_hour": "5", "weekly": "7"}
+
+
+def usage_windows(turns: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Both kinds of windows of each account from one pass over its sorted turns: by..., span, anchor, turns, cost."""
+    return anchored_windows(turns, by, SPANS)
+
+
+def _both(w5: DataFrame, w7: DataFrame) -> DataFrame:
+    return w5.withColumn("span", F.lit("five_hour")).unionByName(w7.withColumn("span", F.lit("weekly")))
+
+
+def usage_summary(windows: DataFrame, tiers: DataFrame, by: Sequence[str], own: DataFrame | str | None = None) -> DataFrame:
+    """One row per account from its windows of both kinds, in one aggregation: pressure under each tier, trend, recent pressure.
+
+    t0, t1, .. (a struct per tier, smallest first), windows5, trend, early_mean, late_mean, recent_pressure. own:
+    by..., five_hour and weekly, the ceilings of each account's plan, or the tier that all have, for the last. A tier's ceiling divides all costs
+    of an account alike, so ranks are taken of the costs and divided then: windows are not repeated for each tier.
+    """
+    by = list(by)
+    named = lambda k, c: F.max(F.when(F.col("tier") == TIERS[k].name, F.col(c)))
+    limits = tiers.agg(*[named(k, c).alias(f"_{c}{k}") for k in range(len(TIERS)) for c in SPANS])
+    rows = windows.crossJoin(F.broadcast(limits))  # one row
+    if isinstance(own, DataFrame):
+        rows = rows.join(own.select(*by, *[F.col(c).alias(f"_own_{c}") for c in SPANS]), by, "left")
+    else:
+        k = next((str(k) for k, t in enumerate(TIERS) if t.name == own), None)
+        rows = rows.withColumns({f"_own_{c}": F.col(f"_{c}{k}") if k else F.lit(None).cast("double") for c in SPANS})
+    account, five = Window.partitionBy(*by), F.col("span") == "five_hour"
+    begin = F.when(five, F.col("anchor"))
+    rows = rows.withColumns({"_first": F.min(begin).over(account), "_last": F.max(begin).over(account)})
+    rows = rows.withColumn("_late", 2 * F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("anchor")) >= F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("_last")))
+    fill = lambda ceiling: F.when(ceiling > 0, F.col("cost") / ceiling).otherwise(0.0)
+    near = lambda ceiling: F.coalesce(fill(ceiling) >= NEAR, F.lit(False))
+    late, early = F.avg(F.when(five & F.col("_late"), F.col("cost"))), F.avg(F.when(five & ~F.col("_late"), F.col("cost")))
+    columns = [F.count_if(five & F.col("_late")).alias("_ln"), late.alias("late_mean"), early.alias("early_mean")]
+    pressed = F.lit(False)
+    for c, tag in _TAGS.items():
+        mine = F.col("span") == c
+        columns += [F.count_if(mine).alias(f"_n{tag}"), F.max(F.when(mine, F.col("cost"))).alias(f"_peak{tag}")]
+        columns.append(F.expr(f"percentile_disc({FIT_QUANTILE}) WITHIN GROUP (ORDER BY CASE WHEN span = '{c}' THEN cost END)").alias(f"_rank{tag}"))
+        for k in range(len(TIERS)):
+            columns += [F.count_if(mine & near(F.col(f"_{c}{k}"))).alias(f"_near{tag}{k}"), F.max(f"_{c}{k}").alias(f"_{c}{k}")]
+        pressed |= mine & near(F.col(f"_own_{c}"))
+    columns.append(F.coalesce(F.bool_or(F.coalesce(F.col("_late") & pressed, F.lit(False))), F.lit(False)).alias("recent_pressure"))
+    out = rows.groupBy(*by).agg(*columns)
+
+    def tier(k: int) -> Column:
+        x: dict[str, Column] = {}
+        for c, tag in _TAGS.items():
+            of = lambda v, c=c: F.coalesce(F.when(F.col(f"_{c}{k}") > 0, F.col(v) / F.col(f"_{c}{k}")), F.lit(0.0))
+            n = F.col(f"_n{tag}")
+            x |= {f"n{tag}": n, f"near{tag}": F.col(f"_near{tag}{k}"), f"share{tag}": F.coalesce(F.try_divide(F.col(f"_near{tag}{k}"), n), F.lit(0.0)), f"p90_{tag}": of(f"_rank{tag}"), f"peak{tag}": of(f"_peak{tag}")}
+        x["strained5"] = (x["near5"] >= UPGRADE_WINDOWS) & (x["share5"] >= UPGRADE_SHARE)
+        x["strained7"] = (x["n7"] > 0) & (x["share7"] >= _weekly_limit(x["n7"]))
+        x["fits"] = (x["p90_5"] <= FIT_TYPICAL) & (x["p90_7"] <= FIT_TYPICAL) & (x["peak5"] <= FIT_PEAK) & (x["peak7"] <= FIT_PEAK)
+        x["strained"] = x["strained5"] | x["strained7"]
+        return F.struct(*[v.alias(name) for name, v in x.items()])
+
+    return out.select(*by, *[tier(k).alias(f"t{k}") for k in range(len(TIERS))], F.col("_n5").alias("windows5"), _trend(F.col("_n5"), F.col("_ln")).alias("trend"), "early_mean", "late_mean", "recent_pressure")
+
+
+def _trend(n: Column, late_n: Column) -> Column:
+    """rising, falling or flat by the mean cost of windows after and before the middle; unknown with too few."""
+    few = (n < TREND_WINDOWS) | (late_n < TREND_HALF) | (n - late_n < TREND_HALF)
+    ratio = F.try_divide("late_mean", "early_mean")
+    return F.when(few, "unknown").when(F.col("early_mean") <= 0, F.when(F.col("late_mean") > 0, "rising").otherwise("flat")).when(ratio >= RISING, "rising").when(ratio <= FALLING, "falling").otherwise("flat")
 
 
 def _weekly_limit(n: Column) -> Column:
@@ -87,61 +151,38 @@ def _weekly_limit(n: Column) -> Column:
 
 def tier_assessment(w5: DataFrame, w7: DataFrame, tiers: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per account and tier: pressure of both window kinds, and whether the tier is strained or fits."""
-    keys = [*by, "tier"]
-    out = _view(w5, tiers, by, "five_hour", "5").join(_view(w7, tiers, by, "weekly", "7"), keys, "full").na.fill(0)
-    strained5 = (F.col("near5") >= UPGRADE_WINDOWS) & (F.col("share5") >= UPGRADE_SHARE)
-    strained7 = (F.col("n7") > 0) & (F.col("share7") >= _weekly_limit(F.col("n7")))
-    fits = (F.col("p90_5") <= FIT_TYPICAL) & (F.col("p90_7") <= FIT_TYPICAL) & (F.col("peak5") <= FIT_PEAK) & (F.col("peak7") <= FIT_PEAK)
-    out = out.withColumns({"strained5": strained5, "strained7": strained7, "fits": fits})
-    return out.withColumn("strained", F.col("strained5") | F.col("strained7"))
+    return by_tier(usage_summary(_both(w5, w7), tiers, by), by)
 
 
-def _with_middle(windows: DataFrame, by: Sequence[str]) -> DataFrame:
-    seconds = F.timestamp_diff("MICROSECOND", F.min("anchor"), F.max("anchor")) / 2
-    middle = windows.groupBy(*by).agg(F.min("anchor").alias("_first"), seconds.alias("_half"))
-    return middle.select(*by, "_first", "_half")
-
-
-def _recent(column: str = "anchor") -> Column:
-    return F.timestamp_diff("MICROSECOND", F.col("_first"), F.col(column)) >= F.col("_half")
+def by_tier(summary: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The tiers of a usage_summary as rows."""
+    each = F.array(*[F.struct(F.lit(t.name).alias("tier"), F.col(f"t{k}").alias("x")) for k, t in enumerate(TIERS)])
+    return summary.select(*by, F.explode(each).alias("t")).select(*by, "t.tier", "t.x.*")
 
 
 def usage_trend(w5: DataFrame, by: Sequence[str]) -> DataFrame:
     """rising, falling or flat by the mean cost of windows after and before the middle; unknown with too few."""
-    rows = w5.join(_with_middle(w5, by), list(by)).withColumn("_late", _recent())
-    late, early = F.avg(F.when(F.col("_late"), F.col("cost"))), F.avg(F.when(~F.col("_late"), F.col("cost")))
-    out = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if("_late").alias("_ln"), late.alias("late_mean"), early.alias("early_mean"))
-    few = (F.col("_n") < TREND_WINDOWS) | (F.col("_ln") < TREND_HALF) | (F.col("_n") - F.col("_ln") < TREND_HALF)
-    ratio = F.try_divide("late_mean", "early_mean")
-    trend = F.when(few, "unknown").when(F.col("early_mean") <= 0, F.when(F.col("late_mean") > 0, "rising").otherwise("flat")).when(ratio >= RISING, "rising").when(ratio <= FALLING, "falling").otherwise("flat")
-    return out.select(*by, trend.alias("trend"), "early_mean", "late_mean")
+    return usage_summary(w5.withColumn("span", F.lit("five_hour")), tier_table(w5.sparkSession), by).select(*by, "trend", "early_mean", "late_mean")
 
 
 def recent_pressure(w5: DataFrame, w7: DataFrame, ceilings: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per account: is a window of the later half near its limit. ceilings: by..., five_hour, weekly."""
-    middle = _with_middle(w5, by)
-    both = w5.withColumn("_span", F.lit("five_hour")).unionByName(w7.withColumn("_span", F.lit("weekly")))
-    rows = both.join(middle, list(by)).join(ceilings, list(by))
-    ceiling = F.when(F.col("_span") == "five_hour", F.col("five_hour")).otherwise(F.col("weekly"))
-    near = (ceiling > 0) & (F.try_divide(F.col("cost"), ceiling) >= NEAR)
-    return rows.groupBy(*by).agg(F.coalesce(F.bool_or(_recent() & near), F.lit(False)).alias("recent_pressure"))
+    return usage_summary(_both(w5, w7), tier_table(w5.sparkSession), by, ceilings).select(*by, "recent_pressure")
 
 
 def _half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("double")
 
 
-def plan_fit(assessment: DataFrame, activity: DataFrame, trend: DataFrame, pressure: DataFrame, current: DataFrame, w5: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per account: verdict, suggested tier, monthly difference and confidence.
+def plan_fit(summary: DataFrame, activity: DataFrame, current: DataFrame | str, by: Sequence[str]) -> DataFrame:
+    """Per account: verdict, suggested tier, monthly difference and confidence, from its usage_summary and activity_span.
 
-    current: by..., tier (none, or a paid tier). Precedence: strained and recent -> pay as you go -> smaller
+    current: by..., tier (none, or a paid tier), or the tier that all have. Precedence: strained and recent -> pay as you go -> smaller
     tier that fits -> stay; without a plan: the smallest tier that isn't strained and is clearly cheaper.
     """
     by = list(by)
-    fields = [c for c in assessment.columns if c not in (*by, "tier")]
-    wide = assessment.groupBy(*by).agg(*[F.max(F.when(F.col("tier") == t.name, F.struct(*fields))).alias(f"t{k}") for k, t in enumerate(TIERS)])
-    counts = w5.groupBy(*by).agg(F.count("*").alias("windows5"))
-    rows = activity.join(current, by).join(wide, by, "left").join(trend, by, "left").join(pressure, by, "left").join(counts, by, "left")
+    rows = activity.join(current, by) if isinstance(current, DataFrame) else activity.withColumn("tier", F.lit(current))
+    rows = rows.join(summary, by, "left")
     rows = rows.withColumns({"trend": F.coalesce("trend", F.lit("unknown")), "recent_pressure": F.coalesce("recent_pressure", F.lit(False)), "windows5": F.coalesce("windows5", F.lit(0))})
     rate = F.when(F.col("span_days") > 0, F.col("total_cost") / F.col("span_days") * 30).otherwise(0.0)
     volume = F.when((F.col("active_days") >= 14) & (F.col("windows5") >= 20) & (F.col("recency_days") <= 3), 2).when((F.col("active_days") >= 5) & (F.col("windows5") >= 6), 1).otherwise(0)
@@ -188,8 +229,7 @@ def plan_fit(assessment: DataFrame, activity: DataFrame, trend: DataFrame, press
 
 
 def assess_accounts(turns: DataFrame, current: DataFrame, by: Sequence[str], now: dt.datetime, overrides: DataFrame | None = None) -> DataFrame:
-    """plan_fit from turns alone: windows, assessment, trend and pressure of every account."""
-    w5, w7 = anchored_windows(turns, by, FIVE_HOURS), anchored_windows(turns, by, WEEK)
+    """plan_fit from turns alone, in two passes over them: one for all windows, one for the span of activity."""
     tiers = tier_table(turns.sparkSession, overrides)
     own = current.join(F.broadcast(tiers), "tier", "left").select(*by, F.coalesce("five_hour", F.lit(0.0)).alias("five_hour"), F.coalesce("weekly", F.lit(0.0)).alias("weekly"))
-    return plan_fit(tier_assessment(w5, w7, tiers, by), activity_span(turns, by, now), usage_trend(w5, by), recent_pressure(w5, w7, own, by), current, w5, by)
+    return plan_fit(usage_summary(usage_windows(turns, by), tiers, by, own), activity_span(turns, by, now), current, by)

@@ -3,7 +3,8 @@
 A window over a key is one task, however many rows the key has. Here the rows of a key are cut into blocks of time;
 each block is ordered and summed by itself, an exclusive scan over the blocks' narrow totals says what comes before
 each block, and a row's running value is that of its block plus what comes before. Rows are shuffled once, by key and
-block, for both the totals and the rows; a key's scan holds a row for each block.
+block. The totals are summed before they are shuffled, in a scan of their own over the few columns they need; a key's
+scan over its blocks holds a row for each.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ _BLOCK = "_block"
 
 
 def in_blocks(rows: DataFrame, by: Sequence[str], ts: str = "timestamp", length: str = BLOCK) -> DataFrame:
-    """rows with their block, dealt out by key and block. Rows without a time are in a block of their own, before all others."""
+    """rows with their block. Rows without a time are in a block of their own, before all others."""
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     micros = F.timestamp_diff("MICROSECOND", start, F.col(ts).cast("timestamp_ntz"))
     each = F.timestamp_diff("MICROSECOND", start, start + F.expr(f"INTERVAL {length}"))
     block = F.coalesce(F.floor(micros / each), F.lit(-(1 << 62))).cast("long")
-    return rows.withColumn(_BLOCK, block).repartition(*by, _BLOCK)
+    return rows.withColumn(_BLOCK, block)
 
 
 def before_blocks(blocked: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:

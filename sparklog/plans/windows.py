@@ -23,41 +23,43 @@ def at_micros(column: Column) -> Column:
     return F.timestamp_add("MICROSECOND", column, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def anchored_windows(rows: DataFrame, by: Sequence[str], span_seconds: int, ts: str = "timestamp", value: str = "cost_usd") -> DataFrame:
-    """by..., anchor, turns, cost: one row per window of each account.
+def anchored_windows(rows: DataFrame, by: Sequence[str], span_seconds: int | dict[str, int], ts: str = "timestamp", value: str = "cost_usd") -> DataFrame:
+    """by..., anchor, turns, cost: one row per window of each account. Several named spans: their name in column span.
 
     Where a window opens depends on the one before it, so each account's rows are sorted by time in one partition
-    and streamed; besides the sort, which spills, a task holds a batch and the open window, however dense or long
-    an account is. Rows without a time are left out; a null value counts as 0; rows of one time are in one window.
+    and streamed, once for all spans; besides the sort, which spills, a task holds a batch and the open windows,
+    however dense or long an account is. Rows without a time are left out; a null value counts as 0; rows of one
+    time are in one window.
     """
-    span = span_seconds * 1_000_000
+    named = isinstance(span_seconds, dict)
+    spans = [(name, seconds * 1_000_000) for name, seconds in (span_seconds.items() if named else [("", span_seconds)])]
     by = list(by)
     base = rows.select(*by, micros(ts).alias("_t"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v")).filter("_t IS NOT NULL")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        anchor = turns = 0
-        cost = 0.0
+        open_: list[tuple | None] = [None] * len(spans)  # of each span: the account's key, anchor, turns, cost
         for batch in batches:
             closed: list[tuple] = []
             keys = [batch.column(c) for c in by]
             at, costs = batch.column("_t").to_numpy(), batch.column("_v").to_numpy()
             for begin, end in _runs(keys, batch.num_rows):
                 own = tuple(column[begin].as_py() for column in keys)
-                place = begin
-                while place < end:
-                    if own == key:  # the open window goes on
-                        stop = begin + int(np.searchsorted(at[begin:end], anchor + span))
-                        turns, cost, place = turns + stop - place, cost + float(costs[place:stop].sum()), stop
-                        if stop == end:
-                            break
-                    if key is not None:
-                        closed.append((*key, anchor, turns, cost))
-                    key, anchor, turns, cost = own, int(at[place]), 0, 0.0
+                for k, (name, span) in enumerate(spans):
+                    place, now = begin, open_[k]
+                    while place < end:
+                        if now is None or now[0] != own or at[place] >= now[1] + span:
+                            if now is not None:
+                                closed.append((*now[0], name, *now[1:]))
+                            now = (own, int(at[place]), 0, 0.0)
+                        stop = begin + int(np.searchsorted(at[begin:end], now[1] + span))
+                        now, place = (own, now[1], now[2] + stop - place, now[3] + float(costs[place:stop].sum())), stop
+                    open_[k] = now
             yield _table(closed)
-        yield _table([(*key, anchor, turns, cost)] if key is not None else [])
+        yield _table([(*now[0], name, *now[1:]) for now, (name, _) in zip(open_, spans) if now is not None])
 
-    schema = T.StructType([*[T.StructField(c, base.schema[c].dataType) for c in by], T.StructField("anchor", T.LongType()), T.StructField("turns", T.LongType()), T.StructField("cost", T.DoubleType())])
+    schema = T.StructType(
+        [*[T.StructField(c, base.schema[c].dataType) for c in by], T.StructField("span", T.StringType()), T.StructField("anchor", T.LongType()), T.StructField("turns", T.LongType()), T.StructField("cost", T.DoubleType())]
+    )
     kinds = to_arrow_schema(schema)
 
     def _table(windows: list[tuple]) -> pa.RecordBatch:
@@ -65,7 +67,8 @@ def anchored_windows(rows: DataFrame, by: Sequence[str], span_seconds: int, ts:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
     out = base.repartition(*by).sortWithinPartitions(*by, "_t").mapInArrow(stream, schema)
-    return out.withColumn("anchor", at_micros(F.col("anchor")))
+    out = out.withColumn("anchor", at_micros(F.col("anchor")))
+    return out if named else out.drop("span")
 
 
 def _runs(keys: list[pa.Array], n: int) -> list[tuple[int, int]]:

