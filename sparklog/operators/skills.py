@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklog.functions.exprs import NO_FILTERS, Filters, Range, bucket, context_tokens, estimated_tokens, known_rate, skill_calls, turn_filters
@@ -44,20 +44,46 @@ def skill_loaded(skills: DataFrame, calls: DataFrame, turns: DataFrame, sessions
 
 
 def skill_summary(skills: DataFrame, calls: DataFrame, turns: DataFrame, sessions: DataFrame, r: Range, f: Filters = NO_FILTERS) -> DataFrame:
-    """One row: skills loaded and invoked, success, dead weight, share of the context, and whether they are too many."""
-    chosen = _period_sessions(turns, sessions, r, f)
-    loaded = skills.join(chosen, "session_id", "left_semi").groupBy("session_id", "skill_name").agg(F.max("skill_description").alias("d"))
-    per_session = loaded.groupBy("session_id").agg(F.count("*").alias("n"), F.sum(estimated_tokens("d")).alias("tokens"))
-    a = per_session.agg(F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_loaded"), F.coalesce(F.max("n"), F.lit(0)).alias("max_loaded"), F.coalesce(F.avg("tokens"), F.lit(0.0)).alias("avg_loaded_tokens"))
-    rows = called_in(skill_calls(calls), turns, sessions, r, f)
-    good, known = F.count_if(F.col("success")), F.count("success")
-    b = rows.agg(F.countDistinct("skill").alias("distinct_invoked"), F.count("*").alias("invocations"), known_rate(good, known).alias("success_rate"))
-    names = loaded.select(F.col("skill_name").alias("skill")).distinct()
-    used = skill_calls(calls).filter("skill is not null").join(chosen, "session_id", "left_semi").select("skill").distinct().withColumn("used", F.lit(True))
-    c = names.join(used, "skill", "left").agg(F.count("*").alias("distinct_loaded"), F.count_if(F.col("used").isNull()).alias("dead_weight"))
-    context = turn_filters(turns.filter(F.col("role") == "assistant").filter(r.holds("timestamp")), sessions, f)
-    d = context.agg(F.coalesce(F.avg(context_tokens()), F.lit(0.0)).alias("avg_context_tokens"))
-    out = a.crossJoin(b).crossJoin(c).crossJoin(d)  # one row each
+    """One row: skills loaded and invoked, success, dead weight, share of the context, and whether they are too many.
+
+    Turns of the period, skill calls and loaded skills are one table of narrow rows, each read once: a call is in the
+    period if a turn row has its turn. Rows are summed by session and skill, then by session, then by skill; only the
+    last sum, over skills, is one task's.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    own = turn_filters(turns.filter(r.holds("timestamp")), sessions, f)
+    facts = own.select("session_id", "turn_id", F.lit("turn").alias("kind"), none("string").alias("skill"), none("boolean").alias("success"), F.when(F.col("role") == "assistant", context_tokens()).alias("context"), none("string").alias("d"))
+    facts = facts.unionByName(skill_calls(calls).select("session_id", "turn_id", F.lit("call").alias("kind"), "skill", "success", none("long").alias("context"), none("string").alias("d")))
+    facts = facts.unionByName(skills.select("session_id", F.lit(None).cast("string").alias("turn_id"), F.lit("load").alias("kind"), F.col("skill_name").alias("skill"), none("boolean").alias("success"), none("long").alias("context"), F.col("skill_description").alias("d")))
+    is_ = lambda kind: F.col("kind") == kind
+    # loaded skills have no turn: they are spread by their name
+    turn = Window.partitionBy("session_id", "turn_id", F.when(F.col("turn_id").isNull(), F.coalesce("skill", F.lit(""))))
+    facts = facts.withColumn("inside", is_("call") & F.max(is_("turn")).over(turn))
+    good = F.col("inside") & F.col("success")
+    pairs = facts.groupBy("session_id", "skill").agg(
+        F.max(is_("turn")).alias("chosen"), F.max(is_("load")).alias("loaded"), F.max("d").alias("d"), F.count_if(is_("call")).alias("used"), F.count_if("inside").alias("invoked"),
+        F.count_if(good).alias("good"), F.count_if(F.col("inside") & F.col("success").isNotNull()).alias("known"), F.sum("context").alias("context"), F.count("context").alias("answers"),
+    )
+    tokens = F.when(F.col("loaded"), estimated_tokens("d"))
+    part = F.struct("skill", "loaded", "used", "invoked", "good", "known")
+    by_session = pairs.groupBy("session_id").agg(
+        F.max("chosen").alias("chosen"), F.count_if("loaded").alias("n"), F.sum(tokens).alias("tokens"), F.sum("context").alias("context"), F.sum("answers").alias("answers"), F.collect_list(part).alias("parts")
+    ).filter("chosen")
+    # a session's own numbers go with the first of its skills
+    each = by_session.select(F.posexplode("parts").alias("at", "p"), "n", "tokens", "context", "answers")
+    once = lambda c: F.when(F.col("at") == 0, F.col(c))
+    by_skill = each.groupBy("p.skill").agg(
+        F.max("p.loaded").alias("loaded"), F.sum("p.used").alias("used"), *[F.sum(f"p.{c}").alias(c) for c in ("invoked", "good", "known")], F.sum(once("n")).alias("n"), F.max(once("n")).alias("most"),
+        F.count_if((F.col("at") == 0) & (F.col("n") > 0)).alias("sessions"), *[F.sum(once(c)).alias(c) for c in ("tokens", "context", "answers")],
+    )
+    known_skill = F.col("skill").isNotNull()
+    ratio = lambda x, y: F.coalesce(F.try_divide(F.sum(x), F.sum(y)), F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = by_skill.agg(
+        ratio("n", "sessions").alias("avg_loaded"), zero(F.max("most")).alias("max_loaded"), ratio("tokens", "sessions").alias("avg_loaded_tokens"),
+        F.count_if(known_skill & (F.col("invoked") > 0)).alias("distinct_invoked"), zero(F.sum("invoked")).alias("invocations"), known_rate(F.sum("good"), F.sum("known")).alias("success_rate"),
+        F.count_if(known_skill & F.col("loaded")).alias("distinct_loaded"), F.count_if(known_skill & F.col("loaded") & (F.col("used") == 0)).alias("dead_weight"), ratio("context", "answers").alias("avg_context_tokens"),
+    )
     out = out.withColumns({"invocation_rate": F.try_divide("distinct_invoked", "distinct_loaded"), "dead_weight_ratio": F.try_divide("dead_weight", "distinct_loaded"), "context_share": F.try_divide("avg_loaded_tokens", "avg_context_tokens")})
     many = (F.coalesce("dead_weight_ratio", F.lit(0.0)) > DEAD_WEIGHT_LIMIT) | (F.coalesce("context_share", F.lit(0.0)) > CONTEXT_SHARE_LIMIT)
     return out.withColumn("too_many", many)
