@@ -437,7 +437,7 @@ def clips_of(table: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row per clip of a media column: id, clip number, start, end, start_s, end_s, mean, reason.
 
     Media that can't be read give one row with the reason and nulls; null and empty media, and those without
-    frames, give no row.
+    frames, give no row. An id column that has the name of a result comes back as <name>_input.
     """
 
     @F.arrow_udf(f"struct<clips:{_CLIPS_SQL},reason:string>")
@@ -452,6 +452,8 @@ def clips_of(table: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 reasons.append(str(bad))
         return pa.StructArray.from_arrays([pa.array(found, pa.list_(CLIP)), pa.array(reasons, pa.string())], ["clips", "reason"])
 
-    rows = table.select(F.col(id_col), clips(F.col(media_col)).alias("_found"))
-    rows = rows.select(id_col, F.col("_found.reason").alias("reason"), F.posexplode("_found.clips").alias("clip", "c"))
-    return rows.select(id_col, F.when(F.col("c").isNotNull(), F.col("clip")).alias("clip"), "c.*", "reason")
+    rows = table.select(F.col(id_col).alias("_id"), clips(F.col(media_col)).alias("_found"))
+    rows = rows.select("_id", F.col("_found.reason").alias("_reason"), F.posexplode("_found.clips").alias("_at", "_clip"))
+    fields = [f.name for f in rows.schema["_clip"].dataType.fields]
+    key = f"{id_col}_input" if id_col.lower() in ("clip", "reason", *fields) else id_col
+    return rows.select(F.col("_id").alias(key), F.when(F.col("_clip").isNotNull(), F.col("_at")).alias("clip"), *[F.col("_clip")[c].alias(c) for c in fields], F.col("_reason").alias("reason"))

@@ -121,6 +121,14 @@ def set_aside(df: DataFrame, out: str, *used: str) -> tuple[DataFrame, list[str]
     return df.withColumnsRenamed(names), [now.get(u.lower(), u) for u in used]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that no column of df has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just id and text, under the names doc_id and text, whatever else the table holds."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
