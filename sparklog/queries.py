@@ -16,7 +16,7 @@ from sparklog import project
 from sparklog.functions import exprs
 from sparklog.functions.exprs import Filters, Range
 from sparklog.operators import activity, cache, cost, plan_fit, prompts, sessions, shred, skills, tools
-from sparklog.plans.windows import FIVE_HOURS, WEEK, anchored_windows
+from sparklog.plans.windows import FIVE_HOURS, WEEK, anchored_windows, anchored_windows_in_blocks
 from sparklog.schemas import DEFAULT_RATE, RATES
 from sparklog.sources import merge
 from sparklog.streaming import live
@@ -807,6 +807,12 @@ def plan_fit_verdict(x):
     return out.select("user_id", "verdict", "suggested_tier", "monthly_delta", "trend")
 
 
+@query("SELECT acc AS user_id, CAST(anchor AS VARCHAR) AS anchor, turns, round(cost,6) AS cost FROM w5", _W5)
+def anchored_windows_blocks(x):
+    # five-hour windows over blocks of a day: many tasks for one account
+    return rounded(anchored_windows_in_blocks(x.turns, ["user_id"], FIVE_HOURS, 86400).select("user_id", "anchor", "turns", "cost"))
+
+
 # the survey's names for two of them
 for _name, _own in (("plan_fit", "plan_fit_verdict"), ("anchored_windows", "anchored_windows_5h")):
     QUERIES[_name], SQL[_name] = QUERIES.pop(_own), SQL.pop(_own)

@@ -1,6 +1,7 @@
 """Running values in blocks of time against one window over the key."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import Window
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparklog.operators import sessions, tools
 from sparklog.plans.blocks import running_sums
+from sparklog.plans.windows import FIVE_HOURS, anchored_windows, anchored_windows_in_blocks
 
 
 @pytest.mark.parametrize("length", ["10 minutes", "1 hour", "30 days"])
@@ -46,3 +48,19 @@ def test_runs_of_failures_over_several_blocks(spark):
     for block in ("1 hour", "1 minute", "1 day"):
         r = tools.failure_streaks(calls, turns, None, everything, block=block).first()
         assert (r["max_failure_streak"], r["streaks_2plus"], r["streaks_3plus"], r["failed_in_streaks"]) == (9, 2, 1, 11)
+
+
+@pytest.mark.parametrize("block", [3600, 6 * 3600, 7 * 86400])
+def test_windows_in_blocks_equal_the_stream(spark, block):
+    """Gaps, ties, dense stretches, null keys; blocks shorter and longer than a window."""
+    rng = random.Random(block)
+    start, rows = dt.datetime(1969, 12, 25), []
+    for account, team in (("a", None), ("b", "x"), (None, "x")):
+        t = 0
+        for _ in range(700):
+            t += rng.choice([0, 30, 600, 600, 3 * 3600, 6 * 3600 if rng.random() < 0.3 else 1])
+            rows.append((account, team, start + dt.timedelta(seconds=t), rng.choice([1.0, 2.0, None])))
+    rows += [("a", None, None, 1.0)]
+    df = spark.createDataFrame(rows, "account string, team string, timestamp timestamp_ntz, cost_usd double")
+    want = sorted(map(repr, anchored_windows(df, ["account", "team"], FIVE_HOURS).collect()))
+    assert sorted(map(repr, anchored_windows_in_blocks(df, ["account", "team"], FIVE_HOURS, block).collect())) == want
