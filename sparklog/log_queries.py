@@ -14,7 +14,7 @@ from sparklog import project
 from sparklog.functions.exprs import period
 from sparklog.operators import activity, plan_fit, shred
 from sparklog.queries import NOW, QUERIES, SQL, query, rounded
-from sparklog.sources import logs
+from sparklog.sources import logs, merge
 
 _LOGS = """WITH ev AS (SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, CAST(event_id AS VARCHAR) AS turn_id,
   CAST(user_id AS VARCHAR) || '-' || CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS session_id, event_type='view' AS prompts, event_type IN ('click','purchase','error') AS calls FROM events),
@@ -119,9 +119,14 @@ def session_skill_rows(lines):
     return shred.session_skills(logs.listings(_messages(lines))).select("session_skill_id", "session_id", "skill_count", "captured_at")
 
 
-@on_logs("SELECT count(*) AS n FROM l WHERE part=2")
+@on_logs("SELECT session_id || ':' || uuid || ':skill-' || CAST(k%10 AS VARCHAR) AS session_skill_id, uuid AS record_uuid, 'skill-' || CAST(k%10 AS VARCHAR) AS skill_name, repeat('x', k+1) || ' and more' AS skill_description, true AS is_initial, 'cli' AS source FROM l WHERE part=2")
 def sink_session_skills(lines):
-    return logs.shred_messages(_messages(lines))["skills"].agg(F.count("*").alias("n"))
+    # every third row first, then all of them: known rows stay as they are
+    rows = logs.shred_messages(_messages(lines))["skills"]
+    third = F.pmod(F.xxhash64("session_skill_id"), F.lit(3)) == 0
+    kept = merge.merge_absent(rows.limit(0), rows.filter(third), ["session_skill_id"])
+    out = merge.merge_absent(kept, rows.withColumn("source", F.when(third, "again").otherwise(F.col("source"))), ["session_skill_id"])
+    return out.select("session_skill_id", "record_uuid", "skill_name", "skill_description", "is_initial", "source")
 
 
 @on_logs("SELECT session_id, uuid, CAST(2 AS BIGINT) AS skill_count, CAST(1 AS BIGINT) AS parsed FROM l WHERE part=2 AND k%8=0")
