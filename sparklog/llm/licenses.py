@@ -8,7 +8,7 @@ at or above the threshold stands if enough of the paragraph's bigrams are in one
 enough of a template in the paragraph; a statement also needs a word that identifies the family. Any other
 paragraph whose probability of not being `none` reaches the threshold is `unknown`, with that probability as
 its confidence and the similarity to the likeliest family, if it has a word for licences or enough pairs of
-words as in licences.
+words as in licences. A licence identifier that names several licences (OR, AND, brackets) is one finding for each.
 
 The work is one pass over the table without a shuffle. A paragraph without any word of the vocabulary has no
 feature, so only the intercept's score, which is that of `none`; it isn't scored.
@@ -48,7 +48,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
         ),
     ),
     "BSD": (
-        ("BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "New BSD license"),
+        ("BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "New BSD license", "BSD-3-Clause", "BSD-2-Clause"),
         (
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
             "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -56,7 +56,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
         ),
     ),
     "GPL": (
-        ("GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL v3", "GPL-3.0", "GPLv2 or later"),
+        ("GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL v3", "GPL-3.0", "GPLv2 or later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
         (
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
             "You should have received a copy of the GNU General Public License along with this program.",
@@ -96,7 +96,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "proprietary": (
         ("all rights reserved", "proprietary license", "commercial license"),
         (
-            "All rights reserved.",
+            "All rights reserved.", "Copyright. All rights reserved.",
             "Copyright by the authors. All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
             "This software is confidential and proprietary. Unauthorized copying of this file is strictly prohibited.",
         ),
@@ -124,6 +124,7 @@ EVERYDAY = (
 OTHER_NAMES = (
     "?", "? ?", "? License", "? ? License", "? Public License", "? Public License v2.0", "? License, Version 2.0", "? ? License, Version 1.1", "? License 1.0", "? ? Public License 2.0",
     "? licence", "? Source License", "? Software License, Version 1.0", "?, Version 1.2", "? ?, version 1.2 or later", "? Open License",
+    "GNU Free Documentation License", "GNU Free Documentation License, Version 1.3",
 )
 OTHER_TERMS = (
     "This software comes without any warranty and the author is not liable for any damages that arise from its use.",
@@ -139,6 +140,7 @@ _COMMON = frozenset("a all by general international later licence license new or
 
 _LICENCE_WORDS = frozenset(("license", "licence", "licensed", "licenced", "spdx-license-identifier"))
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+_OPERATORS = re.compile(r"\s(?:OR|AND)\s|[()]")
 
 
 def words(paragraph: str) -> list[str]:
@@ -201,6 +203,7 @@ class LicenceModel:
             if line and not line.isspace():
                 spans.append((at, line, words(line)))
             at += len(line) + 1
+        spans, n = [x for span in spans for x in _statements(*span)], len(spans)
         asked = [(a, line, w) for a, line, w in spans if w and any(x in self.number for x in w)]
         found = []
         if asked:
@@ -215,7 +218,16 @@ class LicenceModel:
                         continue
                     family, confidence = "unknown", float(1 - p[k, -1])
                 found.append({"family": family, "confidence": confidence, "similarity": similarity, "start": start, "end": start + len(line), "text": line})
-        return len(spans), found
+        return n, found
+
+
+def _statements(start: int, line: str, own: list[str]) -> Iterator[tuple[int, str, list[str]]]:
+    """A paragraph as it is, or, where it is an identifier with several licences, one for each of them."""
+    names = _OPERATORS.split(line.partition(":")[2]) if own[:1] == ["spdx-license-identifier"] else []
+    if len(names) < 2:
+        yield start, line, own
+    else:
+        yield from ((start, line, own[:1] + words(name)) for name in names if words(name))
 
 
 def examples(seed: int = 0) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
@@ -248,6 +260,12 @@ def examples(seed: int = 0) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
             paragraphs.append([{"qqq": "-"}.get(w, w) for w in words(s.format(n.replace("?", "qqq")))])
             origins.append(origin)
             origin += 1
+    for n in OTHER_NAMES:  # a name alone, and an identifier
+        for p in ([w if w != "qqq" else "-" for w in words(n.replace("?", "qqq"))], ["spdx-license-identifier", "-", *["-"] * (n.count("?") - 1)]):
+            if not _LICENCE_WORDS.isdisjoint(p):
+                paragraphs += [p] * 4
+                origins += [origin] * 4
+                origin += 1
     for t in map(words, OTHER_TERMS):
         vocabulary += t
         paragraphs += [t] * 4
@@ -257,6 +275,11 @@ def examples(seed: int = 0) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         origins += [origin] * (len(paragraphs) - len(origins))
         origin += 1
     classes += [len(FAMILIES)] * (len(paragraphs) - len(classes))
+    for size in range(1, 9):  # notices of owners with a name and a year
+        paragraphs += [["copyright", *["-"] * size, "all", "rights", "reserved"]] * 2 + [["copyright", *["-"] * size, "all", "rights", "reserved", *["-"] * 3]]
+        origins += [origin] * 3
+        origin += 1
+    classes += [len(FAMILIES) - 1] * (len(paragraphs) - len(classes))
     none = len(FAMILIES) + 1
     everyday = [words(s) for s in EVERYDAY]
     pool = sorted(set(vocabulary))
