@@ -753,14 +753,14 @@ def _own_tiers(spark: SparkSession) -> DataFrame:
     return plan_fit.tier_table(spark, spark.createDataFrame([("pro", 0.4103, 2.0307), ("max-5x", 0.8301, 4.0709), ("max-20x", 2.0711, 10.0313)], "tier string, five_hour double, weekly double"))
 
 
-def _usage(x) -> DataFrame:
+def _usage_windows(x) -> DataFrame:
     """Both kinds of windows, their cost rounded as in the SQL."""
     return plan_fit.usage_windows(x.turns, ["user_id"]).withColumn("cost", F.round("cost", 9))
 
 
 @query("SELECT acc AS user_id, tier, near5, round(share5,6) AS share5, round(p5,6) AS p90_5, round(k5,6) AS peak5, near7, round(p7,6) AS p90_7, strained, fits FROM assess", _ASSESS)
 def tier_assessment(x):
-    out = plan_fit.by_tier(plan_fit.usage_summary(_usage(x), _own_tiers(x.turns.sparkSession), ["user_id"]), ["user_id"])
+    out = plan_fit.by_tier(plan_fit.usage_summary(_usage_windows(x), _own_tiers(x.turns.sparkSession), ["user_id"]), ["user_id"])
     return rounded(out.select("user_id", "tier", "near5", "share5", "p90_5", "peak5", "near7", "p90_7", "strained", "fits"))
 
 
@@ -782,7 +782,7 @@ _PRESSED = """, pressed AS (SELECT acc, bool_or(hot) AS recent_pressure FROM (SE
 
 @query("SELECT acc AS user_id, recent_pressure FROM pressed", _W5 + _W7 + _TREND + _PRESSED)
 def recent_pressure(x):
-    return plan_fit.usage_summary(_usage(x), _own_tiers(x.turns.sparkSession), ["user_id"], "pro").select("user_id", "recent_pressure")
+    return plan_fit.usage_summary(_usage_windows(x), _own_tiers(x.turns.sparkSession), ["user_id"], "pro").select("user_id", "recent_pressure")
 
 
 _RUN = ", act AS (SELECT user_id AS acc, count(DISTINCT CAST(timestamp AS DATE)) AS days, greatest(floor(date_diff('second', max(timestamp), TIMESTAMP '2024-01-31 00:00:00')/86400.0),0) AS recency, greatest(date_diff('microsecond', min(timestamp), max(timestamp))/86400000000.0,1) AS span, sum(cost_usd) AS cost FROM t GROUP BY 1)"
@@ -802,7 +802,7 @@ def monthly_run_rate(x):
  JOIN pressed ON pressed.acc=a.acc JOIN trend ON trend.acc=a.acc""", _ASSESS + _TREND + _PRESSED + _RUN)
 def plan_fit_verdict(x):
     by = ["user_id"]
-    summary = plan_fit.usage_summary(_usage(x), _own_tiers(x.turns.sparkSession), by, "pro")
+    summary = plan_fit.usage_summary(_usage_windows(x), _own_tiers(x.turns.sparkSession), by, "pro")
     out = plan_fit.plan_fit(summary, plan_fit.activity_span(x.turns, by, NOW), "pro", by)
     return out.select("user_id", "verdict", "suggested_tier", "monthly_delta", "trend")
 
