@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.shared import components, dropped, stored
+from sparklog.llm.shared import components, stored
 
 _NO_ID = -(1 << 63)
 #: Distances are told apart by this much at least before a bound decides; rounding is far below it.
