@@ -1,7 +1,6 @@
 """Rules that the test tables don't show: periods, zones, boundaries, empty inputs, plan verdicts, streaming."""
 
 import datetime as dt
-import json
 import random
 
 import pytest
@@ -12,8 +11,7 @@ from sparklog.functions.exprs import Filters, Range
 from sparklog.operators import activity, cost, plan_fit, sessions
 from sparklog.plans.ranks import with_percent_rank
 from sparklog.plans.windows import FIVE_HOURS, anchored_windows
-from sparklog.schemas import SESSIONS, TABLES, TIERS, TURNS
-from sparklog.sources import merge
+from sparklog.schemas import SESSIONS, TIERS, TURNS
 from sparklog.streaming import live
 
 NOW = dt.datetime(2024, 3, 10, 12)
