@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklog.functions.exprs import NO_FILTERS, Filters, Range, bucket, known_rate, tool_class, turn_filters
-from sparklog.plans.blocks import BLOCK, running_sums
+from sparklog.plans.blocks import BLOCK, running_sums, with_following
 
 
 def called_in(calls: DataFrame, turns: DataFrame, sessions: DataFrame | None, r: Range, f: Filters = NO_FILTERS) -> DataFrame:
@@ -88,11 +88,15 @@ def failure_offenders(streaks: DataFrame, top: int = 20) -> DataFrame:
     return streaks.filter("max_failure_streak >= 2").orderBy(F.desc("max_failure_streak"), F.desc("failed_in_streaks"), "session_id").limit(top)
 
 
-def tool_chains(calls: DataFrame, turns: DataFrame, r: Range, n: int = 3, min_count: int = 3, top: int = 20, sessions: DataFrame | None = None, f: Filters = NO_FILTERS) -> DataFrame:
-    """The most common sequences of n neighbouring calls; mean duration over the legs that have one."""
-    order = Window.partitionBy("session_id").orderBy("timestamp", "tool_call_id")
+def tool_chains(calls: DataFrame, turns: DataFrame, r: Range, n: int = 3, min_count: int = 3, top: int = 20, sessions: DataFrame | None = None, f: Filters = NO_FILTERS, block: str = BLOCK) -> DataFrame:
+    """The most common sequences of n neighbouring calls; mean duration over the legs that have one.
+
+    A session's calls are put in order in blocks of time; a sequence may run over several blocks.
+    """
+    if n < 1:
+        raise ValueError("n must be 1 or more")
     rows = ordered_calls(calls, turns, sessions, r, f)
-    legs = rows.select(*[F.lead(c, i).over(order).alias(f"{c}{i}") for i in range(n) for c in ("tool_name", "duration_ms")]).filter(F.col(f"tool_name{n - 1}").isNotNull())
+    legs = with_following(rows, ["session_id"], ["timestamp", "tool_call_id"], ["tool_name", "duration_ms"], n, length=block).filter(F.col(f"tool_name{n - 1}").isNotNull())
     names, times = [F.col(f"tool_name{i}") for i in range(n)], [F.col(f"duration_ms{i}") for i in range(n)]
     known = sum((t.isNotNull().cast("int") for t in times[1:]), times[0].isNotNull().cast("int"))
     whole = F.when(known > 0, sum((F.coalesce(t, F.lit(0)) for t in times[1:]), F.coalesce(times[0], F.lit(0))))

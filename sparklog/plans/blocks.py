@@ -49,3 +49,25 @@ def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[str], sums:
     joined = inside.join(before.alias("b"), same, "left")
     kept = [F.col(f"r.{c}") for c in rows.columns]
     return joined.select(*kept, *[(F.col(f"r.{name}") + F.coalesce(F.col(f"b._{name}"), F.lit(0))).alias(name) for name in sums])
+
+
+def with_following(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], n: int, ts: str = "timestamp", length: str = BLOCK) -> DataFrame:
+    """by..., and each of columns in the row itself and in the n - 1 rows after it inside `by`, as name0 to name{n-1}.
+
+    The value is null where a key has no such row. Each block is ordered by itself; it borrows the n - 1 rows that
+    follow it from the heads of later blocks, so a key with many rows is many tasks, and rows are shuffled once. Rows
+    that are equal in `order` (which begins with ts) are taken in the order of columns. A null key is a key.
+    """
+    ranked = [c for c in dict.fromkeys((*order, *columns)) if c not in by]
+    blocked = in_blocks(rows.select(*by, *ranked), by, ts, length)
+    inside = Window.partitionBy(*by, _BLOCK)
+    heads = blocked.withColumn("_rank", F.row_number().over(inside.orderBy(*ranked))).filter(F.col("_rank") < n)
+    each = heads.groupBy(*by, _BLOCK).agg(F.array_sort(F.collect_list(F.struct("_rank", *ranked))).alias("_heads"))
+    later = Window.partitionBy(*by).orderBy(_BLOCK)
+    ahead = F.flatten(F.array_compact(F.array(*[F.lead("_heads", k).over(later) for k in range(1, max(n, 2))])))
+    borrowed = each.select(*by, _BLOCK, F.slice(ahead, 1, n - 1).alias("_ahead")).select(*by, _BLOCK, F.posexplode("_ahead").alias("_next", "_row"))
+    borrowed = borrowed.select(*by, *[F.col("_row")[c].alias(c) for c in ranked], _BLOCK, "_next")
+    whole = blocked.withColumn("_next", F.lit(-1)).unionByName(borrowed)
+    at = inside.orderBy("_next", *ranked)  # borrowed rows come after all of the block's own
+    leads = [F.lead(c, k).over(at).alias(f"{c}{k}") for k in range(n) for c in columns]
+    return whole.select(*by, "_next", *leads).filter("_next < 0").drop("_next")

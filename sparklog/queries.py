@@ -344,6 +344,11 @@ def list_sessions(x):
     return rounded(sessions.list_sessions(_summary(x), R, Filters(source="cli"), "total_tokens", True, 50, 10))
 
 
+@query(f"SELECT count(*) AS total FROM s WHERE {_STARTED} AND source_type='cli'")
+def session_count(x):
+    return sessions.count_sessions(x.sessions, R, Filters(source="cli"))
+
+
 @query(f"SELECT session_id, source_type, model FROM s WHERE {_STARTED} AND model LIKE '%opus%' AND project_path='/projects/p2' AND source_type='desktop'")
 def session_filters(x):
     return exprs.session_filters(x.sessions.filter(R.holds("start_time")), Filters("opus", "/projects/p2", "desktop")).select("session_id", "source_type", "model")
@@ -525,6 +530,11 @@ def failure_streak_summary(x):
     return rounded(tools.failure_streak_summary(_streaks(x)))
 
 
+@query("SELECT * FROM streaks WHERE max_failure_streak>=2 ORDER BY max_failure_streak DESC, failed_in_streaks DESC, session_id LIMIT 20", _STREAKS)
+def failure_offenders(x):
+    return tools.failure_offenders(_streaks(x))
+
+
 _CHAINS = """, legs AS (SELECT tool_name AS a, lead(tool_name,1) OVER w AS b, lead(tool_name,2) OVER w AS d, duration_ms AS x, lead(duration_ms,1) OVER w AS y, lead(duration_ms,2) OVER w AS z
  FROM used WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, tool_call_id)),
 chains AS (SELECT a || ' -> ' || b || ' -> ' || d AS chain, count(*) AS n, avg(CASE WHEN x IS NOT NULL OR y IS NOT NULL OR z IS NOT NULL THEN coalesce(x,0)+coalesce(y,0)+coalesce(z,0) END) AS av
@@ -598,6 +608,11 @@ def skill_thrash(x):
     return skills.skill_thrash(x.calls, x.turns, x.sessions, R, limit=None)
 
 
+@query("SELECT count(*) AS pairs, count(DISTINCT session_id) AS sessions, count(DISTINCT skill) AS skills, coalesce(max(n),0) AS worst, count(*) AS unexpected_pairs FROM (SELECT session_id, skill, count(*) AS n FROM used WHERE skill IS NOT NULL GROUP BY 1, 2 HAVING count(*)>=2) AS q")
+def skill_thrash_summary(x):
+    return skills.skill_thrash_summary(skills.skill_thrash(x.calls, x.turns, x.sessions, R, limit=None))
+
+
 @query(f"SELECT CAST(CAST(date_trunc('week', ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Jerusalem') AS TIMESTAMP) AS VARCHAR) AS bucket, round(coalesce(avg(l),0),6) AS avg_loaded, round(coalesce(avg(i),0),6) AS avg_invoked FROM (SELECT session_id, min(timestamp) AS ts FROM t WHERE {_IN} GROUP BY 1) AS f LEFT JOIN (SELECT session_id AS s1, count(DISTINCT skill_name) AS l FROM sk GROUP BY 1) AS a ON s1=f.session_id LEFT JOIN (SELECT session_id AS s2, count(DISTINCT skill) AS i FROM c WHERE skill IS NOT NULL GROUP BY 1) AS b ON s2=f.session_id GROUP BY 1")
 def skill_trend(x):
     return rounded(skills.skill_trend(x.skills, x.calls, x.turns, x.sessions, R, "week", tz=TZ))
@@ -666,6 +681,11 @@ def prompt_ranking(x):
     return rounded(prompts.prompt_ranking(_pairs(x), _scores(x), x.turns).select("turn_id", "preview", "response_cost", "complexity"))
 
 
+@query("SELECT count(*) AS total FROM pairs WHERE depth>0", _PAIRS)
+def prompt_count(x):
+    return prompts.prompt_count(_pairs(x))
+
+
 @query("SELECT count(*) FILTER (WHERE depth>0) AS answered, count(*) FILTER (WHERE depth=0) AS unanswered, round(avg(response_cost) FILTER (WHERE depth>0),6) AS avg_cost, round(max(response_cost) FILTER (WHERE depth>0),6) AS max_cost, round(avg(complexity) FILTER (WHERE depth>0),4) AS avg_complexity FROM q", _JOINED)
 def prompt_stats(x):
     out = prompts.prompt_stats(_pairs(x), _scores(x))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparklog.operators import sessions, tools
-from sparklog.plans.blocks import running_sums
+from sparklog.plans.blocks import running_sums, with_following
 from sparklog.plans.windows import FIVE_HOURS, anchored_windows, anchored_windows_in_blocks
 
 
@@ -64,3 +64,31 @@ def test_windows_in_blocks_equal_the_stream(spark, block):
     df = spark.createDataFrame(rows, "account string, team string, timestamp timestamp_ntz, cost_usd double")
     want = sorted(map(repr, anchored_windows(df, ["account", "team"], FIVE_HOURS).collect()))
     assert sorted(map(repr, anchored_windows_in_blocks(df, ["account", "team"], FIVE_HOURS, block).collect())) == want
+
+
+@pytest.mark.parametrize("length", ["1 minute", "1 hour", "30 days"])
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_following_rows_equal_those_of_one_window(spark, length, n):
+    """Null keys, times and values, ties and repeated rows; chains over several blocks of one row."""
+    rng, start = random.Random(n), dt.datetime(1969, 12, 31, 22)
+    rows = [(rng.choice(["a", "b", None]), start + dt.timedelta(seconds=rng.choice([0, 1, 50, 3700, 90_000]) * rng.randint(0, 9)) if k % 20 else None, rng.choice("xyz"), rng.choice([1, 2, None])) for k in range(300)]
+    df = spark.createDataFrame(rows, "key string, timestamp timestamp_ntz, id string, v int")
+    got = with_following(df, ["key"], ["timestamp", "id"], ["id", "v"], n, length=length)
+    order = Window.partitionBy("key").orderBy("timestamp", "id", "v")
+    want = df.select("key", *[F.lead(c, k).over(order).alias(f"{c}{k}") for k in range(n) for c in ("id", "v")])
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert with_following(df.limit(0), ["key"], ["timestamp", "id"], ["id", "v"], n).count() == 0
+
+
+def test_chains_of_one_giant_session_are_many_tasks(spark):
+    at = F.timestamp_add("SECOND", F.col("id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    rows = spark.range(1_000_000).select(F.lit("s").alias("session_id"), at.alias("timestamp"), F.col("id").alias("tool_call_id"), (F.col("id") % 7).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = with_following(rows, ["session_id"], ["timestamp", "tool_call_id"], ["v"], 3).withColumn("task", F.spark_partition_id())
+        wrong = F.count_if((F.col("v1") != (F.col("v0") + 1) % 7) | (F.col("v2") != (F.col("v0") + 2) % 7))
+        found = out.groupBy("task").agg(F.count("*").alias("n"), wrong.alias("wrong"), F.count_if(F.col("v2").isNull()).alias("open")).agg(F.sum("n"), F.max("n"), F.sum("wrong"), F.sum("open")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == 1_000_000 and found[1] < 600_000 and found[2] == 0 and found[3] == 2
