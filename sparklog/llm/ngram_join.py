@@ -5,11 +5,11 @@ Shingles are ordered by the number of documents that have them, rare ones first.
 reaches the threshold miss few of each other's shingles, so they meet in a short prefix of this order:
 
 * rare shingles of a prefix are indexed alone;
-* frequent ones (in more than `frequent` documents) are indexed as pairs within `parts` classes of their hash.
-  One missed shingle breaks at most one of the (count - 1) links of a class, so the prefix is extended by one
-  shingle for each class it enters, and similar sets then share a rare shingle or a pair. Sets of up to `small`
-  shingles are too short for that and are indexed by all their prefix shingles alone; larger ones that may
-  match them are indexed both ways.
+* frequent ones (in more than `frequent` documents) are indexed as pairs within classes of their hash. One missed
+  shingle breaks at most one of the (count - 1) links of a class, so the prefix is extended by one shingle for
+  each class it enters, and similar sets then share a rare shingle or a pair. A set has a class for every 4 to 8
+  of its shingles, up to `parts`, so that its prefix is always long enough; a set that may match sets with
+  another number of classes is indexed by either number.
 
 Shingles in one document only never match: most documents have more of them than a prefix is long and drop
 out. Documents with the same set are one node. Links are asked for connectivity: in each index group, members
@@ -18,6 +18,11 @@ its copies), linked nodes are joined to components, and later rounds compare onl
 different components, until no pair of a group is left untested. Size and a parity bitmap of the sets bound
 the overlap and settle most pairs; the rest is verified on whole sets. No link between different texts is lost.
 
+An index key with more than `most` members is split. Its members are dealt to blocks, each of which is compared
+with the key's centres in a task of its own. What is then left is two parts: the members of its commonest component,
+and all others. Blocks of others are compared with each other and with blocks of that component, a task for two
+blocks; so a task holds 2 * `most` members at a time, however frequent a key is.
+
 Shingle counts go through groups of hash ranges (32 bits of hash in a group: a clash can only worsen the
 order, which all documents share). Sets are compared by 64-bit hashes of shingles.
 
@@ -31,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklog.llm.shared import WORD_HASHES, RangeHash, components, groups_for, mix, stored
@@ -76,32 +81,36 @@ def _group_sets(texts: list[str | None], n: int, buckets: int):
     return sets, tokens, inverse, counts, bucket, np.argsort(bucket, kind="stable")
 
 
-def signatures(tokens: np.ndarray, df: np.ndarray, misses: int, frequent: int, parts: int, singles: bool, pairs: bool) -> np.ndarray:
-    """The index keys of one set: of its prefix, shingles that more than one document has."""
-    order = np.lexsort((tokens, df))
+def classes_of(size: int, percent: int, parts: int) -> list[int]:
+    """The numbers of classes of sets with this size or with one that may match it; 0: no pairs."""
+    of = lambda n: min(parts, 1 << (n // 4).bit_length() - 1) if n >= 4 else 0
+    least, most = of(-(-percent * size // 100)), of(100 * size // percent)
+    found = [least]
+    while found[-1] < most:
+        found.append(max(1, 2 * found[-1]))
+    return found
+
+
+def signatures(tokens: np.ndarray, df: np.ndarray, misses: int, frequent: int, classes: list[int]) -> np.ndarray:
+    """The index keys of one set: of its prefixes, shingles that more than one document has, alone or in pairs."""
+    order = np.lexsort((tokens, df))[: misses + 1 + max(classes)]
     found = []
-    if singles:
-        head = order[: misses + 1]
-        found.append(mix(tokens[head[df[head] > 1]]))
-    if pairs:
-        part = (mix(tokens) % np.uint64(parts)).astype(np.int64)[order]
-        common = df[order] > frequent
-        seen = np.zeros(parts, bool)
-        gain = np.ones(len(order), np.int64)
-        for k in np.flatnonzero(common).tolist():  # the first of a class links nothing yet
-            if not seen[part[k]]:
-                seen[part[k]], gain[k] = True, 0
+    for parts in classes:
+        head = order[: misses + 1 + parts]
+        common = df[head] > (frequent if parts else 255)
+        part = (mix(tokens[head]) % np.uint64(max(1, parts))).astype(np.int64)
+        gain = np.ones(len(head), np.int64)
+        often = np.flatnonzero(common)
+        gain[often[np.unique(part[often], return_index=True)[1]]] = 0  # the first of a class links nothing yet
         length = int(np.searchsorted(np.cumsum(gain), misses + 1)) + 1
-        head, common, part = order[:length], common[:length], part[:length]
-        if not singles:
-            rare = head[~common]
-            found.append(mix(tokens[rare[df[rare] > 1]]))
-        often = head[common]
+        head, common, part = head[:length], common[:length], part[:length]
+        rare = head[~common]
+        found.append(mix(tokens[rare[df[rare] > 1]]))
         for own in np.unique(part[common]).tolist():
-            same = np.sort(tokens[often[part[common] == own]])
+            same = np.sort(tokens[head[common & (part == own)]])
             i, j = np.triu_indices(len(same), 1)
             found.append(mix(same[i] * np.uint64(0x9E3779B97F4A7C15) ^ mix(same[j])))
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+    return np.unique(np.concatenate(found))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -109,7 +118,10 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _bitmaps(column: pa.ChunkedArray, width: int = _BITS // 64) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
+    """A row of numbers for each bitmap, without an object for each."""
+    parts = [c.cast(pa.binary(8 * width)) for c in column.chunks if len(c)]
+    rows = [np.frombuffer(c.buffers()[1], np.uint64).reshape(-1, width)[c.offset : c.offset + len(c)] for c in parts]
+    return np.concatenate(rows) if rows else np.empty((0, width), np.uint64)
 
 
 def _candidates(low: int, high: int, all_up_to: int, percent: int):
@@ -154,6 +166,54 @@ def _candidates(low: int, high: int, all_up_to: int, percent: int):
     return of
 
 
+def _across(percent: int):
+    """Pairs of one unit of a split key, in different components, not ruled out: of side 0 with side 1, or inside side 2."""
+
+    def of(table: pa.Table) -> pa.Table:
+        side, node, component, size = (table.column(c).to_numpy() for c in ("side", "node", "component", "n"))
+        bitmap = _bitmaps(table.column("bitmap"))
+        found = []
+        for lefts, rights in ((np.flatnonzero(side == 0), np.flatnonzero(side == 1)), (np.flatnonzero(side == 2),) * 2):
+            for k, a in enumerate(lefts.tolist()):
+                b = rights if rights is not lefts else lefts[k + 1 :]
+                b = b[(component[b] != component[a]) & (100 * np.minimum(size[b], size[a]) >= percent * np.maximum(size[b], size[a]))]
+                apart = np.bitwise_count(bitmap[b] ^ bitmap[a]).sum(axis=1, dtype=np.int64)
+                b = b[apart * (100 + percent) <= (100 - percent) * (size[b] + size[a])]
+                found.append(np.stack([np.minimum(node[b], node[a]), np.maximum(node[b], node[a])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "more": pa.array(np.zeros(len(pairs), bool))})
+
+    return of
+
+
+def _with_centres(members: DataFrame, low: int, high: int, percent: int) -> DataFrame:
+    """Candidates of split keys: each block of members with the key's centres of rank low to high - 1."""
+    rank = F.row_number().over(Window.partitionBy("sig").orderBy("own", "node"))
+    centres = members.withColumn("rank", rank).filter(F.col("rank") <= high).filter(F.col("rank") > low)  # taken from a few of each task
+    columns = ["sig", "block", "side", "node", "component", "n", "bitmap"]
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    units = members.withColumn("side", F.lit(1)).select(columns).union(centres.select("sig", blocks, F.lit(0).alias("side"), *columns[3:]))
+    return units.groupBy("sig", "block").applyInArrow(_across(percent), _PAIRS)
+
+
+def _between_blocks(members: DataFrame, most: int, percent: int) -> DataFrame:
+    """Candidates of split keys: all pairs of members in different components, by pairs of blocks."""
+    parts = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_rest")).filter("n_rest > 0")
+    count = lambda c: F.ceil(F.col(c) / most).cast("int")
+    rows = members.join(parts.select("sig", "main", count("n_main").alias("mains"), count("n_rest").alias("rests")), "sig")
+    rows = rows.withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    unit = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    own = F.col("block")
+    with_main = F.transform(each("mains"), lambda k: unit(1, own, k, F.lit(0)))
+    with_rest = F.transform(each("rests"), lambda k: unit(0, F.least(own, k), F.greatest(own, k), F.when(own == k, 2).when(own < k, 0).otherwise(1)))
+    of_main = F.transform(each("rests"), lambda k: unit(1, k, own, F.lit(1)))
+    units = rows.select("sig", "node", "component", "n", "bitmap", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_rest))).alias("u"))
+    units = units.select("sig", "u.*", "node", "component", "n", "bitmap")
+    return units.groupBy("sig", "kind", "i", "j").applyInArrow(_across(percent), _PAIRS)
+
+
 def _verified(percent: int):
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -175,14 +235,17 @@ def similarity_components(
     text_col: str = "text",
     frequent: int = 100,
     parts: int = 64,
-    small: int = 128,
+    most: int = 4096,
     group_bytes: int = 8_000_000,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable over links of similarity >= percent / 100."""
     if not 0 < frequent <= 254:
         raise ValueError("frequent must be 1 to 254: shingles are counted up to 255")
-    if percent * small < 100 * (parts + 2):
-        raise ValueError("small must be at least 100 * (parts + 2) / percent")
+    if most < 16 or parts < 1 or parts & (parts - 1):
+        raise ValueError("most must be 16 or more, parts a power of two")
+    for k in range(parts.bit_length()):  # the least set with 2**k classes must fill its prefix
+        if 100 * 2**k >= percent * -(-percent * 4 * 2**k // 100):
+            raise ValueError("percent is too low for prefixes of token combinations")
     work = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     _, groups = groups_for(work, group_bytes)
     buckets = max(16, groups // 2)
@@ -249,7 +312,7 @@ def similarity_components(
                 if alone > misses or node in done:
                     continue
                 done.add(node)
-                keys = signatures(own, mine_df, misses, frequent, parts, -(-percent * size // 100) <= small, size > small)
+                keys = signatures(own, mine_df, misses, frequent, classes_of(size, percent, parts))
                 if len(keys):
                     bits = np.packbits((np.bincount((own % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1).astype(np.uint8))
                     add(1, len(keys), node=node, sig=keys.view(np.int64))
@@ -264,7 +327,7 @@ def similarity_components(
     nodes = parts_table.filter("kind = 2").select("node", "n", "own", "tokens", "bitmap").dropDuplicates(["node"])
     nodes = stored(nodes, "nodes")
     keys = parts_table.filter("kind = 1").select("sig", "node").distinct()
-    labels = _linked(keys, nodes, percent, max(1, groups // 4))
+    labels = _linked(keys, nodes, percent, max(1, groups), most)
     members = parts_table.filter("kind = 0").select("doc_id", "n", "node")
     members = members.join(labels, "node", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("root")
@@ -276,31 +339,45 @@ def similarity_components(
     return out.select(restored(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), restored(F.coalesce("least", "doc_id")).alias("component_id"))
 
 
-def _linked(keys: DataFrame, nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
+def _linked(keys: DataFrame, nodes: DataFrame, percent: int, buckets: int, most: int) -> DataFrame:
     """(node, component) of the nodes that link with another."""
     similar = _verified(percent)
     sets = nodes.select("node", "tokens")
     ranked = nodes.select("node", "n", "own", "bitmap")
+    hot = stored(keys.groupBy("sig").agg(F.count("*").alias("many")).filter(F.col("many") > most), "hot-keys")
+    split = bool(hot.limit(1).count())
+    members = None
+    if split:
+        blocks = F.ceil(F.col("many") / most).cast("int")
+        members = keys.join(hot, "sig").join(ranked, "node").withColumn("blocks", blocks)
+        members = stored(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("many"), "hot-members")
+        keys = keys.join(hot, "sig", "left_anti")
     labels = None
-    low, high = 0, 1
-    while True:
-        view = keys.join(ranked, "node")
-        view = view.join(labels, "node", "left") if labels is not None else view.withColumn("component", F.lit(None).cast("long"))
-        view = view.withColumn("component", F.coalesce("component", "node")).withColumn("bucket", F.pmod("sig", F.lit(buckets)))
-        found = stored(view.groupBy("bucket").applyInArrow(_candidates(low, high, 6, percent), _PAIRS), "pairs")
+    low, high, more = 0, 1, True
+    while more or split:
+        named = lambda rows: rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")) if labels is not None else rows.withColumn("component", F.col("node"))  # noqa: E731, B023
+        found = []
+        if more:
+            view = named(keys.join(ranked, "node")).withColumn("bucket", F.pmod("sig", F.lit(buckets)))
+            found.append(view.groupBy("bucket").applyInArrow(_candidates(low, high, 6, percent), _PAIRS))
+        if split:
+            found.append(_with_centres(named(members), low, high, percent) if high <= 16 else _between_blocks(named(members), most, percent))
+            split = high <= 16
+        found = stored(found[0].union(found[-1]) if len(found) > 1 else found[0], "pairs")
         more = found.filter("more").limit(1).count() > 0
         pairs = found.filter("not more").select("a", "b").distinct()
         checked = pairs.join(sets.toDF("a", "left_set"), "a").join(sets.toDF("b", "right_set"), "b")
         edges = stored(checked.filter(similar("left_set", "right_set")).select("a", "b"), "links")
-        if labels is None:
-            labels = components(edges)
-        else:
-            root = labels.select(F.col("node"), F.col("component").alias("root"))
-            named = lambda df, c: df.join(root, df[c] == root["node"], "left").select(*[x for x in df.columns if x != c], F.coalesce("root", c).alias(c))
-            joined = components(named(named(edges, "a"), "b")).toDF("root", "joined")
-            both = edges.select(F.explode(F.array("a", "b")).alias("node")).union(labels.select("node")).distinct()
-            both = both.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
-            labels = stored(both.join(joined, "root", "left").select("node", F.coalesce("joined", "root").alias("component")), "labels")
-        if not more:
-            return labels
+        labels = components(edges) if labels is None else _joined(labels, edges)
         low, high = high, high * 16
+    return labels
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels after the components that edges link become one."""
+    root = labels.select("node", F.col("component").alias("root"))
+    named = lambda df, c: df.join(root, df[c] == root["node"], "left").select(*[x for x in df.columns if x != c], F.coalesce("root", c).alias(c))
+    joined = components(named(named(edges, "a"), "b")).toDF("root", "joined")
+    both = edges.select(F.explode(F.array("a", "b")).alias("node")).union(labels.select("node")).distinct()
+    both = both.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    return stored(both.join(joined, "root", "left").select("node", F.coalesce("joined", "root").alias("component")), "labels")
