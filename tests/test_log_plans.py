@@ -30,3 +30,12 @@ def test_broken_blank_and_foreign_lines_keep_their_status(spark):
     records, status = logs.parse_records(lines)
     assert [(r.line_no, r.type, r.cwd, r.title) for r in records.orderBy("line_no").collect()] == [(0, "user", "/a", "kept")]
     assert [r.status for r in status.orderBy("line_no").collect()] == ["entry", "error", "blank", "blank", "error", "error", "skipped", "error", "error", "error"]
+
+
+def test_lines_are_made_in_many_tasks_however_few_row_groups_there_are(spark, monkeypatch):
+    monkeypatch.setattr(project, "_EVENTS", 50)
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    few, many = project.log_lines(spark, SF).select("line"), -(-events.count() // 50)
+    assert events.rdd.getNumPartitions() < 10 < many
+    assert few.rdd.getNumPartitions() == many  # without line numbers, whose window alone spread the rows before
+    assert project.log_lines(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
