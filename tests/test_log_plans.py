@@ -39,3 +39,11 @@ def test_lines_are_made_in_many_tasks_however_few_row_groups_there_are(spark, mo
     assert events.rdd.getNumPartitions() < 10 < many
     assert few.rdd.getNumPartitions() == many  # without line numbers, whose window alone spread the rows before
     assert project.log_lines(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_listings_are_counted_in_their_rows(spark):
+    kinds = "session_id string, uuid string, timestamp timestamp, listing string, skill_count int, is_initial boolean, source string"
+    rows = [("s", "u", None, "- a: x\n- b: y", 2, True, "cli")] * 2 + [("s", "v", None, None, 1, True, "cli"), ("s", "w", None, "nothing", 1, True, "cli"), ("s", "x", None, None, None, True, "cli")]
+    found = shred.listing_mismatches(spark.createDataFrame(rows, kinds))
+    assert sorted((r.uuid, r.skill_count, r.parsed) for r in found.collect()) == [("v", 1, 0), ("w", 1, 0)]  # a record that is there twice isn't added up
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
