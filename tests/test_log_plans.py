@@ -47,3 +47,8 @@ def test_listings_are_counted_in_their_rows(spark):
     found = shred.listing_mismatches(spark.createDataFrame(rows, kinds))
     assert sorted((r.uuid, r.skill_count, r.parsed) for r in found.collect()) == [("v", 1, 0), ("w", 1, 0)]  # a record that is there twice isn't added up
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
+def test_a_staged_batch_of_skills_reads_the_lines_once(spark):
+    plan = optimized(log_queries.QUERIES["sink_session_skills"](spark, SF))
+    assert "from_json" not in plan and "events.parquet" not in plan
