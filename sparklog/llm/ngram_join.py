@@ -15,8 +15,9 @@ Shingles in one document only never match: most documents have more of them than
 out. Documents with the same set are one node. Links are asked for connectivity: in each index group, members
 are compared with a few centres first (those with the fewest shingles of their own, such as the original among
 its copies), linked nodes are joined to components, and later rounds compare only nodes that are still in
-different components, until no pair of a group is left untested. Size and a parity bitmap of the sets bound
-the overlap and settle most pairs; the rest is verified on whole sets. No link between different texts is lost.
+different components, until no pair of a group is left untested. Keys with the same members are one: a pair of near
+copies shares hundreds of keys, and would be found by each. Size and parity bitmaps of the sets, as
+wide as the lesser of two sets needs, bound the overlap and settle most pairs; the rest is verified on whole sets. No link between different texts is lost.
 
 An index key with more than `most` members is split. Its members are dealt to blocks, each of which is compared
 with the key's centres in a task of its own. What is then left is two parts: the members of its commonest component,
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ _NO_ID = -(1 << 63)
 _BITS = 512
 _SEEN = "bucket int, group int, low binary, docs binary"
 _CODES = "group int, bucket int, codes binary"
-_PARTS = "kind int, doc_id long, n long, node long, sig long, own int, tokens binary, bitmap binary"
+_PARTS = "kind int, doc_id long, n long, node long, sig long, own int, tokens binary, bitmap binary, wide binary"
 _PAIRS = "a long, b long, more boolean"
 
 
@@ -124,6 +126,47 @@ def _bitmaps(column: pa.ChunkedArray, width: int = _BITS // 64) -> np.ndarray:
     return np.concatenate(rows) if rows else np.empty((0, width), np.uint64)
 
 
+def parities(tokens: np.ndarray, bits: int) -> bytes:
+    """A bit for each residue of hashes modulo bits: is the number of the set's hashes there odd?"""
+    return np.packbits((np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_bits(size: int) -> int:
+    """The bits of a bitmap that a set of this size doesn't fill: a power of two, at least _BITS."""
+    return max(_BITS, 1 << (size - 1).bit_length())
+
+
+def _by_wide(pairs: np.ndarray, size: np.ndarray, wide: pa.ChunkedArray, percent: int) -> np.ndarray:
+    """The pairs (node, node, row, row; once each) that bitmaps of the width of the lesser of two sets don't rule out.
+
+    A bitmap of half the width is one half XOR the other, so bitmaps of any two widths can be compared.
+    """
+    if not len(pairs):
+        return np.empty((0, 2), np.int64)
+    pairs = pairs[np.unique(pairs[:, :2], axis=0, return_index=True)[1]]
+    a, b = pairs[:, 2], pairs[:, 3]
+    width = pc.fill_null(pc.binary_length(wide), 0).to_numpy() // 8  # 0: _BITS are wide enough, or no wider ones are there
+    level, keep = np.minimum(width[a], width[b]), np.ones(len(pairs), bool)
+    for words in np.unique(level[level > _BITS // 64]).tolist():
+        of = np.flatnonzero(level == words)
+        for some in np.array_split(of, -(-len(of) * words // 4_000_000)):  # 32 MB of bitmaps at a time
+            rows, at = np.unique(pairs[some, 2:], return_inverse=True)
+            maps = np.empty((len(rows), words), np.uint64)
+            for k, row in enumerate(rows.tolist()):
+                own = np.frombuffer(wide[row].as_py(), np.uint64)
+                while len(own) > words:
+                    own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+                maps[k] = own
+            at = at.reshape(-1, 2)
+            apart = np.bitwise_count(maps[at[:, 0]] ^ maps[at[:, 1]]).sum(axis=1, dtype=np.int64)
+            keep[some] = apart * (100 + percent) <= (100 - percent) * (size[a[some]] + size[b[some]])
+    return pairs[keep, :2]
+
+
+def _rows_of(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), a, b], 1)
+
+
 def _candidates(low: int, high: int, all_up_to: int, percent: int):
     """Pairs of each index group with a centre of rank low..high-1, in different components, not ruled out."""
 
@@ -132,6 +175,7 @@ def _candidates(low: int, high: int, all_up_to: int, percent: int):
         bitmap = _bitmaps(table.column("bitmap"))
         order = np.lexsort((node, own, sig))
         sig, node, component, size, bitmap = sig[order], node[order], component[order], size[order], bitmap[order]
+        wide = table.column("wide").take(pa.array(order))
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         end = np.append(first[1:], len(sig))
         mixed = np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first)
@@ -155,9 +199,10 @@ def _candidates(low: int, high: int, all_up_to: int, percent: int):
                 a, b = a[keep], b[keep]
                 apart = np.bitwise_count(bitmap[a] ^ bitmap[b]).sum(axis=1, dtype=np.int64)
                 keep = apart * (100 + percent) <= (100 - percent) * (size[a] + size[b])
-                found.append(np.unique(np.stack([np.minimum(node[a[keep]], node[b[keep]]), np.maximum(node[a[keep]], node[b[keep]])], 1), axis=0))
+                rows = _rows_of(node, a[keep], b[keep])
+                found.append(rows[np.unique(rows[:, :2], axis=0, return_index=True)[1]])
             rank += 1
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        pairs = _by_wide(np.concatenate(found), size, wide, percent) if found else np.empty((0, 2), np.int64)
         out = pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "more": pa.array(np.zeros(len(pairs), bool))})
         if more:
             out = pa.concat_tables([out, pa.table({"a": pa.array([0], pa.int64()), "b": pa.array([0], pa.int64()), "more": [True]})])
@@ -179,8 +224,8 @@ def _across(percent: int):
                 b = b[(component[b] != component[a]) & (100 * np.minimum(size[b], size[a]) >= percent * np.maximum(size[b], size[a]))]
                 apart = np.bitwise_count(bitmap[b] ^ bitmap[a]).sum(axis=1, dtype=np.int64)
                 b = b[apart * (100 + percent) <= (100 - percent) * (size[b] + size[a])]
-                found.append(np.stack([np.minimum(node[b], node[a]), np.maximum(node[b], node[a])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+                found.append(_rows_of(node, np.full(len(b), a), b))
+        pairs = _by_wide(np.concatenate(found), size, table.column("wide"), percent) if found else np.empty((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "more": pa.array(np.zeros(len(pairs), bool))})
 
     return of
@@ -190,7 +235,7 @@ def _with_centres(members: DataFrame, low: int, high: int, percent: int) -> Data
     """Candidates of split keys: each block of members with the key's centres of rank low to high - 1."""
     rank = F.row_number().over(Window.partitionBy("sig").orderBy("own", "node"))
     centres = members.withColumn("rank", rank).filter(F.col("rank") <= high).filter(F.col("rank") > low)  # taken from a few of each task
-    columns = ["sig", "block", "side", "node", "component", "n", "bitmap"]
+    columns = ["sig", "block", "side", "node", "component", "n", "bitmap", "wide"]
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     units = members.withColumn("side", F.lit(1)).select(columns).union(centres.select("sig", blocks, F.lit(0).alias("side"), *columns[3:]))
     return units.groupBy("sig", "block").applyInArrow(_across(percent), _PAIRS)
@@ -209,8 +254,8 @@ def _between_blocks(members: DataFrame, most: int, percent: int) -> DataFrame:
     with_main = F.transform(each("mains"), lambda k: unit(1, own, k, F.lit(0)))
     with_rest = F.transform(each("rests"), lambda k: unit(0, F.least(own, k), F.greatest(own, k), F.when(own == k, 2).when(own < k, 0).otherwise(1)))
     of_main = F.transform(each("rests"), lambda k: unit(1, k, own, F.lit(1)))
-    units = rows.select("sig", "node", "component", "n", "bitmap", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_rest))).alias("u"))
-    units = units.select("sig", "u.*", "node", "component", "n", "bitmap")
+    units = rows.select("sig", "node", "component", "n", "bitmap", "wide", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_rest))).alias("u"))
+    units = units.select("sig", "u.*", "node", "component", "n", "bitmap", "wide")
     return units.groupBy("sig", "kind", "i", "j").applyInArrow(_across(percent), _PAIRS)
 
 
@@ -282,13 +327,13 @@ def similarity_components(
 
     def index(mine: pa.Table, coded: pa.Table) -> pa.Table:
         """The nodes of a group's documents; of those with index keys, keys and sets."""
-        rows: dict[str, list] = {c: [] for c in ("kind", "doc_id", "n", "node", "sig", "own", "tokens", "bitmap")}
+        rows: dict[str, list] = {c: [] for c in ("kind", "doc_id", "n", "node", "sig", "own", "tokens", "bitmap", "wide")}
 
         def add(kind, many=1, **values):
             rows["kind"].append(np.full(many, kind))
             for c in ("doc_id", "n", "node", "sig", "own"):
                 rows[c].append(np.broadcast_to(values.get(c, 0), many))
-            for c in ("tokens", "bitmap"):
+            for c in ("tokens", "bitmap", "wide"):
                 rows[c] += [values.get(c)] * many
 
         if mine.num_rows:
@@ -314,17 +359,17 @@ def similarity_components(
                 done.add(node)
                 keys = signatures(own, mine_df, misses, frequent, classes_of(size, percent, parts))
                 if len(keys):
-                    bits = np.packbits((np.bincount((own % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1).astype(np.uint8))
+                    bits = wide_bits(size)
                     add(1, len(keys), node=node, sig=keys.view(np.int64))
-                    add(2, node=node, n=size, own=alone, tokens=own.tobytes(), bitmap=bits.tobytes())
-        kinds = {"kind": pa.int32(), "own": pa.int32(), "tokens": pa.binary(), "bitmap": pa.binary()}
+                    add(2, node=node, n=size, own=alone, tokens=own.tobytes(), bitmap=parities(own, _BITS), wide=parities(own, bits) if bits > _BITS else None)
+        kinds = {"kind": pa.int32(), "own": pa.int32(), "tokens": pa.binary(), "bitmap": pa.binary(), "wide": pa.binary()}
         return pa.table(
-            {c: pa.array(v if c in ("tokens", "bitmap") else (np.concatenate(v) if v else np.empty(0, np.int64)), kinds.get(c, pa.int64())) for c, v in rows.items()}
+            {c: pa.array(v if c in ("tokens", "bitmap", "wide") else (np.concatenate(v) if v else np.empty(0, np.int64)), kinds.get(c, pa.int64())) for c, v in rows.items()}
         )
 
     codes = work.groupBy("group").applyInArrow(count, _SEEN).groupBy("bucket").applyInArrow(code, _CODES)
     parts_table = stored(work.groupBy("group").cogroup(codes.groupBy("group")).applyInArrow(index, _PARTS), "index")
-    nodes = parts_table.filter("kind = 2").select("node", "n", "own", "tokens", "bitmap").dropDuplicates(["node"])
+    nodes = parts_table.filter("kind = 2").select("node", "n", "own", "tokens", "bitmap", "wide").dropDuplicates(["node"])
     nodes = stored(nodes, "nodes")
     keys = parts_table.filter("kind = 1").select("sig", "node").distinct()
     labels = _linked(keys, nodes, percent, max(1, groups), most)
@@ -339,12 +384,25 @@ def similarity_components(
     return out.select(restored(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), restored(F.coalesce("least", "doc_id")).alias("component_id"))
 
 
+def _distinct_groups(keys: DataFrame) -> DataFrame:
+    """sig and many, its number of members: one index key for each set of members, as keys of the same members give the same pairs.
+
+    Copies share most of their keys, so without this a pair would be found once for each. Sets are compared by their
+    size and 128 bits of hash; a key with one member has no pair.
+    """
+    members = (F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"members{k}") for k in range(2))
+    each = keys.groupBy("sig").agg(F.count("*").alias("many"), *members).filter("many > 1")
+    return each.groupBy("many", "members0", "members1").agg(F.min("sig").alias("sig")).select("sig", "many")
+
+
 def _linked(keys: DataFrame, nodes: DataFrame, percent: int, buckets: int, most: int) -> DataFrame:
     """(node, component) of the nodes that link with another."""
     similar = _verified(percent)
     sets = nodes.select("node", "tokens")
-    ranked = nodes.select("node", "n", "own", "bitmap")
-    hot = stored(keys.groupBy("sig").agg(F.count("*").alias("many")).filter(F.col("many") > most), "hot-keys")
+    ranked = nodes.select("node", "n", "own", "bitmap", F.col("wide") if "wide" in nodes.columns else F.lit(None).cast("binary").alias("wide"))
+    chosen = stored(_distinct_groups(keys), "chosen-keys")
+    keys = stored(keys.join(chosen.select("sig"), "sig", "left_semi"), "keys")
+    hot = stored(chosen.filter(F.col("many") > most), "hot-keys")
     split = bool(hot.limit(1).count())
     members = None
     if split:
