@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparklog.operators import sessions, tools
+from sparklog.plans import windows
 from sparklog.plans.blocks import running_sums, with_following
 from sparklog.plans.windows import FIVE_HOURS, anchored_windows, anchored_windows_in_blocks
 
@@ -92,3 +93,11 @@ def test_chains_of_one_giant_session_are_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found[0] == 1_000_000 and found[1] < 600_000 and found[2] == 0 and found[3] == 2
+
+
+def test_maps_of_many_small_blocks_leave_a_task_together(spark, monkeypatch):
+    monkeypatch.setattr(windows, "_MAPS", 7)  # 300 blocks of each account: several batches of maps, the last not full
+    at = F.timestamp_add("MINUTE", (F.col("id") * 97).cast("long"), F.lit("1969-12-25 00:00:00").cast("timestamp_ntz"))
+    rows = spark.range(1500).select(F.when(F.col("id") % 4 > 0, F.concat(F.lit("a"), F.col("id") % 4)).alias("account"), at.alias("timestamp"), F.lit(0.5).alias("cost_usd"))
+    got, want = anchored_windows_in_blocks(rows, ["account"], FIVE_HOURS, 86400), anchored_windows(rows, ["account"], FIVE_HOURS)
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
