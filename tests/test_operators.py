@@ -235,3 +235,26 @@ def test_plan_fit_reads_turns_twice(spark):
         plan = found[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") <= most, name
         assert "CartesianProduct" not in plan, name
+
+
+def test_stream_windows_of_accounts_that_share_a_bucket(spark, tmp_path):
+    """Each account has its own windows, whatever its key holds."""
+    since = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    accounts = [(k, t, since) for k in ((1 << 60) + 1, (1 << 60) + 2, None, 7) for t in ('a "b"', None)]
+    rows = [(*a, at(m), 1.0) for a in accounts for m in (300, 0, 299, 1000)]
+    batches = [rows[:11], rows[11:], [(0, "z", None, at(10**5), 1.0)], [(0, "z", None, at(10**5 + 1), 1.0)]]
+    source = _stream(spark, tmp_path, batches, "id long, team string, since timestamp_ntz, timestamp timestamp, cost_usd double")
+    out = _run(live.stream_windows(source, ["id", "team", "since"], FIVE_HOURS, "2000 minutes", buckets=2), tmp_path, "bucket_windows")
+    want = [(*a, at(m), n, float(n), 0) for a in accounts for m, n in ((0, 2), (300, 1), (1000, 1))]
+    assert sorted((tuple(r) for r in out if r["id"] != 0), key=str) == sorted(want, key=str)
+
+
+def test_stream_windows_calls_python_by_bucket(spark, tmp_path):
+    """Many accounts make no more rows of state, and calls, than there are buckets."""
+    rows = [(k, at(m), 1.0) for k in range(1500) for m in (0, 400)]
+    source = _stream(spark, tmp_path, [rows], "account long, timestamp timestamp, cost_usd double")
+    windows = live.stream_windows(source, ["account"], FIVE_HOURS)
+    running = windows.writeStream.format("memory").queryName("many_accounts").option("checkpointLocation", str(tmp_path / "many")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in running.recentProgress if p.stateOperators) <= 1024
+    assert spark.table("many_accounts").count() == 1500
