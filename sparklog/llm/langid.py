@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.shared import set_aside
+from sparklog.llm.shared import begin_task, set_aside
 
 _BITS = 16
 _RESULT = "struct<lang:string,score:double,languages:array<struct<lang:string,share:double>>>"
@@ -173,6 +173,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sample = rows.filter(taken < rate[F.col("lang")]).select(number[F.col("lang")].alias("k"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
@@ -198,6 +199,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
 
     @F.arrow_udf(_RESULT)
     def language_of(texts: pa.Array) -> pa.Array:
+        begin_task()
         model = shared.value
         size = np.cumsum([len(t) if t else 0 for t in texts.to_pylist()])
         limit = max(250_000, 6_000_000 // max(1, len(model.languages)))

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklog.llm.shared import WORD_HASHES, RangeHash, components, groups_for, mix, stored
+from sparklog.llm.shared import MEMOS, WORD_HASHES, RangeHash, begin_task, components, groups_for, mix, stored
 
 _NO_ID = -(1 << 63)
 _BITS = 512
@@ -72,6 +72,7 @@ class _ByteWords(dict):
 
 
 _WORDS = _ByteWords()
+MEMOS.append(_WORDS.clear)
 
 
 def _group_sets(texts: list[str | None], n: int, buckets: int):
@@ -171,6 +172,7 @@ def _candidates(low: int, high: int, all_up_to: int, percent: int):
     """Pairs of each index group with a centre of rank low..high-1, in different components, not ruled out."""
 
     def of(table: pa.Table) -> pa.Table:
+        begin_task()
         sig, node, component, size, own = (table.column(c).to_numpy() for c in ("sig", "node", "component", "n", "own"))
         bitmap = _bitmaps(table.column("bitmap"))
         order = np.lexsort((node, own, sig))
@@ -215,6 +217,7 @@ def _across(percent: int):
     """Pairs of one unit of a split key, in different components, not ruled out: of side 0 with side 1, or inside side 2."""
 
     def of(table: pa.Table) -> pa.Table:
+        begin_task()
         side, node, component, size = (table.column(c).to_numpy() for c in ("side", "node", "component", "n"))
         bitmap = _bitmaps(table.column("bitmap"))
         found = []
@@ -262,6 +265,7 @@ def _between_blocks(members: DataFrame, most: int, percent: int) -> DataFrame:
 def _verified(percent: int):
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+        begin_task()
         out = []
         for a, b in zip(left.to_pylist(), right.to_pylist()):
             x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -297,6 +301,7 @@ def similarity_components(
     work = work.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def count(table: pa.Table) -> pa.Table:
+        begin_task()
         group = table.column("group")[0].as_py()
         _, tokens, _, counts, bucket, order = _group_sets(table.column("text").to_pylist(), n, buckets)
         low, docs_n, bucket = tokens[order].astype(np.uint32), np.minimum(counts[order], 255).astype(np.uint8), bucket[order]
@@ -313,6 +318,7 @@ def similarity_components(
 
     def code(table: pa.Table) -> pa.Table:
         """How many documents have each shingle of a bucket, up to 255, given back in the order sent."""
+        begin_task()
         blobs = table.column("low").to_pylist()
         low = np.frombuffer(b"".join(blobs), np.uint32)
         docs_n = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.uint8)
@@ -327,6 +333,7 @@ def similarity_components(
 
     def index(mine: pa.Table, coded: pa.Table) -> pa.Table:
         """The nodes of a group's documents; of those with index keys, keys and sets."""
+        begin_task()
         rows: dict[str, list] = {c: [] for c in ("kind", "doc_id", "n", "node", "sig", "own", "tokens", "bitmap", "wide")}
 
         def add(kind, many=1, **values):

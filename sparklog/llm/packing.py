@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparklog.llm.shared import keyed_text
+from sparklog.llm.shared import MEMOS, begin_task, keyed_text
 
 #: Letters of Latin-1 and the marks behind them (but '), each a pre-token.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -150,10 +150,13 @@ def drops_white_space(tokenizer: dict) -> bool:
 
 @lru_cache(maxsize=4)
 def tokenizer_of(path: str) -> ChunkTokenizer:
-    """Read once in each worker process; path must be readable on every node."""
+    """Read once in each worker process of a stage; path must be readable on every node."""
     return ChunkTokenizer(path)
 
 
+MEMOS.append(tokenizer_of.cache_clear)
+
+
 def piece_lengths(n: int, max_len: int) -> list[int]:
     """n as max_len + ... + max_len + falling powers of two."""
     rest = n % max_len
@@ -180,6 +183,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, max_len: int =
         raise ValueError("max_len must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         encoder = tokenizer_of(tokenizer)
         end = array("i", [end_id]).tobytes()
         for batch in batches:

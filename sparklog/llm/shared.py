@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +50,30 @@ class HashCache(dict):
 
 WORD_HASHES = HashCache()
 
+#: What empties the memos that a worker process keeps from task to task.
+MEMOS: list[Callable[[], None]] = [WORD_HASHES.clear]
+_stage: int | None = None
+
+
+def begin_task() -> None:
+    """Called by tasks before they use a memo; memos last for a stage.
+
+    Worker processes outlive their stages: in the first task of another one, the memos of the last are emptied and
+    what they took is given back, so that an executor holds what one stage needs, however many ran before.
+    """
+    global _stage
+    context = TaskContext.get()
+    now = context.stageId() if context else None
+    if now == _stage:
+        return
+    _stage = now
+    for clear in MEMOS:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

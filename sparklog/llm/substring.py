@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.shared import WORD_HASHES, RangeHash, groups_for, mix, stored, words_of
+from sparklog.llm.shared import WORD_HASHES, RangeHash, begin_task, groups_for, mix, stored, words_of
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -153,6 +153,7 @@ def _found(doc: np.ndarray, ask: np.ndarray, start: np.ndarray, n: np.ndarray) -
 
 def _repeats(table: pa.Table) -> pa.Table:
     """One group: the places after the first of each run, and one place of each run where runs differ."""
+    begin_task()
     local = table.column("local").to_numpy()
     sent, settled = np.flatnonzero(~local), np.flatnonzero(local)
     key, run = _joined(table, "key", np.uint64, sent), _joined(table, "run", np.uint64, sent)
@@ -191,12 +192,14 @@ def repeated_windows(docs: DataFrame, window: int = 20, prefix: int = 8, group_b
         return part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
 
     def level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             for part, texts in _slices(batch):
                 doc, start, n, phrase, run = window_runs(*_hashed(texts), window, prefix)
                 yield from _packed(groups, phrase, run, ids_of(part)[doc], start, n)
 
     def level2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             for part, texts in _slices(batch):
                 words, lengths = _hashed(texts)
@@ -244,6 +247,7 @@ def drop_repeated(
     gone = repeated_windows(work, window, prefix, group_bytes, carry).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             for part, texts in _slices(batch):
                 kept, words_n, removed_n = [], [], []
