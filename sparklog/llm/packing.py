@@ -15,12 +15,13 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,19 +29,19 @@ from tokenizers import Tokenizer
 from sparklog.llm.shared import MEMOS, begin_task, keyed_text
 
 #: Letters of Latin-1 and the marks behind them (but '), each a pre-token.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+_PLAIN = r"\A(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)\z"
 #: Latin-1 characters as byte-level vocabularies write the bytes that they stand for. Printable bytes are
 #: themselves, the others count up from 256.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LEVEL = dict(zip([b for b in range(256) if b not in _VISIBLE], map(chr, range(256, 512))))
 #: Where str.split() cuts and the vocabulary's normalizer sees no white space.
-_EXTRA_SPACE = re.compile("[\x1c-\x1f]")
-#: Longer chunks are not memoised.
+_EXTRA_SPACE = r"[\x1c-\x1f]"
+#: Longer words are not memoised.
 _LONG = 64
 
 
 class ChunkTokenizer:
-    """A tokenizer with a memo of white-space separated chunks, whose ids are bytes of 32-bit numbers.
+    """A tokenizer of white-space separated chunks, with a memo of their parts, whose ids are bytes of 32-bit numbers.
 
     A tokenizer that drops white space before it merges never merges across it, so a text's ids are its chunks'
     ids in a row. Where it also lower-cases, cuts marks from letters and merges bytes, a chunk of Latin-1
@@ -59,67 +60,63 @@ class ChunkTokenizer:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added), re.I) if added else None
+        self.odd = "|".join([_EXTRA_SPACE, *added])
         self.by_chunks = drops_white_space(json.loads(self.tokenizer.to_str()))
 
     def encode(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _coded(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk."""
+    def _coded(self, words: list[str], letters: int) -> list[bytes]:
+        """The ids of each of different words, the first so many of which are lower-case letters."""
         memo, older = self.memo, self.older
-        out = list(map(memo.get, chunks))
-        places = [k for k, ids in enumerate(out) if ids is None]
-        if not places:
-            return out
-        number: dict[str, int] = {}  # of each chunk to find
-        own = [number.setdefault(chunks[k], len(number)) for k in places]
-        found: list[bytes | None] = list(map(older.get, number))
+        out = list(map(memo.get, words))
         merge = self.tokenizer.model.tokenize
-        mixed: list[tuple[int, str, str]] = []
-        for k, chunk in enumerate(list(number)):
-            if found[k] is not None:
-                continue
-            plain = _PLAIN.fullmatch(chunk)
-            if not plain:
-                found[k] = self.encode(chunk)
-                continue
-            letters, marks = plain[1].lower(), plain[2]
-            if letters == chunk:
-                found[k] = _merged(merge, letters)
-                continue
-            mixed.append((k, letters, marks))
-            for p in (letters, marks):
-                if p not in memo and p not in number:
-                    number[p] = len(number)
-                    ids = older.get(p)
-                    found.append(ids if ids is not None else _merged(merge, letters) if p is letters else self.encode(p) if p else b"")
-        for k, letters, marks in mixed:
-            found[k] = b"".join([found[number[p]] if p in number else memo[p] for p in (letters, marks)])
-        for k, n in zip(places, own):
-            out[k] = found[n]
-        if len(memo) + len(found) > self.CACHED:
+        new = [k for k, ids in enumerate(out) if ids is None]
+        for k in new:
+            ids = older.get(words[k])
+            out[k] = ids if ids is not None else _merged(merge, words[k]) if k < letters else self.encode(words[k])
+        if len(memo) + len(new) > self.CACHED:
             self.older, self.memo = memo, {}
-        self.memo.update(islice(((c, ids) for c, ids in zip(number, found) if len(c) <= _LONG), self.CACHED))
+        self.memo.update(islice(((words[k], out[k]) for k in new if len(words[k]) <= _LONG), self.CACHED))
         return out
 
-    def encode_texts(self, texts: Sequence[str | None]) -> list[bytes]:
-        """The ids of each text; null: none."""
-        chunks: list[str] = []
-        ends = [0]
-        whole: dict[int, bytes] = {}
-        for k, text in enumerate(texts):
-            if text:
-                if not self.by_chunks or _EXTRA_SPACE.search(text) or self.added and self.added.search(text):
-                    whole[k] = self.encode(text)
-                else:
-                    chunks += text.split()
-            ends.append(len(chunks))
-        coded = self._coded(chunks)
-        out = [b"".join(coded[a:b]) for a, b in zip(ends, ends[1:])]
-        for k, ids in whole.items():
-            out[k] = ids
-        return out
+    def encode_texts(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null: none.
+
+        Arrow cuts the texts and tells chunks and their parts apart, so Python sees each part once, however often it
+        occurs in the array.
+        """
+        odd = pc.match_substring_regex(texts, self.odd, ignore_case=True) if self.by_chunks else pc.greater(pc.binary_length(texts), 0)
+        odd = pc.fill_null(odd, False)
+        cut = pc.utf8_split_whitespace(texts.filter(pc.invert(odd)))  # by filter, as if_else fails on slices
+        chunks = pc.dictionary_encode(cut.flatten())
+        found = pc.extract_regex(chunks.dictionary, _PLAIN)
+        plain = found.is_valid()
+        letters, marks = found.filter(plain).flatten()
+        words = pc.dictionary_encode(pa.concat_arrays([pc.utf8_lower(letters), marks, chunks.dictionary.filter(pc.invert(plain))]))
+        number = words.indices.to_numpy()
+        coded = self._coded(_strings(words.dictionary), int(number[: len(letters)].max(initial=-1)) + 1)
+        size = np.fromiter(map(len, coded), np.int64, count=len(coded)) // 4
+        plain = plain.to_numpy(zero_copy_only=False)
+        parts = np.zeros((len(plain), 2), np.int64)  # of each chunk; other chunks are a part followed by nothing
+        parts[plain, 0], parts[plain, 1], parts[~plain, 0] = np.split(number, [len(letters), 2 * len(letters)])
+        parts[~plain, 1] = len(size)
+        first, size = np.append(np.cumsum(size) - size, 0), np.append(size, 0)
+        parts = parts[chunks.indices.to_numpy()].ravel()
+        ends = np.concatenate([[0], np.cumsum(size[parts])])
+        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((first[parts] - ends[:-1]).astype(np.int32), size[parts])
+        ids = np.frombuffer(b"".join(coded), np.int32)[at].tobytes()
+        last = 2 * np.cumsum(pc.fill_null(cut.value_lengths(), 0).to_numpy())
+        cuts = [0, *(4 * ends[last]).tolist()]
+        each = map(ids.__getitem__, map(slice, cuts, cuts[1:]))
+        return [self.encode(texts[k].as_py()) if whole else next(each) for k, whole in enumerate(odd.to_pylist())]
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """The words, which hold no white space, as Python strings, made of one, which takes less time than one by one."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), "\n")[0].as_py().split("\n")
 
 
 def _merged(merge, letters: str) -> bytes:
@@ -163,14 +160,15 @@ def piece_lengths(n: int, max_len: int) -> list[int]:
     return [max_len] * (n // max_len) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _slices(texts: list[str | None], characters: int = 2_000_000) -> Iterator[list[str | None]]:
-    """The texts in parts of about so many characters, one text at least."""
-    at = size = 0
-    for k, text in enumerate(texts, 1):
-        size += len(text) if text else 0
-        if size >= characters or k == len(texts):
-            yield texts[at:k]
-            at, size = k, 0
+def _slices(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of about so many bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, max_len: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,12 +184,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, max_len: int =
         begin_task()
         encoder = tokenizer_of(tokenizer)
         end = array("i", [end_id]).tobytes()
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             parts, sizes = [], []
-            for coded in map(encoder.encode_texts, _slices(batch.column(1).to_pylist())):
-                for ids in coded:
-                    parts += [ids, end]
-                    sizes.append(len(ids) // 4 + 1)
+            for ids in encoder.encode_texts(batch.column(1)):
+                parts += [ids, end]
+                sizes.append(len(ids) // 4 + 1)
             lengths = [piece_lengths(n, max_len) for n in sizes]
             each = np.fromiter(map(len, lengths), np.int64, count=len(lengths))
             length = np.fromiter(chain.from_iterable(lengths), np.int64)
