@@ -4,7 +4,7 @@
     spark.readStream.format("growing_lines").option("path", root).option("glob", "*.jsonl").load()
 
 Each trigger lists the files below the path and reads what was appended: the ranges between two offsets, cut into
-blocks, one task each. A line comes in the batch in which its line feed does, once, with its begin and end in the
+blocks for tasks. A line comes in the batch in which its line feed does, once, with its begin and end in the
 file: from a range a task reads the lines that end in it, looking back for the begin of the first. So a line that is
 still being written waits, and a batch that is run again after a failure gives the same rows. Files that shrink are
 left alone until they have outgrown the offset.
@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from sparklog.sources.ranges import BEYOND, BLOCK, STEP, _texts, opened
+from sparklog.sources.ranges import BEYOND, BLOCK, STEP, TASK, _texts, opened
+
+#: A batch has about so many tasks, or one for each TASK bytes.
+TASKS = 64
 
 SCHEMA = "file_path string, block int, place long, line_begin long, line_end long, line string"
 
@@ -82,9 +85,11 @@ def lines_ending(file: pa.NativeFile, start: int, stop: int) -> Iterator[tuple[l
         begin, rest = at - len(tail), tail
 
 
-class _Block(InputPartition):
-    def __init__(self, path: str, block: int, start: int, stop: int):
-        self.path, self.block, self.start, self.stop = path, block, start, stop
+class _Blocks(InputPartition):
+    """Blocks (path, number, start, stop) that a task reads one after the other."""
+
+    def __init__(self, blocks: list[tuple[str, int, int, int]]):
+        self.blocks = blocks
 
 
 class _Reader(DataSourceStreamReader):
@@ -101,19 +106,32 @@ class _Reader(DataSourceStreamReader):
         blocks = []
         for path, size in end.items():
             first = start.get(path, 0)
-            blocks += [_Block(path, k, at, min(at + self.block, size)) for k, at in enumerate(range(first, size, self.block))]
-        return blocks
-
-    def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
+            blocks += [(path, k, at, min(at + self.block, size)) for k, at in enumerate(range(first, size, self.block))]
+        # a task each, unless they are many and small: a batch of gigabytes would have more tasks than work
+        least = min(TASK, -(-sum(stop - at for _, _, at, stop in blocks) // TASKS))
+        tasks, held = [], least
+        for block in blocks:
+            if held >= least:
+                tasks.append([])
+                held = 0
+            tasks[-1].append(block)
+            held += block[3] - block[2]
+        return [_Blocks(task) for task in tasks]
+
+    def read(self, partition: _Blocks) -> Iterator[pa.RecordBatch]:
+        for block in partition.blocks:
+            yield from self._lines(*block)
+
+    def _lines(self, path: str, block: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
         place = 0
-        with opened(partition.path) as file:
-            for lines, at in lines_ending(file, partition.start, partition.stop):
+        with opened(path) as file:
+            for lines, at in lines_ending(file, start, stop):
                 n, ends = len(lines), []
                 for line in lines:
                     ends.append((ends[-1] if ends else at) + len(line) + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([partition.path] * n), pa.array([partition.block] * n, pa.int32()), pa.array(range(place + 1, place + n + 1), pa.int64()),
+                        pa.array([path] * n), pa.array([block] * n, pa.int32()), pa.array(range(place + 1, place + n + 1), pa.int64()),
                         pa.array([at, *ends[:-1]], pa.int64()), pa.array(ends, pa.int64()), _texts(lines),
                     ],
                     ["file_path", "block", "place", "line_begin", "line_end", "line"],
@@ -142,10 +160,14 @@ def growing_lines(spark: SparkSession, root: str, glob: str = "*.jsonl", block_b
 
 
 def numbered(batch: DataFrame, manifest: DataFrame) -> DataFrame:
-    """A batch's lines after what the manifest knows, numbered on from its lines: by counts of blocks, not of rows."""
+    """A batch's lines after what the manifest knows, numbered on from its lines: by counts of blocks, not of rows.
+
+    The manifest's offsets and the counts of blocks go to each task, so no line is moved to those of its file; the
+    driver holds as much of each file already, as the source's offsets.
+    """
     known = manifest.select("file_path", F.col("last_byte_offset").alias("_read"), F.col("last_line_number").alias("_lines"))
-    fresh = batch.join(known, "file_path", "left").filter(F.col("line_end") > F.coalesce("_read", F.lit(0)))
+    fresh = batch.join(F.broadcast(known), "file_path", "left").filter(F.col("line_end") > F.coalesce("_read", F.lit(0)))
     by_block = fresh.groupBy("file_path", "block").agg(F.count("*").alias("n"), F.min("place").alias("_first"))
     before = by_block.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = fresh.join(before.drop("n"), ["file_path", "block"])
+    rows = fresh.join(F.broadcast(before.drop("n")), ["file_path", "block"])
     return rows.withColumn("line_no", F.coalesce("_lines", F.lit(0)) + F.col("_before") + F.col("place") - F.col("_first") + 1).withColumn("ended", F.lit(True)).drop("_read", "_lines", "_before", "_first", "block", "place")

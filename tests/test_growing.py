@@ -91,3 +91,49 @@ def test_a_batch_rewrites_the_days_it_touches(spark, tmp_path):
         assert gone == (set() if name == "turns" else {"2024-01-06"}) and added == {"2024-01-06"}, name
     counts = {r["session_id"]: r["num_turns"] for r in kept.table("sessions", second).collect()}
     assert counts == {**{f"day{d}": 1 for d in range(5)}, "day5": 2}
+
+
+def test_lines_are_not_moved_to_be_numbered_and_parsed_once(spark):
+    batch = spark.createDataFrame([("/p/f.jsonl", k // 2, k % 2 + 1, 10 * k, 10 * k + 10, f"line {k}") for k in range(6)], growing.SCHEMA)
+    known = spark.createDataFrame([("/p/f.jsonl", 10, 7)], "file_path string, last_byte_offset long, last_line_number long")
+    rows = growing.numbered(batch, known)
+    assert [(r.line_no, r.line) for r in rows.orderBy("line_no").collect()] == [(7 + k, f"line {k}") for k in range(1, 6)]
+    plan = growing.numbered(batch, known)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(file_path") == 2  # counts of blocks, and their sums
+    assert not any("line#" in step for step in plan.split("\n") if "Exchange hashpartitioning" in step)
+
+    kept = []
+    records, status = logs.parse_records(logs.cli_places(rows.withColumn("file_size", rows.line_end)), lambda parsed: kept.append(parsed) or spark.createDataFrame(parsed.collect(), parsed.schema))
+    assert len(kept) == 1 and "line" not in kept[0].columns and records.count() == 0
+    assert {r["status"] for r in status.collect()} == {"error"}
+
+
+def test_small_blocks_share_tasks():
+    reader = growing._Reader({"path": "/", "blockBytes": "10"})
+    tasks = reader.partitions({"b": 3}, {"a": 10_000, "b": 25, "c": 0})
+    assert len(tasks) <= growing.TASKS + 1 and max(len(t.blocks) for t in tasks) <= 17
+    blocks = [block for task in tasks for block in task.blocks]
+    assert blocks == [("a", k, 10 * k, 10 * k + 10) for k in range(1000)] + [("b", 0, 3, 13), ("b", 1, 13, 23), ("b", 2, 23, 25)]
+    assert [len(t.blocks) for t in growing._Reader({"path": "/"}).partitions({}, {"a": 5 << 30})] == [2] * 40  # large ones hold TASK bytes each
+    assert reader.partitions({}, {}) == []
+
+
+def test_a_stream_holds_no_lines_and_leaves_no_tables_between(spark, tmp_path):
+    folder = tmp_path / "logs" / "p"
+    folder.mkdir(parents=True)
+    (folder / "a.jsonl").write_text("".join(row(n) for n in range(20)))
+    seen = []
+    own = ingest._committed
+
+    def committed(store, messages, *rest):
+        seen.append((len(spark.sparkContext._jsc.getPersistentRDDs()), [len(list(d.iterdir())) for d in (tmp_path / "out" / "staging").iterdir()]))
+        return own(store, messages, *rest)
+
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ingest, "_committed", committed)
+        live.stream_ingest(spark, str(tmp_path / "logs"), str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
+    assert seen == [(before, [2])]  # messages, and how far files are read: the parsed lines are gone by then
+    assert list((tmp_path / "out" / "staging").iterdir()) == []
+    kept = ingest.log_store(spark, str(tmp_path / "out"))
+    assert kept.table("turns", kept.snapshot()).count() == 20
